@@ -1,5 +1,361 @@
-"""DuckDB SQL equivalents of the registered queries (filled below)."""
+"""DuckDB SQL equivalents of the registered queries.
+
+The views ``events``, ``orders``, ``lineitem``, ``part``, ``customer`` are
+the driver's parquet tables. Column names equal the Spark outputs; floats
+are rounded to 6 digits on both sides. Queries whose result depends on an
+iterative fit (ALS) or an eigen-solver (SVD) have no entry: they are
+checked by row counts here and against numpy in the unit tests."""
+
+from __future__ import annotations
+
+from cofilter.plans import inputs as inp
+
+R_EVENTS = """r AS (
+  SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
+         CAST(count(*) AS DOUBLE) AS counts
+  FROM events GROUP BY 1, 2)"""
+
+R_ORDERS = """r AS (
+  SELECT o.o_custkey AS user_id, l.l_partkey AS item_id, CAST(sum(l.l_quantity) AS DOUBLE) AS counts
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2)"""
+
+EVENT_ROWS = """ev AS (
+  SELECT event_id, event_type, user_id,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, value
+  FROM events)"""
+
+
+def _split(src: str = "r", frac=inp.SPLIT_FRAC, seed=inp.SPLIT_SEED) -> str:
+    return f"""numbered AS (
+  SELECT user_id, item_id, counts,
+         row_number() OVER (ORDER BY md5(concat_ws('|', CAST(user_id AS VARCHAR),
+                                                   CAST(item_id AS VARCHAR), '{seed}')),
+                            user_id, item_id) - 1 AS rn,
+         count(*) OVER () AS n
+  FROM {src}),
+train AS (SELECT user_id, item_id, counts FROM numbered WHERE rn < floor({frac} * n)),
+test AS (SELECT user_id, item_id, counts FROM numbered WHERE rn >= floor({frac} * n))"""
+
+
+def _kernels(R: str) -> str:
+    """p, q, m(a, b, m_item, m_user) on matrix R."""
+    return f"""p AS (SELECT user_id, sum(counts) AS p FROM {R} GROUP BY 1),
+q AS (SELECT item_id, sum(counts) AS q FROM {R} GROUP BY 1),
+k AS (
+  SELECT x.item_id AS a, y.item_id AS b, sum(x.counts * y.counts) AS c,
+         sum(x.counts * y.counts / sqrt(p.p)) AS cw
+  FROM {R} x JOIN {R} y ON x.user_id = y.user_id JOIN p ON p.user_id = x.user_id
+  GROUP BY 1, 2),
+m AS (
+  SELECT k.a, k.b, k.c / sqrt(qa.q) / sqrt(qb.q) AS m_item, k.cw AS m_user
+  FROM k JOIN q qa ON qa.item_id = k.a JOIN q qb ON qb.item_id = k.b)"""
+
+
+def _scores_full(R: str) -> str:
+    """g(user_id, item_id, score_user, score_item) for every reachable cell."""
+    return _kernels(R) + f""",
+g AS (
+  SELECT x.user_id, m.b AS item_id,
+         sum(x.counts / sqrt(p.p) * m.m_user) AS score_user,
+         sum(x.counts * m.m_item) AS score_item
+  FROM {R} x JOIN m ON m.a = x.item_id JOIN p ON p.user_id = x.user_id
+  GROUP BY 1, 2)"""
+
+
+def _scores_pairs(R: str, pairs: str) -> str:
+    """g restricted to the distinct (user_id, item_id) of ``pairs``."""
+    return _kernels(R) + f""",
+e AS (SELECT DISTINCT user_id, item_id FROM {pairs}),
+g AS (
+  SELECT e.user_id, e.item_id,
+         sum(x.counts / sqrt(p.p) * m.m_user) AS score_user,
+         sum(x.counts * m.m_item) AS score_item
+  FROM e JOIN {R} x ON x.user_id = e.user_id
+         JOIN m ON m.a = x.item_id AND m.b = e.item_id
+         JOIN p ON p.user_id = e.user_id
+  GROUP BY 1, 2)"""
+
+
+def _model(model: str) -> str:
+    return {"user": "g.score_user", "item": "g.score_item",
+            "blend": "0.5 * g.score_user + 0.5 * g.score_item"}[model]
+
+
+def _scored_rows(model: str, rows: str, R: str = "train") -> str:
+    """sc(user_id, item_id, counts, pred [, part]) with the 0-when-no-path rule."""
+    return _scores_pairs(R, rows) + f""",
+sc AS (
+  SELECT t.*, COALESCE({_model(model)}, 0.0) AS pred
+  FROM {rows} t LEFT JOIN g ON g.user_id = t.user_id AND g.item_id = t.item_id)"""
+
+
+def _spearman(src: str = "sc", grp: str = "") -> str:
+    """sp(grp..., user_id, n, rho) from rows (user_id, counts, pred)."""
+    g = f"{grp}, " if grp else ""
+    return f"""rk AS (
+  SELECT {g}user_id,
+         rank() OVER (PARTITION BY {g}user_id ORDER BY counts)
+           + (count(*) OVER (PARTITION BY {g}user_id, counts) - 1) / 2.0 AS rx,
+         rank() OVER (PARTITION BY {g}user_id ORDER BY round(pred, 9))
+           + (count(*) OVER (PARTITION BY {g}user_id, round(pred, 9)) - 1) / 2.0 AS ry
+  FROM {src}),
+mo AS (
+  SELECT {g}user_id, count(*) AS n, sum(rx) AS sx, sum(ry) AS sy, sum(rx * rx) AS sxx,
+         sum(ry * ry) AS syy, sum(rx * ry) AS sxy
+  FROM rk GROUP BY ALL),
+mv AS (SELECT *, sxx - sx * sx / n AS vx, syy - sy * sy / n AS vy, sxy - sx * sy / n AS cxy FROM mo),
+sp AS (
+  SELECT {g}user_id, n,
+         CASE WHEN n < 2 OR vx <= 0 OR vy <= 0 THEN NULL ELSE cxy / sqrt(vx * vy) END AS rho
+  FROM mv)"""
+
+
+def _eval(model: str, r_cte: str = R_EVENTS, frac_filter: tuple | None = None) -> str:
+    """E1 long metrics (part, metric, value)."""
+    src = "r"
+    pre = ""
+    if frac_filter is not None:
+        pre = ""
+    rows = """rows_ AS (SELECT user_id, item_id, counts, 'test' AS part FROM test
+          UNION ALL SELECT user_id, item_id, counts, 'train' AS part FROM train)"""
+    body = f"""WITH {r_cte},
+{_split(src)},
+{rows},
+{_scored_rows(model, 'rows_')},
+{_spearman('sc', 'part')},
+rm AS (SELECT part, count(*) AS n, sqrt(avg((counts - pred) * (counts - pred))) AS rmse
+       FROM sc GROUP BY 1),
+ss AS (SELECT part, count(rho) AS n_defined, avg(rho) AS mean_rho, count(*) AS n_users
+       FROM sp GROUP BY 1)
+SELECT part, 'rmse' AS metric, round(rmse, 6) AS value FROM rm
+UNION ALL SELECT part, 'n', CAST(n AS DOUBLE) FROM rm
+UNION ALL SELECT part, 'n_defined', CAST(n_defined AS DOUBLE) FROM ss
+UNION ALL SELECT part, 'mean_rho', round(mean_rho, 6) FROM ss
+UNION ALL SELECT part, 'n_users', CAST(n_users AS DOUBLE) FROM ss"""
+    return pre + body
+
+
+def _size_study(model: str = "item", fracs=(0.25, 0.5, 1.0)) -> str:
+    parts = []
+    for f in fracs:
+        parts.append(f"""SELECT CAST({f} AS DOUBLE) AS frac, * FROM (
+WITH {R_EVENTS},
+numbered AS (
+  SELECT user_id, item_id, counts,
+         row_number() OVER (ORDER BY md5(concat_ws('|', CAST(user_id AS VARCHAR),
+                                                   CAST(item_id AS VARCHAR), '{inp.SPLIT_SEED}')),
+                            user_id, item_id) - 1 AS rn,
+         count(*) OVER () AS n
+  FROM r),
+cutv AS (SELECT floor({inp.SPLIT_FRAC} * n) AS cut, n FROM numbered LIMIT 1),
+train AS (SELECT user_id, item_id, counts FROM numbered, cutv
+          WHERE rn < floor({f} * cutv.cut)),
+test AS (SELECT user_id, item_id, counts FROM numbered, cutv
+         WHERE rn >= cutv.cut AND rn < cutv.cut + floor({f} * (cutv.n - cutv.cut))),
+rows_ AS (SELECT user_id, item_id, counts, 'test' AS part FROM test
+          UNION ALL SELECT user_id, item_id, counts, 'train' AS part FROM train),
+{_scored_rows(model, 'rows_')},
+{_spearman('sc', 'part')},
+rm AS (SELECT part, count(*) AS n, sqrt(avg((counts - pred) * (counts - pred))) AS rmse
+       FROM sc GROUP BY 1),
+ss AS (SELECT part, count(rho) AS n_defined, avg(rho) AS mean_rho, count(*) AS n_users
+       FROM sp GROUP BY 1)
+SELECT part, 'rmse' AS metric, round(rmse, 6) AS value FROM rm
+UNION ALL SELECT part, 'n', CAST(n AS DOUBLE) FROM rm
+UNION ALL SELECT part, 'n_defined', CAST(n_defined AS DOUBLE) FROM ss
+UNION ALL SELECT part, 'mean_rho', round(mean_rho, 6) FROM ss
+UNION ALL SELECT part, 'n_users', CAST(n_users AS DOUBLE) FROM ss)""")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _target_and_candidates() -> str:
+    return f"""tgt AS (
+  SELECT user_id FROM (SELECT user_id, sum(counts) AS p FROM r GROUP BY 1)
+  ORDER BY p DESC, user_id LIMIT 1),
+cand AS (SELECT tgt.user_id, c.item_id
+         FROM (SELECT DISTINCT item_id FROM r ORDER BY item_id LIMIT {inp.N_CANDIDATES}) c, tgt)"""
+
+
+def _pivot() -> str:
+    cols = ",\n  ".join(
+        f'COALESCE(max(CASE WHEN item_id = {k} THEN counts END), 0.0) AS "{k}"' for k in range(100))
+    return f"""WITH {R_EVENTS}
+SELECT user_id,
+  {cols}
+FROM r GROUP BY user_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    w = f"WITH {R_EVENTS}"
+    ws = f"WITH {R_EVENTS},\n{_split()}"
+    return {
+        "read_triples": f"""{w}
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id,
+       CAST(counts AS INTEGER) AS counts FROM r""",
+        "read_dimensions": """
+SELECT 'item' AS kind, concat('part', CAST(p_partkey AS VARCHAR)) AS key, p_partkey AS idx FROM part
+UNION ALL SELECT 'user' AS kind, c_name AS key, CAST(NULL AS BIGINT) AS idx FROM customer""",
+        "read_dense_matrix": f"""{w}
+SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS row_idx,
+       dense_rank() OVER (ORDER BY item_id) - 1 AS col_idx, counts AS value FROM r""",
+        "read_titles": """
+SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS item_idx, p_name AS title FROM part""",
+        "write_split_tsv": f"{ws}\nSELECT user_id, item_id, counts FROM train",
+        "log_scale": f"{w}\nSELECT user_id, item_id, counts, round(ln(1 + counts), 6) AS rating FROM r",
+        "cold_start_filter": f"""{ws}
+SELECT user_id, item_id, counts FROM test
+WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)""",
+        "cold_start_count": f"""{ws}
+SELECT count(*) AS n_test,
+       count(CASE WHEN user_id IN (SELECT user_id FROM train)
+                   AND item_id IN (SELECT item_id FROM train) THEN 1 END) AS n_known
+FROM test""",
+        "degree_norms": f"""{w}
+SELECT 'user' AS side, user_id AS key, sum(counts) AS total,
+       round(CASE WHEN sum(counts) = 0 THEN 0 ELSE 1 / sqrt(sum(counts)) END, 6) AS inv_sqrt
+FROM r GROUP BY user_id
+UNION ALL
+SELECT 'item', item_id, sum(counts),
+       round(CASE WHEN sum(counts) = 0 THEN 0 ELSE 1 / sqrt(sum(counts)) END, 6)
+FROM r GROUP BY item_id""",
+        "user_candidates": f"""{w},
+{_target_and_candidates()},
+{_scores_pairs('r', 'cand')}
+SELECT c.user_id, c.item_id, round(COALESCE(g.score_user, 0.0), 6) AS score
+FROM cand c LEFT JOIN g ON g.user_id = c.user_id AND g.item_id = c.item_id""",
+        "head_n": f"""WITH {EVENT_ROWS}
+SELECT event_id, user_id, item_id, value FROM ev ORDER BY event_id LIMIT {inp.HEAD_N}""",
+        "split_train": f"{ws}\nSELECT user_id, item_id, counts FROM train",
+        "split_test": f"{ws}\nSELECT user_id, item_id, counts FROM test",
+        "index_dense": f"""{w}
+SELECT 'user' AS side, user_id AS key, dense_rank() OVER (ORDER BY user_id) - 1 AS idx FROM (SELECT DISTINCT user_id FROM r)
+UNION ALL
+SELECT 'item', item_id, dense_rank() OVER (ORDER BY item_id) - 1 FROM (SELECT DISTINCT item_id FROM r)""",
+        "index_first_seen": f"""WITH {EVENT_ROWS}
+SELECT 'user' AS side, user_id AS key, row_number() OVER (ORDER BY f, user_id) - 1 AS idx
+FROM (SELECT user_id, min(event_id) AS f FROM ev GROUP BY 1)
+UNION ALL
+SELECT 'item', item_id, row_number() OVER (ORDER BY f, item_id) - 1
+FROM (SELECT item_id, min(event_id) AS f FROM ev GROUP BY 1)""",
+        "index_first_row": f"""WITH {EVENT_ROWS},
+pos AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM ev)
+SELECT 'user' AS side, user_id AS key, min(rn) AS idx FROM pos GROUP BY user_id
+UNION ALL
+SELECT 'item', item_id, min(rn) FROM pos GROUP BY item_id""",
+        "global_row_number": """
+SELECT event_id, row_number() OVER (ORDER BY value, event_id) - 1 AS row_no FROM events""",
+        "encode_triples": f"""{w}
+SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS user_idx,
+       dense_rank() OVER (ORDER BY item_id) - 1 AS item_idx, counts FROM r""",
+        "actual_vs_pred": f"""{ws},
+{_scores_pairs('train', 'test')}
+SELECT t.user_id, t.item_id, t.counts, round(g.score_item, 6) AS pred
+FROM test t JOIN g ON g.user_id = t.user_id AND g.item_id = t.item_id""",
+        **{f"score_pairs_{m}": f"""{ws},
+{_scored_rows(m, 'test')}
+SELECT user_id, item_id, counts, round(pred, 6) AS pred FROM sc""" for m in ("item", "user", "blend")},
+        **{f"rmse_{m}": f"""{ws},
+{_scored_rows(m, 'test')}
+SELECT count(*) AS n, round(sqrt(avg((counts - pred) * (counts - pred))), 6) AS rmse FROM sc"""
+           for m in ("item", "user", "blend")},
+        "topk_titles": f"""{w},
+{_target_and_candidates()},
+{_scores_pairs('r', 'cand')},
+s AS (
+  SELECT 'user' AS model, c.item_id, COALESCE(g.score_user, 0.0) AS score
+  FROM cand c LEFT JOIN g ON g.user_id = c.user_id AND g.item_id = c.item_id
+  UNION ALL
+  SELECT 'item', c.item_id, COALESCE(g.score_item, 0.0)
+  FROM cand c LEFT JOIN g ON g.user_id = c.user_id AND g.item_id = c.item_id)
+SELECT s.model, row_number() OVER (PARTITION BY s.model ORDER BY round(s.score, 9) DESC, s.item_id) AS rank,
+       s.item_id, p.p_name AS title, round(s.score, 6) AS score
+FROM s JOIN part p ON p.p_partkey = s.item_id""",
+        "describe_counts": f"""WITH {R_ORDERS}
+SELECT count(counts) AS count, round(avg(counts), 6) AS mean, round(stddev_samp(counts), 6) AS std,
+       round(min(counts), 6) AS min, round(quantile_cont(counts, 0.25), 6) AS p25,
+       round(quantile_cont(counts, 0.5), 6) AS p50, round(quantile_cont(counts, 0.75), 6) AS p75,
+       round(max(counts), 6) AS max
+FROM r""",
+        "matrix_shape": f"""{w}
+SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns, count(DISTINCT user_id) AS n_users,
+       count(DISTINCT item_id) AS n_items FROM r""",
+        "distinct_counts": f"""WITH {R_ORDERS}
+SELECT count(DISTINCT user_id) AS n_user_id, count(DISTINCT item_id) AS n_item_id FROM r""",
+        "rating_histogram": f"""{w}
+SELECT round(ln(1 + counts), 6) AS rating, count(user_id) AS n_user_id, count(item_id) AS n_item_id,
+       count(counts) AS n_counts FROM r GROUP BY 1""",
+        "spearman_per_user": f"""{ws},
+{_scored_rows('item', 'test')},
+{_spearman('sc')}
+SELECT user_id, n, round(rho, 6) AS rho FROM sp""",
+        "spearman_mean": f"""{ws},
+{_scored_rows('item', 'test')},
+{_spearman('sc')}
+SELECT count(rho) AS n_defined, round(avg(rho), 6) AS mean_rho, count(*) AS n_users FROM sp""",
+        "frobenius_energy": f"{w}\nSELECT sum(counts * counts) AS sum_sq, count(*) AS n_cells FROM r",
+        "average_rank": f"""{ws}
+SELECT user_id, counts, item_id,
+       rank() OVER (PARTITION BY user_id ORDER BY counts)
+         + (count(*) OVER (PARTITION BY user_id, counts) - 1) / 2.0 AS avg_rank
+FROM test""",
+        "last_write_matrix": f"""WITH {EVENT_ROWS}
+SELECT user_id, item_id, arg_max(value, event_id) AS value FROM ev GROUP BY 1, 2""",
+        "topk_per_user": f"""{w},
+{_scores_full('r')},
+t AS (SELECT user_id, item_id, score_item AS score,
+             row_number() OVER (PARTITION BY user_id ORDER BY round(score_item, 9) DESC, item_id) AS rank
+      FROM g)
+SELECT user_id, rank, item_id, round(score, 6) AS score FROM t WHERE rank <= {inp.TOP_K}""",
+        "union_train": f"""WITH {EVENT_ROWS}
+SELECT CAST(CASE event_type {' '.join(f"WHEN '{t}' THEN {j}" for j, t in enumerate(inp.EVENT_PIECES))} END AS INTEGER) AS src_ord,
+       user_id, item_id, CAST(count(*) AS DOUBLE) AS counts
+FROM ev WHERE event_type IN ({', '.join(f"'{t}'" for t in inp.EVENT_PIECES)})
+GROUP BY event_type, user_id, item_id""",
+        "universe": f"""WITH {EVENT_ROWS},
+e AS (SELECT * FROM ev WHERE event_type IN ({', '.join(f"'{t}'" for t in inp.EVENT_PIECES)}))
+SELECT DISTINCT 'user' AS side, user_id AS key FROM e
+UNION ALL SELECT DISTINCT 'item', item_id FROM e""",
+        "same_users_check": """
+WITH a AS (SELECT user_id, row_number() OVER (ORDER BY min(event_id), user_id) - 1 AS ia
+           FROM events WHERE event_type = 'click' GROUP BY user_id),
+     b AS (SELECT user_id, row_number() OVER (ORDER BY min(event_id), user_id) - 1 AS ib
+           FROM events WHERE event_type = 'view' GROUP BY user_id),
+     j AS (SELECT a.ia, b.ib FROM a FULL OUTER JOIN b ON a.user_id = b.user_id),
+     s AS (SELECT count(ia) AS n_left, count(ib) AS n_right, count(*) AS n,
+                  sum(CASE WHEN ia IS NOT DISTINCT FROM ib THEN 0 ELSE 1 END) AS d FROM j)
+SELECT (n_left = n AND n_right = n) AS same_set,
+       (n_left = n AND n_right = n AND COALESCE(d, 0) = 0) AS same_order, n_left, n_right FROM s""",
+        "matrix_pivot": _pivot(),
+        "item_similarity": f"""{w},
+q AS (SELECT item_id, sum(counts) AS q FROM r GROUP BY 1)
+SELECT x.item_id AS item_i, y.item_id AS item_j,
+       round(sum(x.counts * y.counts) / sqrt(any_value(qa.q)) / sqrt(any_value(qb.q)), 6) AS sim
+FROM r x JOIN r y ON x.user_id = y.user_id
+     JOIN q qa ON qa.item_id = x.item_id JOIN q qb ON qb.item_id = y.item_id
+GROUP BY 1, 2""",
+        "user_similarity": f"""{w},
+p AS (SELECT user_id, sum(counts) AS p FROM r GROUP BY 1)
+SELECT x.user_id AS user_u, y.user_id AS user_v,
+       round(sum(x.counts * y.counts) / sqrt(any_value(pa.p)) / sqrt(any_value(pb.p)), 6) AS sim
+FROM r x JOIN r y ON x.item_id = y.item_id
+     JOIN p pa ON pa.user_id = x.user_id JOIN p pb ON pb.user_id = y.user_id
+GROUP BY 1, 2""",
+        **{f"score_{m}": f"""{w},
+{_scores_full('r')}
+SELECT user_id, item_id, round({_model(m)}, 6) AS score FROM g""" for m in ("item", "user", "blend")},
+        "eval_item": _eval("item"),
+        "eval_user": _eval("user"),
+        "eval_blend": _eval("blend"),
+        "eval_item_orders": _eval("item", R_ORDERS),
+        "size_study": _size_study(),
+        "profile_and_split": f"""WITH {EVENT_ROWS},
+pos AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM ev),
+uid AS (SELECT user_id, min(rn) AS user_idx FROM pos GROUP BY 1),
+iid AS (SELECT item_id, min(rn) AS item_idx FROM pos GROUP BY 1),
+rows_ AS (SELECT ev.event_id, uid.user_idx, iid.item_idx, ln(1 + ev.value) AS log_target
+          FROM ev JOIN uid USING (user_id) JOIN iid USING (item_id)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(event_id AS VARCHAR), '{inp.SPLIT_SEED}')), event_id) - 1 AS rn,
+                    count(*) OVER () AS n FROM rows_)
+SELECT user_idx, item_idx, round(log_target, 6) AS log_target FROM numbered
+WHERE rn < floor({inp.SPLIT_FRAC} * n)""",
+    }
