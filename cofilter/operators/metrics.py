@@ -56,18 +56,27 @@ def average_rank(df: DataFrame, group, col: str, out: str, **skew) -> DataFrame:
 
 
 def spearman_per_user(df: DataFrame, user: str = "user_id", actual: str = "counts",
-                      pred: str = "pred", item: str = "item_id", by=None, **skew) -> DataFrame:
+                      pred: str = "pred", item: str = "item_id", by=None,
+                      materialize: bool = True, **skew) -> DataFrame:
     """(by..., user, n, rho): rho null when the user has one row or either
     side has zero variance (scipy gives NaN there). Predictions are rounded
     to 9 digits before ranking so float summation order cannot split ties.
-    Rows are matched to their ranks by (user, value), so duplicates are fine."""
+
+    Both rank columns come from one global ordering of (group, side, value)
+    rows; rows are matched to their ranks by (group, value), so duplicate
+    rows are fine. ``materialize=False`` when ``df`` is already a checkpoint."""
     group = [*_list(by), user]
-    checkpoint_dir(df.sparkSession)
-    # cut lineage once: both rank tables and the join back read these rows
     base = df.select(*group, item, F.col(actual).cast("double").alias("_x"),
-                     F.round(F.col(pred), TIE_DIGITS).alias("_y")).checkpoint(eager=True)
-    rx = rank_table(base, group, "_x", "rx")
-    ry = rank_table(base, group, "_y", "ry")
+                     F.round(F.col(pred), TIE_DIGITS).alias("_y"))
+    if materialize:
+        checkpoint_dir(df.sparkSession)
+        # cut lineage once: the rank table and the join back both read these rows
+        base = base.checkpoint(eager=True)
+    sides = (base.select(*group, F.lit(0).alias("_side"), F.col("_x").alias("_v"))
+             .unionByName(base.select(*group, F.lit(1).alias("_side"), F.col("_y").alias("_v"))))
+    ranks = rank_table(sides, [*group, "_side"], "_v", "_r")
+    rx = ranks.filter(F.col("_side") == 0).select(*group, F.col("_v").alias("_x"), F.col("_r").alias("rx"))
+    ry = ranks.filter(F.col("_side") == 1).select(*group, F.col("_v").alias("_y"), F.col("_r").alias("ry"))
     both = salted_join(base, rx, [*group, "_x"], item, **skew)
     both = salted_join(both, ry, [*group, "_y"], item, **skew)
     return pearson_by_group(both, group, "rx", "ry")

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from cofilter.functions.scalar import inv_sqrt
 from cofilter.operators.matrix import transpose
-from cofilter.operators.products import cooccurrence, salted_join, square_degree_cost
+from cofilter.operators.products import (cooccurrence, default_partitions, hot_keys,
+                                         salted_join, square_degree_cost)
 
 U, I, V = "user_id", "item_id", "counts"
 
@@ -37,18 +38,19 @@ def _norms(R: DataFrame, key: str, out: str) -> DataFrame:
     return R.groupBy(key).agg(F.sum(V).alias(out))
 
 
-def _weighted_rows(R: DataFrame, skew: dict) -> DataFrame:
-    """R with w = P_u^-1/2 on every row (hot users split in the join)."""
-    p = _norms(R, U, "_p")
-    return salted_join(R.select(U, I, V), p, U, I, **skew) \
-        .withColumn("_w", inv_sqrt("_p")).drop("_p")
+def _hot(df: DataFrame, key: str, skew: dict) -> list:
+    params = {k: v for k, v in skew.items() if k in ("task_rows", "max_hot", "max_salt")}
+    return hot_keys(df, key, **params)
 
 
-def _kernels(R: DataFrame, items: DataFrame | None, skew: dict) -> tuple[DataFrame, DataFrame]:
-    """(Rw, M) with M(a, b, m_item, m_user): m_item = S_I(a,b), m_user = Σ_u r_ua r_ub P_u^-1/2."""
-    rw = _weighted_rows(R, skew)
+def _kernels(R: DataFrame, items: DataFrame | None, skew: dict, hot_u: list) -> tuple[DataFrame, DataFrame]:
+    """(Rw, M): R with w = P_u^-1/2 on every row, and M(a, b, m_item, m_user)
+    with m_item = S_I(a,b), m_user = Σ_u r_ua r_ub P_u^-1/2."""
+    p = _norms(R, U, "_p")
+    rw = salted_join(R.select(U, I, V), p, U, I, hot=hot_u, **skew) \
+        .withColumn("_w", inv_sqrt("_p")).drop("_p")
     q = _norms(R, I, "_q")
-    k = cooccurrence(rw, by=U, col=I, val=V, weight="_w", right_keys=items, **skew)
+    k = cooccurrence(rw, by=U, col=I, val=V, weight="_w", right_keys=items, hot=hot_u, **skew)
     qa = q.select(F.col(I).alias("a"), F.col("_q").alias("qa"))
     qb = q.select(F.col(I).alias("b"), F.col("_q").alias("qb"))
     m = (k.join(qa, "a").join(qb, "b")
@@ -60,14 +62,16 @@ def _kernels(R: DataFrame, items: DataFrame | None, skew: dict) -> tuple[DataFra
 
 def _engine(R: DataFrame, pairs: DataFrame | None, skew: dict) -> DataFrame:
     """Item-pair association. Returns (user_id, item_id, score_user, score_item)."""
+    hot_u = _hot(R, U, skew)
     items = pairs.select(I) if pairs is not None else None
-    rw, m = _kernels(R, items, skew)
+    rw, m = _kernels(R, items, skew, hot_u)
     rows = rw.select(U, F.col(I).alias("a"), F.col(V).alias("v"), "_w")
+    parts = default_partitions(R.sparkSession)
     if pairs is None:
-        x = salted_join(rows, m, "a", U, **skew)
+        x = salted_join(rows, m, "a", U, hot=_hot(R, I, skew), partitions=parts, **skew)
     else:
         e = pairs.select(U, F.col(I).alias("b")).distinct()
-        x = salted_join(e, rows, U, "b", **skew).join(m, ["a", "b"], "inner")
+        x = salted_join(e, rows, U, "b", partitions=parts, **skew).join(m, ["a", "b"], "inner")
     return (x.groupBy(U, F.col("b").alias(I))
             .agg(F.sum(F.col("v") * F.col("_w") * F.col("m_user")).alias("score_user"),
                  F.sum(F.col("v") * F.col("m_item")).alias("score_item")))

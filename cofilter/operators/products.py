@@ -9,8 +9,8 @@ A hot key (one user holding a large share of all rows) would put its whole
 group into one task. Keys above a row threshold are split: the left side's
 rows of that key are spread over ``nsalt`` buckets by a hash of another
 column, and the right side's rows of that key are replicated to each bucket.
-The threshold is chosen so that at most ``max_hot`` keys qualify, which
-bounds the broadcast (key, nsalt) table by construction. No row is dropped
+At most ``max_hot`` keys are split, which bounds the broadcast (key, nsalt)
+table by construction. No row is dropped
 or sampled: the result is exact."""
 
 from __future__ import annotations
@@ -19,43 +19,72 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_TASK_ROWS = 200_000
 DEFAULT_MAX_HOT = 1024
+DEFAULT_MAX_SALT = 4096
 
 
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def default_partitions(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def hot_keys(df: DataFrame, key, task_rows: int = DEFAULT_TASK_ROWS,
-             max_hot: int = DEFAULT_MAX_HOT, n_rows: int | None = None) -> DataFrame:
-    """(key..., _nsalt) for keys with more than T rows, T = max(task_rows,
-    n/max_hot). At most n/T <= max_hot rows: safe to broadcast."""
-    n = n_rows if n_rows is not None else df.count()
-    threshold = max(int(task_rows), int(math.ceil(n / max_hot)) if n else 1, 1)
+             max_hot: int = DEFAULT_MAX_HOT, max_salt: int = DEFAULT_MAX_SALT) -> list[tuple]:
+    """[(key values, nsalt)]: the (at most ``max_hot``) largest keys holding
+    more than ``task_rows`` rows, from one grouped aggregate (combined
+    map-side) and a top-k. The list is bounded by construction; any key not
+    in it holds fewer rows than the max_hot-th largest, i.e. at most
+    n / max_hot. A hot key is split into ceil(rows / task_rows) buckets, at
+    most ``max_salt`` (buckets only spread work; results are exact)."""
     keys = _keys(key)
-    deg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_deg"))
-    return (deg.filter(F.col("_deg") > threshold)
-            .select(*keys, F.ceil(F.col("_deg") / F.lit(threshold)).cast("int").alias("_nsalt")))
+    rows = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_deg"))
+            .filter(F.col("_deg") > int(task_rows))
+            .orderBy(F.col("_deg").desc()).limit(max_hot).collect())
+    return [(tuple(r[k] for k in keys),
+             int(min(max_salt, math.ceil(r["_deg"] / max(int(task_rows), 1))))) for r in rows]
 
 
 def salted_join(left: DataFrame, right: DataFrame, key, split_col: str,
                 task_rows: int = DEFAULT_TASK_ROWS, max_hot: int = DEFAULT_MAX_HOT,
-                n_rows: int | None = None, how: str = "inner") -> DataFrame:
+                max_salt: int = DEFAULT_MAX_SALT, how: str = "inner", hot: list | None = None,
+                partitions: int | None = None) -> DataFrame:
     """Equi-join on ``key`` (a column or list) where hot keys of ``left`` are
     split by a hash of ``split_col`` and the matching ``right`` rows are
-    replicated. ``how`` may be inner or left (left rows keep their place)."""
+    replicated to every bucket. ``how`` may be inner or left.
+
+    ``partitions``: for joins whose output is much larger than their input
+    (pair generation), both sides are hash-partitioned into this many
+    partitions explicitly; otherwise AQE would coalesce the small input
+    shuffle into a few tasks that then produce all the pairs."""
     keys = _keys(key)
-    hot = F.broadcast(hot_keys(left, keys, task_rows, max_hot, n_rows))
-    lft = (left.join(hot, keys, "left")
+    if hot is None:
+        hot = hot_keys(left, keys, task_rows, max_hot, max_salt)
+    if not hot:
+        if partitions:
+            left = left.repartition(partitions, *keys)
+            right = right.repartition(partitions, *keys)
+        return left.join(right, keys, how)
+    spark = left.sparkSession
+    schema = T.StructType([left.schema[k] for k in keys] + [T.StructField("_nsalt", T.IntegerType())])
+    # bounded (<= max_hot rows, see hot_keys): a broadcast with a proven size
+    salts = F.broadcast(spark.createDataFrame([(*k, n) for k, n in hot], schema))
+    lft = (left.join(salts, keys, "left")
            .withColumn("_salt", F.when(F.col("_nsalt").isNull(), F.lit(0))
                        .otherwise(F.pmod(F.xxhash64(F.col(split_col)), F.col("_nsalt")).cast("int")))
            .drop("_nsalt"))
-    rgt = (right.join(hot, keys, "left")
+    rgt = (right.join(salts, keys, "left")
            .withColumn("_salt", F.explode(F.sequence(F.lit(0),
                                                      F.coalesce(F.col("_nsalt"), F.lit(1)) - 1)))
            .drop("_nsalt"))
+    n_parts = partitions or default_partitions(spark)
+    lft = lft.repartition(n_parts, *keys, "_salt")
+    rgt = rgt.repartition(n_parts, *keys, "_salt")
     return lft.join(rgt, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -64,7 +93,9 @@ def cooccurrence(R: DataFrame, by: str, col: str, val: str, weight: str | None =
     """K(a, b) = sum over rows sharing ``by`` of v_a * v_b (and, with
     ``weight``, cw = sum of v_a * v_b * w). Self pairs are kept. With
     ``right_keys`` (one column named like ``col``) only b in that set is
-    produced, which is all a pair-restricted score needs."""
+    produced, which is all a pair-restricted score needs. Without it K is
+    symmetric: only a <= b is built and the rest mirrored, halving the
+    pair products."""
     lcols = [F.col(by), F.col(col).alias("a"), F.col(val).alias("va")]
     if weight:
         lcols.append(F.col(weight).alias("w"))
@@ -72,12 +103,22 @@ def cooccurrence(R: DataFrame, by: str, col: str, val: str, weight: str | None =
     right = R.select(F.col(by), F.col(col).alias("b"), F.col(val).alias("vb"))
     if right_keys is not None:
         right = right.join(right_keys.select(F.col(col).alias("b")).distinct(), "b", "left_semi")
+    skew.setdefault("partitions", default_partitions(R.sparkSession))
     pairs = salted_join(left, right, by, "a", **skew)
+    symmetric = right_keys is None
+    if symmetric:
+        pairs = pairs.filter(F.col("a") <= F.col("b"))
     prod = F.col("va") * F.col("vb")
     aggs = [F.sum(prod).alias("c")]
     if weight:
         aggs.append(F.sum(prod * F.col("w")).alias("cw"))
-    return pairs.groupBy("a", "b").agg(*aggs)
+    k = pairs.groupBy("a", "b").agg(*aggs)
+    if not symmetric:
+        return k
+    vals = [c for c in k.columns if c not in ("a", "b")]
+    mirrored = k.filter(F.col("a") < F.col("b")).select(
+        F.col("b").alias("a"), F.col("a").alias("b"), *vals)
+    return k.unionByName(mirrored)
 
 
 def square_degree_cost(R: DataFrame, key: str) -> DataFrame:

@@ -36,7 +36,7 @@ def scored_parts(train: DataFrame, test: DataFrame, model: str, association: str
 def metrics_long(scored: DataFrame, **skew) -> DataFrame:
     """(part, metric, value) with rmse, n, n_defined, mean_rho, n_users."""
     r = rmse(scored, V, "pred", by="part")
-    s = spearman_summary(spearman_per_user(scored, by="part", **skew), by="part")
+    s = spearman_summary(spearman_per_user(scored, by="part", materialize=False, **skew), by="part")
     def long(df, name, col):
         return df.select("part", F.lit(name).alias("metric"), F.col(col).cast("double").alias("value"))
     return (long(r, "rmse", "rmse").unionByName(long(r, "n", "n"))
