@@ -1,6 +1,7 @@
 """Streaming.
 
-The reference has no streaming input, watermark, window or state; nothing
-here is required for parity. ``matrix_updates`` keeps the sparse matrix R
-current from a stream of interaction rows with the same last-write rule as
-the batch builder, so the batch models can be re-run on a fresh R."""
+The reference reads static files only: it has no stream source, watermark,
+event-time window or state, so nothing here is needed for parity and no
+streaming operator is built (the batch operators in ``cofilter.operators``
+work unchanged on each micro-batch of a ``foreachBatch`` sink if a stream
+of interactions is ever wired in)."""
