@@ -61,3 +61,13 @@ def transpose(R: DataFrame, user: str = "user_id", item: str = "item_id") -> Dat
     """Rᵀ with the same column names (rows become items)."""
     return R.select(F.col(item).alias(user), F.col(user).alias(item),
                     *[c for c in R.columns if c not in (user, item)])
+
+
+def materialize(R: DataFrame, cols=("user_id", "item_id", "counts")) -> DataFrame:
+    """Compute R once and cut its lineage: a model reads R five or six times
+    (norms, both sides of the self-join, the scoring join); without this
+    each read would rescan and re-aggregate the source. Reliable checkpoint
+    into the shared folder, so a lost executor does not lose it."""
+    from cofilter.session import checkpoint_dir
+    checkpoint_dir(R.sparkSession)
+    return R.select(*cols).checkpoint(eager=True)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cofilter.functions.scalar import inv_sqrt
-from cofilter.operators.matrix import transpose
+from cofilter.operators.matrix import materialize, transpose
 from cofilter.operators.products import (cooccurrence, default_partitions, hot_keys,
                                          salted_join, square_degree_cost)
 
@@ -90,6 +90,7 @@ def neighbourhood_scores(R: DataFrame, pairs: DataFrame | None = None,
     """(user_id, item_id, score_user, score_item) for every reachable cell,
     or for the given (user_id, item_id) pairs that have a path. R has columns
     user_id, item_id, counts with unique cells."""
+    R = materialize(R)
     if association == "auto":
         association = choose_association(R)
     if association == "items":
@@ -124,6 +125,7 @@ def scores(R: DataFrame, model: str, pairs: DataFrame | None = None,
 
 def item_similarity(R: DataFrame, **skew) -> DataFrame:
     """S_I as (item_i, item_j, sim), self pairs kept, zero cells absent."""
+    R = materialize(R)
     q = _norms(R, I, "_q")
     k = cooccurrence(R, by=U, col=I, val=V, **skew)
     qa = q.select(F.col(I).alias("a"), F.col("_q").alias("qa"))

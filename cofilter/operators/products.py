@@ -115,10 +115,12 @@ def cooccurrence(R: DataFrame, by: str, col: str, val: str, weight: str | None =
     k = pairs.groupBy("a", "b").agg(*aggs)
     if not symmetric:
         return k
+    # mirror in one pass over the aggregate (a union would rebuild the pairs)
     vals = [c for c in k.columns if c not in ("a", "b")]
-    mirrored = k.filter(F.col("a") < F.col("b")).select(
-        F.col("b").alias("a"), F.col("a").alias("b"), *vals)
-    return k.unionByName(mirrored)
+    same = F.struct(F.col("a").alias("a"), F.col("b").alias("b"), *[F.col(v) for v in vals])
+    swap = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), *[F.col(v) for v in vals])
+    both = F.when(F.col("a") < F.col("b"), F.array(same, swap)).otherwise(F.array(same))
+    return k.select(F.explode(both).alias("_e")).select("_e.*")
 
 
 def square_degree_cost(R: DataFrame, key: str) -> DataFrame:
