@@ -126,5 +126,6 @@ def cooccurrence(R: DataFrame, by: str, col: str, val: str, weight: str | None =
 def square_degree_cost(R: DataFrame, key: str) -> DataFrame:
     """sum over keys of deg(key)^2: the number of pair products a self-join
     on ``key`` makes (one aggregate, combined map-side)."""
-    deg = R.groupBy(key).agg(F.count(F.lit(1)).alias("d"))
-    return deg.agg(F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0)).alias("cost"))
+    deg = R.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("d"))
+    # double: a bigint sum of squares could overflow (an error under ANSI)
+    return deg.agg(F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0.0)).alias("cost"))

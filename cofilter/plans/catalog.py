@@ -72,6 +72,17 @@ def q_read_titles(spark, sf):
     return files.read_titles(spark, path)
 
 
+def q_read_sources(spark, sf):
+    """Each event-type piece written as its own TSV file, read back as one
+    training set tagged by file position."""
+    paths = []
+    for name, piece in zip(inp.EVENT_PIECES, inp.event_pieces(spark, sf)):
+        path = scratch_path(spark, f"piece-{name}")
+        files.write_tsv(piece.select(U, I, F.col(V).cast("int").alias(V)), path)
+        paths.append(path)
+    return files.read_sources(spark, paths).select("src_ord", U, I, V)
+
+
 def q_write_split_tsv(spark, sf):
     train, _ = inp.events_split(spark, sf)
     path = scratch_path(spark, "split")
@@ -359,23 +370,38 @@ def q_als_predictions(spark, sf):
     return res.test_pred.select(U, I, V, r6("prediction").alias("prediction"))
 
 
-def q_als_report(spark, sf):
-    train, test = inp.events_split(spark, sf)
-    res, m = evaluation.als_evaluate(train, test)
-    wide = m.groupBy().pivot("part", ["train", "test"]).agg(F.first("rmse"))
-    return wide.select(r6("train").alias("train_rmse"), r6("test").alias("test_rmse"),
-                       F.lit(res.test_count).cast("bigint").alias("test_count"))
+def _als_report_q(log_scale):
+    def q(spark, sf):
+        """E4 + S8: the one-line result file 'trainRMSE,testRMSE,testCount'
+        written to the shared folder and read back."""
+        train, test = inp.events_split(spark, sf)
+        res, m = evaluation.als_evaluate(train, test, log_scale=log_scale)
+        wide = m.groupBy().pivot("part", ["train", "test"]).agg(F.first("rmse"))
+        row = wide.select(F.col("train").alias("train_rmse"), F.col("test").alias("test_rmse"),
+                          F.lit(res.test_count).cast("bigint").alias("test_count"))
+        path = scratch_path(spark, "als-result")
+        files.write_metrics_line(row, ["train_rmse", "test_rmse", "test_count"], path)
+        parts = F.split(F.col("value"), ",")
+        back = spark.read.text(path).select(parts.getItem(0).cast("double").alias("train_rmse"),
+                                            parts.getItem(1).cast("double").alias("test_rmse"),
+                                            parts.getItem(2).cast("bigint").alias("test_count"))
+        return back.select(r6("train_rmse").alias("train_rmse"), r6("test_rmse").alias("test_rmse"),
+                           "test_count")
+    q.__name__ = "q_als_report_log" if log_scale else "q_als_report"
+    return q
 
 
 # --- whole evaluations ----------------------------------------------------------
 
-def _eval_q(model, source="events"):
+def _eval_q(model, source="events", log_scale=False):
     def q(spark, sf):
         R = inp.r_events(spark, sf) if source == "events" else inp.r_orders(spark, sf)
+        if log_scale:
+            R = R.withColumn(V, log_scale_col(V))
         train, test = inp.split(R)
         m = evaluation.evaluate(train, test, model)
         return m.select("part", "metric", r6("value").alias("value"))
-    q.__name__ = f"q_eval_{model}_{source}"
+    q.__name__ = f"q_eval_{model}_{source}{'_log' if log_scale else ''}"
     return q
 
 
@@ -405,6 +431,7 @@ def queries() -> dict[str, Query]:
         "read_dimensions": q_read_dimensions,
         "read_dense_matrix": q_read_dense_matrix,
         "read_titles": q_read_titles,
+        "read_sources": q_read_sources,
         "write_split_tsv": q_write_split_tsv,
         "log_scale": q_log_scale,
         "cold_start_filter": q_cold_start_filter,
@@ -452,10 +479,12 @@ def queries() -> dict[str, Query]:
         "svd_scores": q_svd_scores,
         "svd_topk_titles": q_svd_topk_titles,
         "als_predictions": q_als_predictions,
-        "als_report": q_als_report,
+        "als_report": _als_report_q(False),
+        "als_report_log": _als_report_q(True),
         "eval_item": _eval_q("item"),
         "eval_user": _eval_q("user"),
         "eval_blend": _eval_q("blend"),
+        "eval_item_log": _eval_q("item", log_scale=True),
         "eval_item_orders": _eval_q("item", "orders"),
         "size_study": q_size_study,
         "profile_and_split": q_profile_and_split,

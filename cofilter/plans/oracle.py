@@ -110,12 +110,12 @@ sp AS (
   FROM mv)"""
 
 
-def _eval(model: str, r_cte: str = R_EVENTS, frac_filter: tuple | None = None) -> str:
+R_EVENTS_LOG = R_EVENTS.replace("CAST(count(*) AS DOUBLE) AS counts", "ln(1 + count(*)) AS counts")
+
+
+def _eval(model: str, r_cte: str = R_EVENTS) -> str:
     """E1 long metrics (part, metric, value)."""
     src = "r"
-    pre = ""
-    if frac_filter is not None:
-        pre = ""
     rows = """rows_ AS (SELECT user_id, item_id, counts, 'test' AS part FROM test
           UNION ALL SELECT user_id, item_id, counts, 'train' AS part FROM train)"""
     body = f"""WITH {r_cte},
@@ -132,7 +132,7 @@ UNION ALL SELECT part, 'n', CAST(n AS DOUBLE) FROM rm
 UNION ALL SELECT part, 'n_defined', CAST(n_defined AS DOUBLE) FROM ss
 UNION ALL SELECT part, 'mean_rho', round(mean_rho, 6) FROM ss
 UNION ALL SELECT part, 'n_users', CAST(n_users AS DOUBLE) FROM ss"""
-    return pre + body
+    return body
 
 
 def _size_study(model: str = "item", fracs=(0.25, 0.5, 1.0)) -> str:
@@ -200,6 +200,11 @@ SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS row_idx,
        dense_rank() OVER (ORDER BY item_id) - 1 AS col_idx, counts AS value FROM r""",
         "read_titles": """
 SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS item_idx, p_name AS title FROM part""",
+        "read_sources": f"""WITH {EVENT_ROWS}
+SELECT CAST(CASE event_type {' '.join(f"WHEN '{t}' THEN {j}" for j, t in enumerate(inp.EVENT_PIECES))} END AS INTEGER) AS src_ord,
+       CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, CAST(count(*) AS INTEGER) AS counts
+FROM ev WHERE event_type IN ({', '.join(f"'{t}'" for t in inp.EVENT_PIECES)})
+GROUP BY event_type, user_id, item_id""",
         "write_split_tsv": f"{ws}\nSELECT user_id, item_id, counts FROM train",
         "log_scale": f"{w}\nSELECT user_id, item_id, counts, round(ln(1 + counts), 6) AS rating FROM r",
         "cold_start_filter": f"""{ws}
@@ -346,6 +351,7 @@ SELECT user_id, item_id, round({_model(m)}, 6) AS score FROM g""" for m in ("ite
         "eval_item": _eval("item"),
         "eval_user": _eval("user"),
         "eval_blend": _eval("blend"),
+        "eval_item_log": _eval("item", R_EVENTS_LOG),
         "eval_item_orders": _eval("item", R_ORDERS),
         "size_study": _size_study(),
         "profile_and_split": f"""WITH {EVENT_ROWS},
