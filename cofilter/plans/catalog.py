@@ -405,6 +405,24 @@ def _eval_q(model, source="events", log_scale=False):
     return q
 
 
+def q_eval_item_pieces(spark, sf):
+    """E1 as the reference lays it out: several training pieces in a bag
+    union (U1), last-write matrix (W2), evaluation on a held-out piece."""
+    train, test = inp.piece_train_test(spark, sf)
+    scored = evaluation.scored_parts(train, test, "item", order=("src_ord",))
+    m = evaluation.metrics_long(scored)
+    return m.select("part", "metric", r6("value").alias("value"))
+
+
+def q_als_report_pieces(spark, sf):
+    """E4 on pieces: duplicate (user, item) rows stay separate ALS ratings."""
+    train, test = inp.piece_train_test(spark, sf)
+    res, m = evaluation.als_evaluate(train.drop("src_ord"), test)
+    wide = m.groupBy().pivot("part", ["train", "test"]).agg(F.first("rmse"))
+    return wide.select(r6("train").alias("train_rmse"), r6("test").alias("test_rmse"),
+                       F.lit(res.test_count).cast("bigint").alias("test_count"))
+
+
 def q_size_study(spark, sf):
     m = evaluation.size_study(inp.r_events(spark, sf))
     return m.select("frac", "part", "metric", r6("value").alias("value"))
@@ -485,6 +503,8 @@ def queries() -> dict[str, Query]:
         "eval_user": _eval_q("user"),
         "eval_blend": _eval_q("blend"),
         "eval_item_log": _eval_q("item", log_scale=True),
+        "eval_item_pieces": q_eval_item_pieces,
+        "als_report_pieces": q_als_report_pieces,
         "eval_item_orders": _eval_q("item", "orders"),
         "size_study": q_size_study,
         "profile_and_split": q_profile_and_split,

@@ -24,13 +24,23 @@ U, I, V = "user_id", "item_id", "counts"
 
 
 def scored_parts(train: DataFrame, test: DataFrame, model: str, association: str = "auto",
-                 blend_weight: float = 0.5, **skew) -> DataFrame:
-    """(part, user_id, item_id, counts, pred) for test and train rows."""
-    R = build_matrix(train)
-    rows = (test.select(U, I, V).withColumn("part", F.lit("test"))
-            .unionByName(train.select(U, I, V).withColumn("part", F.lit("train"))))
+                 blend_weight: float = 0.5, order=None, **skew) -> DataFrame:
+    """(part, user_id, item_id, counts, pred) for test and train rows. With
+    ``order`` the matrix keeps the last written value of duplicate cells,
+    while every train row is still scored against its own count.
+
+    The rows are checkpointed once up front: the model, the hot-key probes
+    and the metrics then all plan over a short scan instead of re-planning
+    (and re-reading) the sources."""
+    extra = list(order or [])
+    rows = (test.select(U, I, V, *[F.lit(0).cast("int").alias(c) for c in extra])
+            .withColumn("part", F.lit("test"))
+            .unionByName(train.select(U, I, V, *extra).withColumn("part", F.lit("train"))))
     checkpoint_dir(train.sparkSession)
-    return score_pairs(R, rows, model, association, blend_weight, **skew).checkpoint(eager=True)
+    rows = rows.checkpoint(eager=True)
+    R = build_matrix(rows.filter(F.col("part") == "train"), order=order)
+    scored = score_pairs(R, rows.select("part", U, I, V), model, association, blend_weight, **skew)
+    return scored.checkpoint(eager=True)
 
 
 def metrics_long(scored: DataFrame, **skew) -> DataFrame:

@@ -63,3 +63,22 @@ def target_user(R: DataFrame) -> int:
 def candidate_items(R: DataFrame, n: int = N_CANDIDATES) -> DataFrame:
     """The first n items of the item universe in key order (top-n, not a full sort)."""
     return R.select("item_id").distinct().orderBy("item_id").limit(n)
+
+
+# Held-out piece for the multi-file evaluation: trained on the other pieces.
+HELD_OUT_PIECE = "view"
+
+
+def piece_train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(train rows tagged src_ord, held-out rows): the reference's layout of
+    several training files plus one evaluation file. Train rows keep their
+    duplicates across pieces."""
+    pieces = event_pieces(spark, sf_dir)
+    train, test = None, None
+    for ord_, (name, p) in enumerate(zip(EVENT_PIECES, pieces)):
+        if name == HELD_OUT_PIECE:
+            test = p
+            continue
+        t = p.withColumn("src_ord", F.lit(ord_).cast("int"))
+        train = t if train is None else train.unionByName(t)
+    return train, test

@@ -135,6 +135,31 @@ UNION ALL SELECT part, 'n_users', CAST(n_users AS DOUBLE) FROM ss"""
     return body
 
 
+def _eval_pieces(model: str = "item") -> str:
+    held = inp.EVENT_PIECES.index(inp.HELD_OUT_PIECE)
+    cases = " ".join(f"WHEN '{t}' THEN {j}" for j, t in enumerate(inp.EVENT_PIECES))
+    return f"""WITH {EVENT_ROWS},
+pieces AS (SELECT CAST(CASE event_type {cases} END AS INTEGER) AS src_ord, user_id, item_id,
+                  CAST(count(*) AS DOUBLE) AS counts
+           FROM ev GROUP BY event_type, user_id, item_id),
+train AS (SELECT * FROM pieces WHERE src_ord <> {held}),
+test AS (SELECT user_id, item_id, counts FROM pieces WHERE src_ord = {held}),
+rmat AS (SELECT user_id, item_id, arg_max(counts, src_ord) AS counts FROM train GROUP BY 1, 2),
+rows_ AS (SELECT user_id, item_id, counts, 'test' AS part FROM test
+          UNION ALL SELECT user_id, item_id, counts, 'train' AS part FROM train),
+{_scored_rows(model, 'rows_', 'rmat')},
+{_spearman('sc', 'part')},
+rm AS (SELECT part, count(*) AS n, sqrt(avg((counts - pred) * (counts - pred))) AS rmse
+       FROM sc GROUP BY 1),
+ss AS (SELECT part, count(rho) AS n_defined, avg(rho) AS mean_rho, count(*) AS n_users
+       FROM sp GROUP BY 1)
+SELECT part, 'rmse' AS metric, round(rmse, 6) AS value FROM rm
+UNION ALL SELECT part, 'n', CAST(n AS DOUBLE) FROM rm
+UNION ALL SELECT part, 'n_defined', CAST(n_defined AS DOUBLE) FROM ss
+UNION ALL SELECT part, 'mean_rho', round(mean_rho, 6) FROM ss
+UNION ALL SELECT part, 'n_users', CAST(n_users AS DOUBLE) FROM ss"""
+
+
 def _size_study(model: str = "item", fracs=(0.25, 0.5, 1.0)) -> str:
     parts = []
     for f in fracs:
@@ -352,6 +377,7 @@ SELECT user_id, item_id, round({_model(m)}, 6) AS score FROM g""" for m in ("ite
         "eval_user": _eval("user"),
         "eval_blend": _eval("blend"),
         "eval_item_log": _eval("item", R_EVENTS_LOG),
+        "eval_item_pieces": _eval_pieces("item"),
         "eval_item_orders": _eval("item", R_ORDERS),
         "size_study": _size_study(),
         "profile_and_split": f"""WITH {EVENT_ROWS},
