@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cofilter.functions.scalar import inv_sqrt
 from cofilter.operators.matrix import materialize, transpose
-from cofilter.operators.products import (cooccurrence, default_partitions, hot_keys,
+from cofilter.operators.products import (cooccurrence, hot_keys, pair_partitions,
                                          salted_join, square_degree_cost)
 
 U, I, V = "user_id", "item_id", "counts"
@@ -43,14 +43,16 @@ def _hot(df: DataFrame, key: str, skew: dict) -> list:
     return hot_keys(df, key, **params)
 
 
-def _kernels(R: DataFrame, items: DataFrame | None, skew: dict, hot_u: list) -> tuple[DataFrame, DataFrame]:
+def _kernels(R: DataFrame, items: DataFrame | None, skew: dict, hot_u: list,
+             parts: int) -> tuple[DataFrame, DataFrame]:
     """(Rw, M): R with w = P_u^-1/2 on every row, and M(a, b, m_item, m_user)
     with m_item = S_I(a,b), m_user = Σ_u r_ua r_ub P_u^-1/2."""
     p = _norms(R, U, "_p")
     rw = salted_join(R.select(U, I, V), p, U, I, hot=hot_u, **skew) \
         .withColumn("_w", inv_sqrt("_p")).drop("_p")
     q = _norms(R, I, "_q")
-    k = cooccurrence(rw, by=U, col=I, val=V, weight="_w", right_keys=items, hot=hot_u, **skew)
+    k = cooccurrence(rw, by=U, col=I, val=V, weight="_w", right_keys=items, hot=hot_u,
+                     partitions=parts, **skew)
     qa = q.select(F.col(I).alias("a"), F.col("_q").alias("qa"))
     qb = q.select(F.col(I).alias("b"), F.col("_q").alias("qb"))
     m = (k.join(qa, "a").join(qb, "b")
@@ -60,13 +62,17 @@ def _kernels(R: DataFrame, items: DataFrame | None, skew: dict, hot_u: list) ->
     return rw, m
 
 
-def _engine(R: DataFrame, pairs: DataFrame | None, skew: dict) -> DataFrame:
-    """Item-pair association. Returns (user_id, item_id, score_user, score_item)."""
+def _engine(R: DataFrame, pairs: DataFrame | None, skew: dict,
+            pair_count: float | None = None) -> DataFrame:
+    """Item-pair association. Returns (user_id, item_id, score_user, score_item).
+    ``pair_count`` (Σ_u deg(u)²) sizes the pair-generating joins."""
+    if pair_count is None:
+        pair_count = square_degree_cost(R, U).first()["cost"]
+    parts = pair_partitions(R.sparkSession, pair_count)
     hot_u = _hot(R, U, skew)
     items = pairs.select(I) if pairs is not None else None
-    rw, m = _kernels(R, items, skew, hot_u)
+    rw, m = _kernels(R, items, skew, hot_u, parts)
     rows = rw.select(U, F.col(I).alias("a"), F.col(V).alias("v"), "_w")
-    parts = default_partitions(R.sparkSession)
     if pairs is None:
         x = salted_join(rows, m, "a", U, hot=_hot(R, I, skew), partitions=parts, **skew)
     else:
@@ -77,11 +83,17 @@ def _engine(R: DataFrame, pairs: DataFrame | None, skew: dict) -> DataFrame:
                  F.sum(F.col("v") * F.col("m_item")).alias("score_item")))
 
 
-def choose_association(R: DataFrame) -> str:
-    """'items' when Σ_u deg(u)² <= Σ_i deg(i)², else 'users' (two small aggregates)."""
+def association_costs(R: DataFrame) -> dict[str, float]:
+    """{'items': Σ_u deg(u)², 'users': Σ_i deg(i)²}: pair products of each
+    association (two small aggregates, one job)."""
     c = (square_degree_cost(R, U).withColumn("side", F.lit("items"))
          .unionByName(square_degree_cost(R, I).withColumn("side", F.lit("users"))).collect())
-    cost = {r["side"]: r["cost"] for r in c}
+    return {r["side"]: r["cost"] for r in c}
+
+
+def choose_association(R: DataFrame) -> str:
+    """'items' when Σ_u deg(u)² <= Σ_i deg(i)², else 'users'."""
+    cost = association_costs(R)
     return "items" if cost["items"] <= cost["users"] else "users"
 
 
@@ -91,15 +103,16 @@ def neighbourhood_scores(R: DataFrame, pairs: DataFrame | None = None,
     or for the given (user_id, item_id) pairs that have a path. R has columns
     user_id, item_id, counts with unique cells."""
     R = materialize(R)
+    if association not in ("auto", "items", "users"):
+        raise ValueError(f"association must be auto, items or users, not {association!r}")
+    cost = association_costs(R)
     if association == "auto":
-        association = choose_association(R)
+        association = "items" if cost["items"] <= cost["users"] else "users"
     if association == "items":
-        return _engine(R, pairs, skew)
-    if association != "users":
-        raise ValueError(f"association must be auto, items or users, not {association!r}")
+        return _engine(R, pairs, skew, cost["items"])
     rt = transpose(R)
     pt = transpose(pairs) if pairs is not None else None
-    g = _engine(rt, pt, skew)
+    g = _engine(rt, pt, skew, cost["users"])
     return g.select(F.col(I).alias(U), F.col(U).alias(I),
                     F.col("score_item").alias("score_user"),
                     F.col("score_user").alias("score_item"))

@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 DEFAULT_TASK_ROWS = 200_000
 DEFAULT_MAX_HOT = 1024
 DEFAULT_MAX_SALT = 4096
+PAIRS_PER_TASK = 20_000_000   # pair products one task sums in a few seconds
+MAX_PAIR_PARTITIONS = 200_000
 
 
 def _keys(key) -> list[str]:
@@ -34,6 +36,16 @@ def default_partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pair_partitions(spark, pair_count: float | None) -> int:
+    """Partitions for a pair-generating join: enough that each task makes
+    about PAIRS_PER_TASK products, never fewer than the session's shuffle
+    partitions. The pair count is Σ deg² of the join key (one aggregate)."""
+    base = default_partitions(spark)
+    if not pair_count:
+        return base
+    return int(min(MAX_PAIR_PARTITIONS, max(base, math.ceil(pair_count / PAIRS_PER_TASK))))
+
+
 def hot_keys(df: DataFrame, key, task_rows: int = DEFAULT_TASK_ROWS,
              max_hot: int = DEFAULT_MAX_HOT, max_salt: int = DEFAULT_MAX_SALT) -> list[tuple]:
     """[(key values, nsalt)]: the (at most ``max_hot``) largest keys holding
@@ -103,7 +115,9 @@ def cooccurrence(R: DataFrame, by: str, col: str, val: str, weight: str | None =
     right = R.select(F.col(by), F.col(col).alias("b"), F.col(val).alias("vb"))
     if right_keys is not None:
         right = right.join(right_keys.select(F.col(col).alias("b")).distinct(), "b", "left_semi")
-    skew.setdefault("partitions", default_partitions(R.sparkSession))
+    if "partitions" not in skew:
+        cost = square_degree_cost(R, by).first()["cost"]
+        skew["partitions"] = pair_partitions(R.sparkSession, cost)
     pairs = salted_join(left, right, by, "a", **skew)
     symmetric = right_keys is None
     if symmetric:
