@@ -57,7 +57,7 @@ def _kernels(R: DataFrame, items: DataFrame | None, skew: dict, hot_u: list,
     qb = q.select(F.col(I).alias("b"), F.col("_q").alias("qb"))
     m = (k.join(qa, "a").join(qb, "b")
          .select("a", "b",
-                 (F.col("c") * inv_sqrt("qa") * inv_sqrt("qb")).alias("m_item"),
+                 (F.col("c") * inv_sqrt(F.col("qa") * F.col("qb"))).alias("m_item"),
                  F.col("cw").alias("m_user")))
     return rw, m
 
@@ -145,7 +145,7 @@ def item_similarity(R: DataFrame, **skew) -> DataFrame:
     qb = q.select(F.col(I).alias("b"), F.col("_q").alias("qb"))
     return (k.join(qa, "a").join(qb, "b")
             .select(F.col("a").alias("item_i"), F.col("b").alias("item_j"),
-                    (F.col("c") * inv_sqrt("qa") * inv_sqrt("qb")).alias("sim")))
+                    (F.col("c") * inv_sqrt(F.col("qa") * F.col("qb"))).alias("sim")))
 
 
 def user_similarity(R: DataFrame, **skew) -> DataFrame:
