@@ -43,23 +43,24 @@ def _hot(df: DataFrame, key: str, skew: dict) -> list:
     return hot_keys(df, key, **params)
 
 
-def _kernels(R: DataFrame, items: DataFrame | None, skew: dict, hot_u: list,
-             parts: int) -> tuple[DataFrame, DataFrame]:
-    """(Rw, M): R with w = P_u^-1/2 on every row, and M(a, b, m_item, m_user)
-    with m_item = S_I(a,b), m_user = Σ_u r_ua r_ub P_u^-1/2."""
+def _with_norms(R: DataFrame, skew: dict, hot_u: list, hot_i: list) -> DataFrame:
+    """R rows with w = P_u^-1/2 and q = Q_i (column sum) attached. Row and
+    column sums are grouped aggregates; joining them onto R (hot keys split)
+    is cheaper than joining them onto the pair kernel, which is much larger."""
     p = _norms(R, U, "_p")
-    rw = salted_join(R.select(U, I, V), p, U, I, hot=hot_u, **skew) \
-        .withColumn("_w", inv_sqrt("_p")).drop("_p")
     q = _norms(R, I, "_q")
-    k = cooccurrence(rw, by=U, col=I, val=V, weight="_w", right_keys=items, hot=hot_u,
-                     partitions=parts, **skew)
-    qa = q.select(F.col(I).alias("a"), F.col("_q").alias("qa"))
-    qb = q.select(F.col(I).alias("b"), F.col("_q").alias("qb"))
-    m = (k.join(qa, "a").join(qb, "b")
-         .select("a", "b",
-                 (F.col("c") * inv_sqrt(F.col("qa") * F.col("qb"))).alias("m_item"),
-                 F.col("cw").alias("m_user")))
-    return rw, m
+    rp = salted_join(R.select(U, I, V), p, U, I, hot=hot_u, **skew)
+    return salted_join(rp, q, I, U, hot=hot_i, **skew) \
+        .withColumn("_w", inv_sqrt("_p")).drop("_p")
+
+
+def _kernels(rn: DataFrame, items: DataFrame | None, skew: dict, hot_u: list,
+             parts: int) -> DataFrame:
+    """M(a, b, m_item, m_user): m_item = S_I(a,b), m_user = Σ_u r_ua r_ub P_u^-1/2."""
+    k = cooccurrence(rn, by=U, col=I, val=V, weight="_w", right_keys=items, norm="_q",
+                     hot=hot_u, partitions=parts, **skew)
+    return k.select("a", "b", (F.col("c") * inv_sqrt(F.col("na") * F.col("nb"))).alias("m_item"),
+                    F.col("cw").alias("m_user"))
 
 
 def _engine(R: DataFrame, pairs: DataFrame | None, skew: dict,
@@ -69,12 +70,13 @@ def _engine(R: DataFrame, pairs: DataFrame | None, skew: dict,
     if pair_count is None:
         pair_count = square_degree_cost(R, U).first()["cost"]
     parts = pair_partitions(R.sparkSession, pair_count)
-    hot_u = _hot(R, U, skew)
+    hot_u, hot_i = _hot(R, U, skew), _hot(R, I, skew)
+    rn = _with_norms(R, skew, hot_u, hot_i)
     items = pairs.select(I) if pairs is not None else None
-    rw, m = _kernels(R, items, skew, hot_u, parts)
-    rows = rw.select(U, F.col(I).alias("a"), F.col(V).alias("v"), "_w")
+    m = _kernels(rn, items, skew, hot_u, parts)
+    rows = rn.select(U, F.col(I).alias("a"), F.col(V).alias("v"), "_w")
     if pairs is None:
-        x = salted_join(rows, m, "a", U, hot=_hot(R, I, skew), partitions=parts, **skew)
+        x = salted_join(rows, m, "a", U, hot=hot_i, partitions=parts, **skew)
     else:
         e = pairs.select(U, F.col(I).alias("b")).distinct()
         x = salted_join(e, rows, U, "b", partitions=parts, **skew).join(m, ["a", "b"], "inner")
@@ -139,13 +141,10 @@ def scores(R: DataFrame, model: str, pairs: DataFrame | None = None,
 def item_similarity(R: DataFrame, **skew) -> DataFrame:
     """S_I as (item_i, item_j, sim), self pairs kept, zero cells absent."""
     R = materialize(R)
-    q = _norms(R, I, "_q")
-    k = cooccurrence(R, by=U, col=I, val=V, **skew)
-    qa = q.select(F.col(I).alias("a"), F.col("_q").alias("qa"))
-    qb = q.select(F.col(I).alias("b"), F.col("_q").alias("qb"))
-    return (k.join(qa, "a").join(qb, "b")
-            .select(F.col("a").alias("item_i"), F.col("b").alias("item_j"),
-                    (F.col("c") * inv_sqrt(F.col("qa") * F.col("qb"))).alias("sim")))
+    rq = salted_join(R, _norms(R, I, "_q"), I, U, hot=_hot(R, I, skew), **skew)
+    k = cooccurrence(rq, by=U, col=I, val=V, norm="_q", **skew)
+    return k.select(F.col("a").alias("item_i"), F.col("b").alias("item_j"),
+                    (F.col("c") * inv_sqrt(F.col("na") * F.col("nb"))).alias("sim"))
 
 
 def user_similarity(R: DataFrame, **skew) -> DataFrame:

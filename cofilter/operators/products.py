@@ -101,18 +101,27 @@ def salted_join(left: DataFrame, right: DataFrame, key, split_col: str,
 
 
 def cooccurrence(R: DataFrame, by: str, col: str, val: str, weight: str | None = None,
-                 right_keys: DataFrame | None = None, **skew) -> DataFrame:
+                 right_keys: DataFrame | None = None, norm: str | None = None,
+                 **skew) -> DataFrame:
     """K(a, b) = sum over rows sharing ``by`` of v_a * v_b (and, with
-    ``weight``, cw = sum of v_a * v_b * w). Self pairs are kept. With
-    ``right_keys`` (one column named like ``col``) only b in that set is
+    ``weight``, cw = sum of v_a * v_b * w). Self pairs are kept.
+
+    ``norm``: a per-``col`` column carried on the rows (e.g. the column sum
+    of the item); it comes out as ``na``/``nb`` through the aggregate (one
+    value per key), so no join of the much larger K with the norms is needed.
+    ``right_keys`` (one column named like ``col``): only b in that set is
     produced, which is all a pair-restricted score needs. Without it K is
     symmetric: only a <= b is built and the rest mirrored, halving the
     pair products."""
     lcols = [F.col(by), F.col(col).alias("a"), F.col(val).alias("va")]
+    rcols = [F.col(by), F.col(col).alias("b"), F.col(val).alias("vb")]
     if weight:
         lcols.append(F.col(weight).alias("w"))
+    if norm:
+        lcols.append(F.col(norm).alias("_na"))
+        rcols.append(F.col(norm).alias("_nb"))
     left = R.select(*lcols)
-    right = R.select(F.col(by), F.col(col).alias("b"), F.col(val).alias("vb"))
+    right = R.select(*rcols)
     if right_keys is not None:
         right = right.join(right_keys.select(F.col(col).alias("b")).distinct(), "b", "left_semi")
     if "partitions" not in skew:
@@ -126,13 +135,17 @@ def cooccurrence(R: DataFrame, by: str, col: str, val: str, weight: str | None =
     aggs = [F.sum(prod).alias("c")]
     if weight:
         aggs.append(F.sum(prod * F.col("w")).alias("cw"))
+    if norm:
+        aggs += [F.max("_na").alias("na"), F.max("_nb").alias("nb")]
     k = pairs.groupBy("a", "b").agg(*aggs)
     if not symmetric:
         return k
     # mirror in one pass over the aggregate (a union would rebuild the pairs)
-    vals = [c for c in k.columns if c not in ("a", "b")]
-    same = F.struct(F.col("a").alias("a"), F.col("b").alias("b"), *[F.col(v) for v in vals])
-    swap = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), *[F.col(v) for v in vals])
+    vals = [c for c in k.columns if c not in ("a", "b", "na", "nb")]
+    extra_same = [F.col("na"), F.col("nb")] if norm else []
+    extra_swap = [F.col("nb").alias("na"), F.col("na").alias("nb")] if norm else []
+    same = F.struct(F.col("a").alias("a"), F.col("b").alias("b"), *[F.col(v) for v in vals], *extra_same)
+    swap = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), *[F.col(v) for v in vals], *extra_swap)
     both = F.when(F.col("a") < F.col("b"), F.array(same, swap)).otherwise(F.array(same))
     return k.select(F.explode(both).alias("_e")).select("_e.*")
 
