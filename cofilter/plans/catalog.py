@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cofilter.functions.scalar import OUT_DIGITS, inv_sqrt, log_scale_col
+from cofilter.functions.scalar import OUT_DIGITS, log_scale_col
 from cofilter.operators import factor, indexing, matrix, metrics, neighbourhood, ordering
 from cofilter.operators import profile, ranking, sets
 from cofilter.plans import evaluation

@@ -60,3 +60,25 @@ def test_last_write_idempotent(spark):
     again = matrix.build_matrix(once.withColumn("src_ord", once.counts * 0).withColumn("row_no", once.counts * 0),
                                 order=("src_ord", "row_no"))
     assert {(r.user_id, r.item_id): r.counts for r in again.collect()} == got
+
+
+def test_hot_user_with_third_of_rows_is_split_and_exact(spark):
+    """One user holds a third of all cells: it is found as hot, split into
+    buckets, and every score still equals numpy's."""
+    from cofilter.operators.products import hot_keys
+
+    rng = np.random.default_rng(11)
+    users, items = 40, 60
+    dense = (rng.random((users, items)) < 0.05) * rng.integers(1, 5, (users, items))
+    dense[0, :] = rng.integers(1, 5, items)            # the hot user: every item
+    rows = [(int(u), int(i), float(dense[u, i])) for u in range(users) for i in range(items) if dense[u, i]]
+    assert sum(1 for r in rows if r[0] == 0) * 3 >= len(rows) * 0.9
+    R = spark.createDataFrame(rows, "user_id long, item_id long, counts double")
+    hot = hot_keys(R, "user_id", task_rows=20)
+    assert hot and hot[0][0] == (0,) and hot[0][1] >= 3
+    q = np.where(dense.sum(0) == 0, 0.0, 1.0 / np.sqrt(np.maximum(dense.sum(0), 1e-300)))
+    gi = dense @ np.diag(q) @ dense.T @ dense @ np.diag(q)
+    got = neighbourhood.neighbourhood_scores(R, association="items", task_rows=20).collect()
+    assert len(got) == int(np.count_nonzero(gi > 1e-12))
+    for r in got:
+        assert r.score_item == pytest.approx(gi[r.user_id, r.item_id], rel=1e-9)
