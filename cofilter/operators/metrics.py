@@ -33,12 +33,16 @@ def rmse(df: DataFrame, actual: str = "counts", pred: str = "pred", by=None) ->
     return g.withColumn("rmse", F.sqrt("mse"))
 
 
-def rank_table(df: DataFrame, group, col: str, out: str) -> DataFrame:
+def rank_table(df: DataFrame, group, col: str, out: str, tiebreak: str | None = None) -> DataFrame:
     """(group..., col, out): 1-based average-tie rank of each distinct value
     of ``col`` within ``group`` (scipy's 'average' method), i.e. rank() over
-    (partition by group order by col) + (ties - 1) / 2."""
+    (partition by group order by col) + (ties - 1) / 2.
+
+    ``tiebreak``: any other column; it only spreads a heavily tied value over
+    several range partitions (positions inside a tie do not matter)."""
     group = _list(group)
-    numbered, _ = with_row_number(df.select(*group, col), [*group, col], "_pos")
+    extra = [tiebreak] if tiebreak else []
+    numbered, _ = with_row_number(df.select(*group, col, *extra), [*group, col, *extra], "_pos")
     per_value = numbered.groupBy(*group, col).agg(F.min("_pos").alias("_first"),
                                                   F.count(F.lit(1)).alias("_ties"))
     per_group = per_value.groupBy(*group).agg(F.min("_first").alias("_gfirst"))
@@ -52,7 +56,8 @@ def average_rank(df: DataFrame, group, col: str, out: str, **skew) -> DataFrame:
     """``df`` with ``out`` = average-tie rank of ``col`` within ``group``."""
     group = _list(group)
     other = next((c for c in df.columns if c not in (*group, col)), col)
-    return salted_join(df, rank_table(df, group, col, out), [*group, col], other, **skew)
+    return salted_join(df, rank_table(df, group, col, out, other if other != col else None),
+                       [*group, col], other, **skew)
 
 
 def spearman_per_user(df: DataFrame, user: str = "user_id", actual: str = "counts",
@@ -72,9 +77,9 @@ def spearman_per_user(df: DataFrame, user: str = "user_id", actual: str = "count
         checkpoint_dir(df.sparkSession)
         # cut lineage once: the rank table and the join back both read these rows
         base = base.checkpoint(eager=True)
-    sides = (base.select(*group, F.lit(0).alias("_side"), F.col("_x").alias("_v"))
-             .unionByName(base.select(*group, F.lit(1).alias("_side"), F.col("_y").alias("_v"))))
-    ranks = rank_table(sides, [*group, "_side"], "_v", "_r")
+    sides = (base.select(*group, item, F.lit(0).alias("_side"), F.col("_x").alias("_v"))
+             .unionByName(base.select(*group, item, F.lit(1).alias("_side"), F.col("_y").alias("_v"))))
+    ranks = rank_table(sides, [*group, "_side"], "_v", "_r", tiebreak=item)
     rx = ranks.filter(F.col("_side") == 0).select(*group, F.col("_v").alias("_x"), F.col("_r").alias("rx"))
     ry = ranks.filter(F.col("_side") == 1).select(*group, F.col("_v").alias("_y"), F.col("_r").alias("ry"))
     both = salted_join(base, rx, [*group, "_x"], item, **skew)

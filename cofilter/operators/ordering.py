@@ -29,12 +29,16 @@ def _order_exprs(order) -> list[Column]:
 def with_row_number(df: DataFrame, order, name: str = "row_no",
                     num_partitions: int | None = None) -> tuple[DataFrame, int]:
     """Add a 0-based global row number in ``order`` (a total order is the
-    caller's duty: add tie-breaking columns). Returns (frame, row count)."""
+    caller's duty: add tie-breaking columns). Returns (frame, row count).
+
+    Without ``num_partitions`` the range exchange starts from the session's
+    shuffle partitions and AQE may merge adjacent small ranges (which keeps
+    the order), so small inputs do not become hundreds of tiny files."""
     spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     exprs = _order_exprs(order)
     checkpoint_dir(spark)
-    ranged = df.repartitionByRange(n_parts, *exprs).sortWithinPartitions(*exprs)
+    ranged = (df.repartitionByRange(num_partitions, *exprs) if num_partitions
+              else df.repartitionByRange(*exprs)).sortWithinPartitions(*exprs)
     fixed = ranged.checkpoint(eager=True)
     mid = F.monotonically_increasing_id()
     tagged = fixed.withColumn("_rn_mid", mid)

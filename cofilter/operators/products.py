@@ -38,9 +38,10 @@ def default_partitions(spark) -> int:
 
 def pair_partitions(spark, pair_count: float | None) -> int:
     """Partitions for a pair-generating join: enough that each task makes
-    about PAIRS_PER_TASK products, never fewer than the session's shuffle
-    partitions. The pair count is Σ deg² of the join key (one aggregate)."""
-    base = default_partitions(spark)
+    about PAIRS_PER_TASK products, and at least one task per core of the
+    cluster (``defaultParallelism``). The pair count is Σ deg² of the join
+    key (one aggregate)."""
+    base = max(1, spark.sparkContext.defaultParallelism)
     if not pair_count:
         return base
     return int(min(MAX_PAIR_PARTITIONS, max(base, math.ceil(pair_count / PAIRS_PER_TASK))))
