@@ -54,13 +54,30 @@ def read_sources(spark: SparkSession, paths: list[str], tag: str = "src_ord", **
 
 def numbered_lines(spark: SparkSession, path, name: str = "line_no") -> DataFrame:
     """(line_no, value): text lines with their 0-based position in file order."""
-    raw = spark.read.text(path).select(
+    numbered, _ = with_row_number(_file_order(spark, path), ["_f", "_b", "_m"], name)
+    return numbered.select(name, "value")
+
+
+def _file_order(spark: SparkSession, path):
+    return spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("_f"),
         F.col("_metadata.file_block_start").alias("_b"),
         F.monotonically_increasing_id().alias("_m"))
-    numbered, _ = with_row_number(raw, ["_f", "_b", "_m"], name)
-    return numbered.select(name, "value")
+
+
+def head_lines(spark: SparkSession, path, n: int) -> DataFrame:
+    """First n lines of a text source in file order (L1 on files): ORDER BY
+    (file, split start, position) + LIMIT is a TakeOrdered, no full sort."""
+    return _file_order(spark, path).orderBy("_f", "_b", "_m").limit(n).select("value")
+
+
+def head_triples(spark: SparkSession, path, n: int, sep: str = "\t") -> DataFrame:
+    """First n triples of a headerless TSV in file order, typed like S1."""
+    parts = F.split(F.col("value"), sep)
+    return head_lines(spark, path, n).select(
+        parts.getItem(0).alias("user_id"), parts.getItem(1).alias("item_id"),
+        parts.getItem(2).cast("int").alias("counts"))
 
 
 def read_dense_matrix(spark: SparkSession, path, sep: str = " ") -> DataFrame:

@@ -50,6 +50,16 @@ def test_tsv_round_trip(spark):
     assert sorted(files.read_triples(spark, p).collect()) == sorted(df.collect())
 
 
+def test_head_lines_in_file_order(spark):
+    p = _local(scratch_path(spark, "head-test"))
+    os.makedirs(p, exist_ok=True)
+    for k in range(3):
+        with open(os.path.join(p, f"part-{k:05d}.txt"), "w") as fh:
+            fh.write("".join(f"u{k}_{j}\ts{j}\t{j}\n" for j in range(4)))
+    got = [r.user_id for r in files.head_triples(spark, p, 6).collect()]
+    assert got == ["u0_0", "u0_1", "u0_2", "u0_3", "u1_0", "u1_1"]
+
+
 def test_metrics_line(spark):
     df = spark.createDataFrame([(1.5, 2.5, 3)], "a double, b double, c long")
     assert files.metrics_line(df, ["a", "b", "c"]).first().value == "1.5,2.5,3"
