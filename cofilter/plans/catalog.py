@@ -119,8 +119,7 @@ def q_degree_norms(spark, sf):
 
 def q_user_candidates(spark, sf):
     R = inp.r_events(spark, sf)
-    u0 = inp.target_user(R)
-    pairs = inp.candidate_items(R).withColumn(U, F.lit(u0).cast("bigint"))
+    pairs = _candidates(R)
     s = neighbourhood.scores(R, "user", pairs)
     return (pairs.join(s, [U, I], "left")
             .select(U, I, r6(F.coalesce(F.col("score"), F.lit(0.0))).alias("score")))
@@ -205,7 +204,8 @@ def _rmse_q(model):
     return q
 
 
-def _titled_list(spark, sf, R, u0, per_model: dict[str, DataFrame]):
+def _titled_list(spark, sf, per_model: dict[str, DataFrame]):
+    """One ranked, titled list per model (T2 + J5)."""
     out = None
     for name, s in per_model.items():
         t = s.withColumn("model", F.lit(name))
@@ -216,8 +216,9 @@ def _titled_list(spark, sf, R, u0, per_model: dict[str, DataFrame]):
 
 
 def _candidates(R):
+    """(user_id, item_id) pairs: the target user with each candidate item."""
     u0 = inp.target_user(R)
-    return u0, inp.candidate_items(R).withColumn(U, F.lit(u0).cast("bigint"))
+    return inp.candidate_items(R).withColumn(U, F.lit(u0).cast("bigint"))
 
 
 def _with_zero(pairs, s):
@@ -227,11 +228,11 @@ def _with_zero(pairs, s):
 
 def q_topk_titles(spark, sf):
     R = inp.r_events(spark, sf)
-    u0, pairs = _candidates(R)
+    pairs = _candidates(R)
     g = neighbourhood.neighbourhood_scores(R, pairs)
     per = {m: _with_zero(pairs, g.select(U, I, neighbourhood.model_score(g, m).alias("score")))
            for m in ("user", "item")}
-    return _titled_list(spark, sf, R, u0, per)
+    return _titled_list(spark, sf, per)
 
 
 # --- profiling ------------------------------------------------------------------
@@ -291,9 +292,7 @@ def q_average_rank(spark, sf):
 # --- windows / matrix -----------------------------------------------------------
 
 def q_last_write_matrix(spark, sf):
-    ev = event_rows(spark, sf).withColumn("src_ord", F.lit(0))
-    return matrix.last_write(ev.withColumnRenamed("event_id", "row_no"), (U, I), "value",
-                             ("src_ord", "row_no"))
+    return matrix.last_write(event_rows(spark, sf), (U, I), "value", ("event_id",))
 
 
 def q_topk_per_user(spark, sf):
@@ -359,9 +358,9 @@ def q_svd_scores(spark, sf):
 def q_svd_topk_titles(spark, sf):
     R = inp.r_events(spark, sf)
     m = factor.svd_fit(R)
-    u0, pairs = _candidates(R)
+    pairs = _candidates(R)
     s = _with_zero(pairs, factor.svd_scores(R, m, inp.SVD_RANK, pairs))
-    return _titled_list(spark, sf, R, u0, {"svd": s})
+    return _titled_list(spark, sf, {"svd": s})
 
 
 def q_als_predictions(spark, sf):
