@@ -10,8 +10,11 @@ group into one task. Keys above a row threshold are split: the left side's
 rows of that key are spread over ``nsalt`` buckets by a hash of another
 column, and the right side's rows of that key are replicated to each bucket.
 At most ``max_hot`` keys are split, which bounds the broadcast (key, nsalt)
-table by construction. No row is dropped
-or sampled: the result is exact."""
+table by construction. No row is dropped or sampled: the result is exact.
+
+Exactness has a price the data sets: a co-occurrence needs Σ deg² products
+(a user with d items contributes d² pairs). Salting spreads that work over
+tasks; the partial aggregate keeps it from ever being shuffled as pairs."""
 
 from __future__ import annotations
 
