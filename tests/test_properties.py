@@ -82,3 +82,24 @@ def test_hot_user_with_third_of_rows_is_split_and_exact(spark):
     assert len(got) == int(np.count_nonzero(gi > 1e-12))
     for r in got:
         assert r.score_item == pytest.approx(gi[r.user_id, r.item_id], rel=1e-9)
+
+
+def test_hot_key_list_is_bounded(spark):
+    from cofilter.operators.products import hot_keys
+
+    df = spark.range(0, 2000).selectExpr("id % 10 AS k", "id AS v")
+    hot = hot_keys(df, "k", task_rows=5, max_hot=3)
+    assert len(hot) == 3 and all(n == 40 for _, n in hot)
+    assert len(hot_keys(df, "k", task_rows=5, max_hot=3, max_salt=7)) == 3
+    assert all(n == 7 for _, n in hot_keys(df, "k", task_rows=5, max_hot=3, max_salt=7))
+
+
+def test_salted_left_join_keeps_unmatched_rows(spark):
+    from cofilter.operators.products import salted_join
+
+    left = spark.createDataFrame([(1, j) for j in range(30)] + [(2, 0), (3, 0)], "k long, x long")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, y string")
+    plain = sorted(tuple(r) for r in left.join(right, "k", "left").collect())
+    salted = sorted(tuple(r) for r in salted_join(left, right, "k", "x", task_rows=4,
+                                                  how="left").select("k", "x", "y").collect())
+    assert salted == plain and len(salted) == 62   # 30 x 2 + 1 + 1 unmatched
