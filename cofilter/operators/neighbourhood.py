@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cofilter.functions.scalar import inv_sqrt
 from cofilter.operators.matrix import materialize, transpose
-from cofilter.operators.products import (cooccurrence, hot_keys, pair_partitions,
+from cofilter.operators.products import (cooccurrence, degree_stats, pair_partitions,
                                          salted_join, square_degree_cost)
 
 U, I, V = "user_id", "item_id", "counts"
@@ -38,11 +38,6 @@ def _norms(R: DataFrame, key: str, out: str) -> DataFrame:
     return R.groupBy(key).agg(F.sum(V).alias(out))
 
 
-def _hot(df: DataFrame, key: str, skew: dict) -> list:
-    params = {k: v for k, v in skew.items() if k in ("task_rows", "max_hot", "max_salt")}
-    return hot_keys(df, key, **params)
-
-
 def _with_norms(R: DataFrame, skew: dict, hot_u: list, hot_i: list) -> DataFrame:
     """R rows with w = P_u^-1/2 and q = Q_i (column sum) attached. Row and
     column sums are grouped aggregates; joining them onto R (hot keys split)
@@ -63,14 +58,20 @@ def _kernels(rn: DataFrame, items: DataFrame | None, skew: dict, hot_u: list,
                     F.col("cw").alias("m_user"))
 
 
+def _stats(R: DataFrame, key: str, skew: dict) -> tuple[float, list]:
+    params = {k: v for k, v in skew.items() if k in ("task_rows", "max_hot", "max_salt")}
+    return degree_stats(R, key, **params)
+
+
 def _engine(R: DataFrame, pairs: DataFrame | None, skew: dict,
-            pair_count: float | None = None) -> DataFrame:
+            stats_u: tuple | None = None, stats_i: tuple | None = None) -> DataFrame:
     """Item-pair association. Returns (user_id, item_id, score_user, score_item).
-    ``pair_count`` (Σ_u deg(u)²) sizes the pair-generating joins."""
-    if pair_count is None:
-        pair_count = square_degree_cost(R, U).first()["cost"]
+    ``stats_u``/``stats_i``: (Σ deg², hot keys) of users and items; Σ_u deg(u)²
+    sizes the pair-generating joins."""
+    stats_u = stats_u or _stats(R, U, skew)
+    stats_i = stats_i or _stats(R, I, skew)
+    (pair_count, hot_u), (_, hot_i) = stats_u, stats_i
     parts = pair_partitions(R.sparkSession, pair_count)
-    hot_u, hot_i = _hot(R, U, skew), _hot(R, I, skew)
     rn = _with_norms(R, skew, hot_u, hot_i)
     items = pairs.select(I) if pairs is not None else None
     m = _kernels(rn, items, skew, hot_u, parts)
@@ -107,14 +108,15 @@ def neighbourhood_scores(R: DataFrame, pairs: DataFrame | None = None,
     R = materialize(R)
     if association not in ("auto", "items", "users"):
         raise ValueError(f"association must be auto, items or users, not {association!r}")
-    cost = association_costs(R)
+    # one pass per side gives both the association costs and the hot keys
+    su, si = _stats(R, U, skew), _stats(R, I, skew)
     if association == "auto":
-        association = "items" if cost["items"] <= cost["users"] else "users"
+        association = "items" if su[0] <= si[0] else "users"
     if association == "items":
-        return _engine(R, pairs, skew, cost["items"])
+        return _engine(R, pairs, skew, su, si)
     rt = transpose(R)
     pt = transpose(pairs) if pairs is not None else None
-    g = _engine(rt, pt, skew, cost["users"])
+    g = _engine(rt, pt, skew, si, su)
     return g.select(F.col(I).alias(U), F.col(U).alias(I),
                     F.col("score_item").alias("score_user"),
                     F.col("score_user").alias("score_item"))
@@ -141,8 +143,10 @@ def scores(R: DataFrame, model: str, pairs: DataFrame | None = None,
 def item_similarity(R: DataFrame, **skew) -> DataFrame:
     """S_I as (item_i, item_j, sim), self pairs kept, zero cells absent."""
     R = materialize(R)
-    rq = salted_join(R, _norms(R, I, "_q"), I, U, hot=_hot(R, I, skew), **skew)
-    k = cooccurrence(rq, by=U, col=I, val=V, norm="_q", **skew)
+    (cost_u, hot_u), (_, hot_i) = _stats(R, U, skew), _stats(R, I, skew)
+    rq = salted_join(R, _norms(R, I, "_q"), I, U, hot=hot_i, **skew)
+    k = cooccurrence(rq, by=U, col=I, val=V, norm="_q", hot=hot_u,
+                     partitions=pair_partitions(R.sparkSession, cost_u), **skew)
     return k.select(F.col("a").alias("item_i"), F.col("b").alias("item_j"),
                     (F.col("c") * inv_sqrt(F.col("na") * F.col("nb"))).alias("sim"))
 

@@ -66,6 +66,25 @@ def hot_keys(df: DataFrame, key, task_rows: int = DEFAULT_TASK_ROWS,
              int(min(max_salt, math.ceil(r["_deg"] / max(int(task_rows), 1))))) for r in rows]
 
 
+def degree_stats(df: DataFrame, key: str, task_rows: int = DEFAULT_TASK_ROWS,
+                 max_hot: int = DEFAULT_MAX_HOT,
+                 max_salt: int = DEFAULT_MAX_SALT) -> tuple[float, list[tuple]]:
+    """(Σ deg², hot keys) of ``key`` from one pass over ``df``: the per-key
+    degrees are aggregated once and kept for the two small reads (the sum of
+    squares and the top-k), then released."""
+    deg = df.groupBy(key).agg(F.count(F.lit(1)).alias("_deg")).persist()
+    try:
+        d = F.col("_deg").cast("double")
+        cost = deg.agg(F.coalesce(F.sum(d * d), F.lit(0.0)).alias("c")).first()["c"]
+        rows = (deg.filter(F.col("_deg") > int(task_rows))
+                .orderBy(F.col("_deg").desc()).limit(max_hot).collect())
+    finally:
+        deg.unpersist()
+    hot = [((r[key],), int(min(max_salt, math.ceil(r["_deg"] / max(int(task_rows), 1)))))
+           for r in rows]
+    return float(cost), hot
+
+
 def salted_join(left: DataFrame, right: DataFrame, key, split_col: str,
                 task_rows: int = DEFAULT_TASK_ROWS, max_hot: int = DEFAULT_MAX_HOT,
                 max_salt: int = DEFAULT_MAX_SALT, how: str = "inner", hot: list | None = None,
