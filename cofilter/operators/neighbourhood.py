@@ -101,11 +101,14 @@ def choose_association(R: DataFrame) -> str:
 
 
 def neighbourhood_scores(R: DataFrame, pairs: DataFrame | None = None,
-                         association: str = "auto", **skew) -> DataFrame:
+                         association: str = "auto", materialized: bool = False,
+                         **skew) -> DataFrame:
     """(user_id, item_id, score_user, score_item) for every reachable cell,
     or for the given (user_id, item_id) pairs that have a path. R has columns
-    user_id, item_id, counts with unique cells."""
-    R = materialize(R)
+    user_id, item_id, counts with unique cells. ``materialized``: R is already
+    a cheap read of a checkpoint, so it is not written again."""
+    if not materialized:
+        R = materialize(R)
     if association not in ("auto", "items", "users"):
         raise ValueError(f"association must be auto, items or users, not {association!r}")
     # one pass per side gives both the association costs and the hot keys
@@ -134,9 +137,10 @@ def model_score(g: DataFrame, model: str, blend_weight: float = 0.5):
 
 
 def scores(R: DataFrame, model: str, pairs: DataFrame | None = None,
-           association: str = "auto", blend_weight: float = 0.5, **skew) -> DataFrame:
+           association: str = "auto", blend_weight: float = 0.5,
+           materialized: bool = False, **skew) -> DataFrame:
     """(user_id, item_id, score) for one model."""
-    g = neighbourhood_scores(R, pairs, association, **skew)
+    g = neighbourhood_scores(R, pairs, association, materialized, **skew)
     return g.select(U, I, model_score(g, model, blend_weight).alias("score"))
 
 
@@ -158,10 +162,11 @@ def user_similarity(R: DataFrame, **skew) -> DataFrame:
 
 
 def score_pairs(R: DataFrame, rows: DataFrame, model: str = "item",
-                association: str = "auto", blend_weight: float = 0.5, **skew) -> DataFrame:
+                association: str = "auto", blend_weight: float = 0.5,
+                materialized: bool = False, **skew) -> DataFrame:
     """Evaluation rows with ``pred`` = model score, 0 where no path exists
     (the matrix rule: such rows stay and count in the error) (J2)."""
     pairs = rows.select(U, I).distinct()
-    s = scores(R, model, pairs, association, blend_weight, **skew)
+    s = scores(R, model, pairs, association, blend_weight, materialized, **skew)
     return (rows.join(s, [U, I], "left")
             .withColumn("pred", F.coalesce(F.col("score"), F.lit(0.0))).drop("score"))

@@ -39,7 +39,9 @@ def scored_parts(train: DataFrame, test: DataFrame, model: str, association: str
     checkpoint_dir(train.sparkSession)
     rows = rows.checkpoint(eager=True)
     R = build_matrix(rows.filter(F.col("part") == "train"), order=order)
-    scored = score_pairs(R, rows.select("part", U, I, V), model, association, blend_weight, **skew)
+    # without an order R is a filter over the checkpointed rows: no second write
+    scored = score_pairs(R, rows.select("part", U, I, V), model, association, blend_weight,
+                         materialized=order is None, **skew)
     return scored.checkpoint(eager=True)
 
 
