@@ -4,9 +4,9 @@ Every distinct shingle set gets ``coords`` MinHash values. A set is posted under
 each (coordinate, value) pair; pairs nobody shares are skipped, and of the rest
 only the rarest ``coords - matches + 1`` of a set's postings are kept (two sets
 that agree on ``matches`` coordinates must share one of those). Lists are merged
-in rounds: first every member is held against its list's leader, a few times
-under different leaders; lists whose members are all connected by then are
-skipped, and the others are held against each other in full. Candidates agree
+in two steps: first every member is held against two leaders of its list; lists
+whose members are all connected by then are skipped, and in the others what is
+not connected is held against the rest in full. Candidates agree
 on ``matches`` coordinates or more; links are confirmed on the full sets.
 
 With 64 coordinates and 36 matches a pair at similarity 0.8 is missed with a
@@ -32,7 +32,6 @@ SHINGLE = 5
 COORDS = 64
 MATCHES = 36
 PERCENT = 80
-ROUNDS = 3
 #: width of a size class: sizes two classes apart differ by more than 1 / 0.8
 CLASS = float(np.log(1.25))
 
@@ -143,26 +142,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return mapped(both, compare, "a long, b long")
 
 
-def _with_roots(df: DataFrame, comps: DataFrame | None, node: str, out: str) -> DataFrame:
-    if comps is None:
-        return df.withColumn(out, F.col(node))
+def _with_roots(df: DataFrame, comps: DataFrame, node: str, out: str) -> DataFrame:
     c = comps.select(F.col("node").alias(node), F.col("root").alias("_r"))
     return df.join(c, node, "left").withColumn(out, F.coalesce("_r", node)).drop("_r")
 
 
-def _leader_pairs(posts: DataFrame, turn: int) -> DataFrame:
-    """Every posting against its list's leader, where they aren't connected yet;
-    one pair of sets for each pair of components."""
-    size = F.floor(F.log(F.col("n")) / CLASS + F.lit(0.5 * (turn % 2))).cast("int")
-    order = F.xxhash64("id", F.lit(turn)) if turn else F.col("n")
-    p = posts.withColumn("cls", size)
-    lead = p.groupBy("key", "cls").agg(F.min(F.struct(order.alias("o"), "id", "root", "n")).alias("lead"),
+def _leader_pairs(posts: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
+    """Every set with the leaders of its lists that it agrees with best: the
+    smallest set of a list and one picked by hash lead it, within a size class."""
+    p = posts.withColumn("cls", F.floor(F.log(F.col("n")) / CLASS).cast("int"))
+    lead = p.groupBy("key", "cls").agg(F.min(F.struct("n", "id")).alias("l0"),
+                                       F.min(F.struct(F.xxhash64("id"), "id", "n")).alias("l1"),
                                        F.count(F.lit(1)).alias("members")).where("members > 1")
-    pairs = p.join(lead, ["key", "cls"]).where(
-        "root <> lead.root AND 100 * least(n, lead.n) >= 80 * greatest(n, lead.n)")
-    return (pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"),
-                         F.least("root", "lead.root").alias("ra"), F.greatest("root", "lead.root").alias("rb"))
-            .distinct())
+    both = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("l0.id").alias("id"), F.col("l0.n").alias("n")),
+                             F.struct(F.lit(1).alias("turn"), F.col("l1.id").alias("id"), F.col("l1.n").alias("n"))))
+    pairs = (p.join(lead, ["key", "cls"]).select("id", "n", both.alias("l"))
+             .where("id <> l.id AND 100 * least(n, l.n) >= 80 * greatest(n, l.n)")
+             .select(F.col("id").alias("a"), F.col("l.id").alias("b"), "l.turn").distinct())
+    best = _agreeing(pairs, sets, matches).groupBy("a", "turn").agg(F.max_by("b", F.struct("same", F.negative("b"))).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _rest_pairs(posts: DataFrame, percent: int) -> DataFrame:
@@ -194,26 +192,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = stored(_postings(sets, coords, matches), "postings")
     texts = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
              .where("id IS NOT NULL"))
-    edges, comps, done = None, None, None
-    for turn in range(ROUNDS + 1):
-        rooted = _with_roots(posts, comps, "id", "root")
-        if turn < ROUNDS:
-            pairs = _agreeing(_leader_pairs(rooted, turn), sets, matches)
-            pairs = pairs.groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p"))
-            pairs = pairs.select("p.*")
-        else:
-            pairs = _agreeing(_rest_pairs(rooted, percent), sets, matches).select("a", "b")
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
-        done = pairs if done is None else done.union(pairs)
-        found = stored(_confirmed(pairs, texts, shingle, percent), "links")
-        edges = found if edges is None else edges.union(found)
-        comps = components(edges)
+    done = stored(_leader_pairs(posts, sets, matches), "pairs")
+    comps = components(_confirmed(done, texts, shingle, percent))
+    # what the leaders didn't connect: full comparison in the lists that still hold several components
+    rest = _rest_pairs(_with_roots(posts, comps, "id", "root"), percent)
+    rest = stored(_agreeing(rest, sets, matches).join(done, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+    if not rest.isEmpty():
+        found = _confirmed(rest, texts, shingle, percent)
+        comps = components(found.union(comps.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = member.join(classes, ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     named = _with_roots(named, comps, "rep", "component_id")
     return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
