@@ -4,9 +4,10 @@ Every distinct shingle set gets ``coords`` MinHash values. A set is posted under
 each (coordinate, value) pair; pairs nobody shares are skipped, and of the rest
 only the rarest ``coords - matches + 1`` of a set's postings are kept (two sets
 that agree on ``matches`` coordinates must share one of those). Lists are merged
-in two steps: first every member is held against two leaders of its list; lists
-whose members are all connected by then are skipped, and in the others what is
-not connected is held against the rest in full. Candidates agree
+in two steps: first every set is held against one leader of its lists; lists whose
+members are all connected by then are skipped. In the others, if they have at most
+``SHORT`` members, what is not connected becomes pairs with the rest; longer lists
+are compared in blocks of documents, on the full sets. Pairs agree
 on ``matches`` coordinates or more; links are confirmed on the full sets.
 
 With 64 coordinates and 36 matches a pair at similarity 0.8 is missed with a
@@ -31,6 +32,8 @@ from cofilter.llm.common import WORD_BASE, components, list_array, mapped, mix64
 SHINGLE = 5
 COORDS = 64
 MATCHES = 36
+SHORT = 32
+CELL_SHINGLES = 400_000
 PERCENT = 80
 #: width of a size class: sizes two classes apart differ by more than 1 / 0.8
 CLASS = float(np.log(1.25))
@@ -117,14 +120,6 @@ def _agreeing(pairs: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-    def to_sets(batches):
-        for batch in slices(batches, "t"):
-            sets = shingle_sets(text_bytes(batch.column(1)), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                             names=["id", "s"])
-
     def compare(batches):
         for batch in slices(batches, "sb"):
             ok = []
@@ -134,9 +129,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
                 ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    full = (mapped(texts.join(ids, "id", "left_semi"), to_sets, "id long, s binary")
-            .groupBy("id").agg(F.max_by("s", F.length("s")).alias("s")))
-    full = stored(full, "sets")
+    full = _full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), texts, width)
     both = (pairs.select("a", "b").join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
             .join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb"))
     return mapped(both, compare, "a long, b long")
@@ -148,28 +141,21 @@ def _with_roots(df: DataFrame, comps: DataFrame, node: str, out: str) -> DataFra
 
 
 def _leader_pairs(posts: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
-    """Every set with the leaders of its lists that it agrees with best: the
-    smallest set of a list and one picked by hash lead it, within a size class."""
+    """Every set with that leader of its lists that it agrees with best; a hash of
+    list and member picks the leader of each size class of a list."""
     p = posts.withColumn("cls", F.floor(F.log(F.col("n")) / CLASS).cast("int"))
-    lead = p.groupBy("key", "cls").agg(F.min(F.struct("n", "id")).alias("l0"),
-                                       F.min(F.struct(F.xxhash64("id"), "id", "n")).alias("l1"),
+    lead = p.groupBy("key", "cls").agg(F.min(F.struct(F.xxhash64("key", "id"), "id", "n")).alias("l"),
                                        F.count(F.lit(1)).alias("members")).where("members > 1")
-    both = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("l0.id").alias("id"), F.col("l0.n").alias("n")),
-                             F.struct(F.lit(1).alias("turn"), F.col("l1.id").alias("id"), F.col("l1.n").alias("n"))))
-    pairs = (p.join(lead, ["key", "cls"]).select("id", "n", both.alias("l"))
-             .where("id <> l.id AND 100 * least(n, l.n) >= 80 * greatest(n, l.n)")
-             .select(F.col("id").alias("a"), F.col("l.id").alias("b"), "l.turn").distinct())
-    best = _agreeing(pairs, sets, matches).groupBy("a", "turn").agg(F.max_by("b", F.struct("same", F.negative("b"))).alias("b"))
+    pairs = (p.join(lead, ["key", "cls"]).where("id <> l.id AND 100 * least(n, l.n) >= 80 * greatest(n, l.n)")
+             .select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct())
+    best = _agreeing(pairs, sets, matches).groupBy("a").agg(F.max_by("b", F.struct("same", F.negative("b"))).alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _rest_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """In lists that still hold several components: the members outside the
-    list's largest component against all members of other components."""
-    count = posts.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
-    lists = count.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"),
-                                     F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    open_ = posts.withColumn("cls", F.floor(F.log(F.col("n")) / CLASS).cast("int")).join(lists, "key")
+    """In short lists: the members outside the list's largest component against all
+    members of other components. At most ``SHORT`` pairs for each posting."""
+    open_ = posts.withColumn("cls", F.floor(F.log(F.col("n")) / CLASS).cast("int"))
     left = (open_.where("root <> main").withColumn("at", F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1)))
             .select("key", F.col("at").alias("cls"), F.col("id").alias("i"), F.col("root").alias("r"),
                     F.col("n").alias("m")))
@@ -178,6 +164,81 @@ def _rest_pairs(posts: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct()
 
 
+def linked_cells(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a cell's documents, where ``left`` marks one block and the rest the other
+    (all left: one block with itself): each document with the smallest id that links
+    lead to within the cell. Intersections are products of incidence matrices, over
+    the shingles that several documents have, some thousand at a time."""
+    rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
+    if not len(cols):
+        cols = rows
+    size = np.array([len(s) for s in sets], np.float32)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    value, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    keep = count[place] > 1
+    owner, place = owner[keep], column[place[keep]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        i, j = np.searchsorted(place, (start, start + 4096))
+        dense = np.zeros((len(sets), 4096), np.float32)
+        dense[owner[i:j], place[i:j] - start] = 1
+        both += dense[rows] @ dense[cols].T
+    link = 100 * both >= percent * (size[rows, None] + size[None, cols] - both)
+    label = ids.copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        new = label.copy()
+        new[rows] = np.minimum(new[rows], np.where(link, label[cols], top).min(axis=1, initial=top))
+        new[cols] = np.minimum(new[cols], np.where(link, label[rows][:, None], top).min(axis=0, initial=top))
+        if (new == label).all():
+            break
+        label = new
+    moved = label != ids
+    return ids[moved], label[moved]
+
+
+def _cell_links(posts: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """In long lists: whole blocks of documents against each other, so that no pair
+    is ever a row. A document's home is the longest of its lists; homes are dealt into
+    blocks of about ``CELL_SHINGLES`` shingles, and two blocks that meet in some list
+    are one cell."""
+    home = posts.groupBy("id").agg(F.max(F.struct("members", "key")).alias("h"), F.max("n").alias("n"))
+    weight = home.groupBy("h.key").agg(F.sum("n").alias("w"))
+    slot = F.pmod(F.xxhash64("id"), F.ceil(F.col("w") / CELL_SHINGLES))
+    doc = stored(home.select("id", "n", F.col("h.key").alias("key")).join(weight, "key")
+                 .select("id", F.xxhash64("key", slot).alias("block")), "homes")
+    met = posts.join(doc, "id").select("key", "block").distinct()
+    cells = (met.withColumnRenamed("block", "i").join(met.withColumnRenamed("block", "j"), "key").where("i <= j")
+             .select("i", "j").distinct())
+    rows = _full_sets(doc.select("id"), texts, width).join(doc, "id")
+    left = cells.join(rows.withColumnRenamed("block", "i"), "i").select("i", "j", F.lit(True).alias("left"), "id", "s")
+    right = cells.where("i < j").join(rows.withColumnRenamed("block", "j"), "j").select(
+        "i", "j", F.lit(False).alias("left"), "id", "s")
+
+    def run(cell: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell["s"]]
+        a, b = linked_cells(cell["id"].to_numpy(), sets, cell["left"].to_numpy(), percent)
+        return pa.table({"a": pa.array(b), "b": pa.array(a)})
+
+    return left.union(right).groupBy("i", "j").applyInArrow(run, "a long, b long")
+
+
+def _full_sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(id, s): the shingle sets of some documents, as bytes."""
+
+    def to_sets(batches):
+        for batch in slices(batches, "t"):
+            sets = shingle_sets(text_bytes(batch.column(1)), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                             names=["id", "s"])
+
+    return stored(mapped(texts.join(ids, "id", "left_semi"), to_sets, "id long, s binary")
+                  .groupBy("id").agg(F.max_by("s", F.length("s")).alias("s")), "sets")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     percent: int = PERCENT, coords: int = COORDS, matches: int = MATCHES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
@@ -194,12 +255,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .where("id IS NOT NULL"))
     done = stored(_leader_pairs(posts, sets, matches), "pairs")
     comps = components(_confirmed(done, texts, shingle, percent))
-    # what the leaders didn't connect: full comparison in the lists that still hold several components
-    rest = _rest_pairs(_with_roots(posts, comps, "id", "root"), percent)
-    rest = stored(_agreeing(rest, sets, matches).join(done, ["a", "b"], "left_anti").select("a", "b"), "pairs")
-    if not rest.isEmpty():
-        found = _confirmed(rest, texts, shingle, percent)
-        comps = components(found.union(comps.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    # what the leaders didn't connect, in the lists that still hold several components
+    rooted = _with_roots(posts, comps, "id", "root")
+    count = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+    lists = count.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("members"),
+                                     F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    rooted = stored(rooted.join(lists, "key"), "open")
+    rest = _agreeing(_rest_pairs(rooted.where(F.col("members") <= SHORT), percent), sets, matches)
+    rest = stored(rest.join(done, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+    found = _confirmed(rest, texts, shingle, percent)
+    long = rooted.where(F.col("members") > SHORT)
+    if not long.isEmpty():
+        found = found.union(_cell_links(long, texts, shingle, percent))
+    comps = components(found.union(comps.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = member.join(classes, ["n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     named = _with_roots(named, comps, "rep", "component_id")
     return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",

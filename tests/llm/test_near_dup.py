@@ -3,9 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from cofilter.llm.near_dup import near_duplicates
+from cofilter.llm import near_dup
+from cofilter.llm.near_dup import linked_cells, near_duplicates
 
 
 def brute(rows, width=4, percent=80):
@@ -58,7 +60,32 @@ def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_groups_and_chains(spark):
+def test_cells_match_brute_force():
+    rng = np.random.default_rng(8)
+    base = np.arange(1, 101, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.permutation(base)[: 100 - k], 1000 * (i + 1) + np.arange(k)))).astype(np.uint64)
+            for i, k in enumerate(rng.integers(0, 20, 40))]
+    ids, left = rng.permutation(500)[:40], np.arange(40) < 25
+
+    def want(pairs):
+        root = {i: i for i in ids}
+        for _ in ids:
+            for a, b in pairs:
+                n = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                    root[ids[a]] = root[ids[b]] = min(root[ids[a]], root[ids[b]])
+        return {(i, r) for i, r in root.items() if i != r}
+
+    got = linked_cells(ids, sets, left, 80)
+    assert set(zip(*got, strict=True)) == want([(a, b) for a in range(25) for b in range(25, 40)])
+    got = linked_cells(ids, sets, np.ones(40, bool), 80)
+    assert set(zip(*got, strict=True)) == want([(a, b) for a in range(40) for b in range(a)])
+
+
+@pytest.mark.parametrize("short, cell", [(32, 400_000), (4, 1500)])
+def test_groups_and_chains(spark, monkeypatch, short, cell):
+    monkeypatch.setattr(near_dup, "SHORT", short)
+    monkeypatch.setattr(near_dup, "CELL_SHINGLES", cell)
     rnd = random.Random(5)
     rows = []
 
@@ -69,7 +96,7 @@ def test_groups_and_chains(spark):
     passage = [f"p{rnd.randrange(10**6)}" for _ in range(60)]
     for _ in range(60):  # near copies of one text
         w = list(base)
-        for _ in range(rnd.randrange(3)):
+        for _ in range(rnd.randrange(6)):
             w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
         add(w)
     for _ in range(50):  # one passage in many texts of their own
