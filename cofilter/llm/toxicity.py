@@ -93,7 +93,7 @@ class Words:
         return out
 
     def _join_letters(self, text: np.ndarray) -> None:
-        short = np.fromiter((len(w) == 1 for w in self.distinct), bool, len(self.distinct))
+        short = np.fromiter((len(w) == 1 and w.isalpha() for w in self.distinct), bool, len(self.distinct))
         if not short.any():
             return
         one = np.concatenate(([False], short[self.code], [False]))
