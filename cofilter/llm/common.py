@@ -63,7 +63,7 @@ _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 WORD_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-def _powers(n: int, base: int) -> np.ndarray:
+def powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     np.multiply.accumulate(out, out=out)
@@ -77,7 +77,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and 64-bit hash of every word of a byte array."""
     if len(data) + 1 > len(_POW["up"]):
         n = 2 * len(data) + 2
-        _POW["up"], _POW["down"] = _powers(n, int(WORD_BASE)), _powers(n, pow(int(WORD_BASE), -1, 1 << 64))
+        _POW["up"], _POW["down"] = powers(n, int(WORD_BASE)), powers(n, pow(int(WORD_BASE), -1, 1 << 64))
     space = _SPACES[data]
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)

@@ -4,17 +4,19 @@ A text, with a space in front, is cut into units where no piece of the table can
 cross (a piece never goes from a letter to a full stop, say), and units over
 ``MAX_UNIT`` characters every ``MAX_UNIT``. Distinct units are few beside their
 occurrences, so only they are segmented: every substring up to the longest piece
-is exploded, equi-joined to the piece table, the edges are grouped by unit, and a
-higher-order ``aggregate`` folds them from left to right, keeping the best path
-to every position (Viterbi). A character without a piece becomes its UTF-8 byte
-pieces. Ties go to the edge that starts first.
+is joined to the piece table by a hash, the edges are held by unit and place, and
+a fold from left to right keeps the best path to every place (Viterbi). A
+character without a piece becomes its UTF-8 byte pieces. Ties go to the longer
+piece. The lattice runs on arrays inside the tasks; as rows of Spark tables with
+a higher-order ``aggregate`` the same work took over twice its budget (README).
 
 Scores are the logarithms of the pieces' ranks, -ln(1 + rank): the table given
 here is ranked by merges, and sums of raw ranks would prefer many common pieces
 to one rarer piece.
 
-Documents travel in blocks of about ``BLOCK_CHARS`` characters: a block's distinct
-units meet the segmentations, which come back to the block once each; no
+Documents travel in blocks of about ``BLOCK_CHARS`` characters. A block's distinct
+units go to the bucket of their checksum, about ``UNIT_CHARS`` characters of text
+each, where every unit is segmented once, and come back to the block; no
 occurrence is ever shuffled. A block is named by a digest of its texts, so the
 two passes that build it agree; a unit without its segmentation is an error.
 
@@ -26,22 +28,22 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofilter.llm.common import mapped
+from cofilter.llm.common import WORD_BASE, powers, mapped, mix64
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_CHARS = 16 << 20
-UNIT_BYTES = 16 << 20  # of text for each task that segments units
+UNIT_CHARS = 16 << 20  # of text for each bucket of units
 MAX_UNIT = 64
-BLOCKS_AT_ONCE = 1024
-BROADCAST_ROWS = 500_000
 
 
 @dataclass
@@ -70,11 +72,6 @@ class Pieces:
                 score.append(-math.log1p(max(0.0, -model.get_score(i))))
         return Pieces(text, ids, score, byte_ids, min(score) - 1.0)
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        rows = spark.createDataFrame(list(zip(self.text, self.ids, self.score, strict=True)),
-                                     "piece string, id int, score double")
-        return F.broadcast(rows) if len(self.text) <= BROADCAST_ROWS else rows
-
     def cutter(self) -> Cutter:
         inside = np.zeros((4, 4), bool)
         for p in self.text:
@@ -131,131 +128,195 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Re
         yield int.from_bytes(name.digest(), "little", signed=True), held
 
 
-def _distinct(parts: list[pa.RecordBatch] | list[pa.Array], cutter: Cutter) -> list[str]:
+def _distinct(parts: list[pa.RecordBatch], cutter: Cutter, buckets: int) -> list[list[str]]:
+    """The distinct units of a block, sorted, by bucket of their checksum."""
     found: set[str] = set()
     for part in parts:
-        column = part.column(0) if isinstance(part, pa.RecordBatch) else part
-        for t in column:
+        for t in part.column(0):
             if t := t.as_py():
                 found.update(cutter.units(t))
-    return sorted(found)
-
-
-def segment(units: DataFrame, pieces: Pieces, unit: str, carry: list[str]) -> DataFrame:
-    """Best segmentation of each row's ``unit``: the columns ``carry`` and ids. Rows
-    of a unit must lie in one partition for the grouping to need no shuffle."""
-    spark = units.sparkSession
-    longest = max(map(len, pieces.text))
-    n = F.length(unit)
-    spans = F.expr(f"""flatten(transform(sequence(1, length({unit})), i -> transform(
-        sequence(1, least({longest}, length({unit}) - i + 1)),
-        l -> struct(i - 1 as start, i - 1 + l as end, substring({unit}, i, l) as piece))))""")
-    edges = (units.where(n > 0).select(unit, *carry, F.explode(spans).alias("x"))
-             .select(unit, *carry, "x.start", "x.end", "x.piece"))
-    joined = edges.join(pieces.frame(spark), "piece", "left").where("id IS NOT NULL OR end = start + 1")
-    byte_ids = F.lit(pieces.byte_ids)
-    fallback = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda k: F.element_at(byte_ids, F.conv(
-        F.substring(F.hex(F.col("piece").cast("binary")), 2 * k - 1, F.lit(2)), 16, 10).cast("int") + 1))
-    edge = F.struct("end", "start", F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback).alias("ids"),
-                    F.coalesce("score", F.lit(pieces.byte_score) * F.octet_length("piece")).alias("score"))
-    key = [unit, *[c for c in carry if c == "salt"]]
-    rest = [c for c in carry if c not in key]
-    lattice = joined.groupBy(*key).agg(F.array_sort(F.collect_list(edge)).alias("edges"),
-                                       *[F.first(c).alias(c) for c in rest])
-    # done: the best path to every finished position; then the position in work and its best edge so far
-    state = ("struct<done: array<struct<score: double, ids: array<int>>>, end: int, score: double, start: int, "
-             "ids: array<int>>")
-    closed = ("concat(a.done, array(named_struct('score', a.score, 'ids', "
-              "concat(element_at(a.done, a.start + 1).ids, a.ids))))")
-    fold = f"""aggregate(edges,
-        cast(named_struct('done', array(), 'end', 0, 'score', 0D, 'start', -1, 'ids', array()) as {state}),
-        (a, e) -> cast(case
-            when e.end > a.end then named_struct(
-                'done', if(a.end = 0, array(named_struct('score', 0D, 'ids', cast(array() as array<int>))), {closed}),
-                'end', e.end,
-                'score', e.score + if(a.end = 0, 0D, if(e.start = a.end, a.score, element_at(a.done, e.start + 1).score)),
-                'start', e.start, 'ids', e.ids)
-            when element_at(a.done, e.start + 1).score + e.score > a.score then named_struct(
-                'done', a.done, 'end', a.end, 'score', element_at(a.done, e.start + 1).score + e.score,
-                'start', e.start, 'ids', e.ids)
-            else a end as {state}),
-        a -> concat(element_at(a.done, a.start + 1).ids, a.ids))"""
-    return lattice.select(*carry, F.expr(fold).alias("ids"))
+    out: list[list[str]] = [[] for _ in range(buckets)]
+    for u in sorted(found):
+        out[zlib.crc32(u.encode("utf-8", "surrogatepass")) % buckets].append(u)
+    return out
+
+
+class Lattice:
+    """Best segmentations of many units at once."""
+
+    def __init__(self, pieces: Pieces):
+        self.p = pieces
+        self.longest = max(map(len, pieces.text))
+        self.bytes = np.array(pieces.byte_ids, np.int32)
+        size = max(1 << 16, sum(map(len, pieces.text)))
+        self.up = powers(size, int(WORD_BASE))
+        self.down = powers(size, pow(int(WORD_BASE), -1, 1 << 64))
+        code, start, size = _codes(pieces.text)
+        key = self._hash(code, start, size)
+        order = np.argsort(key)
+        self.key, self.size = key[order], size[order]
+        self.ids, self.score = np.array(pieces.ids, np.int32)[order], np.array(pieces.score)[order]
+
+    def _hash(self, code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Polynomial hashes of substrings, all from one array of prefix sums."""
+        total = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum((code.astype(np.uint64) + np.uint64(1)) * self.up[: len(code)], out=total[1:])
+        return mix64((total[start + size] - total[start]) * self.down[start] + size.astype(np.uint64))
+
+    def edges(self, code: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and id by length and start: every substring up to the longest piece,
+        joined to the piece table; ``room`` is what is left of the unit at each start."""
+        n = len(code)
+        score = np.full((self.longest + 1, n), -np.inf)
+        ids = np.full((self.longest + 1, n), -1, np.int32)
+        for size in range(1, self.longest + 1):
+            at = np.flatnonzero(room >= size)
+            if not len(at):
+                break
+            key = self._hash(code, at, np.full(len(at), size))
+            place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            hit = (self.key[place] == key) & (self.size[place] == size)
+            score[size, at[hit]], ids[size, at[hit]] = self.score[place[hit]], self.ids[place[hit]]
+        lone = ids[1] < 0  # no piece for the character: its bytes
+        width = 1 + (code > 0x7F).astype(int) + (code > 0x7FF) + (code > 0xFFFF)
+        score[1, lone] = self.p.byte_score * width[lone]
+        return score, ids
+
+    def segment(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in one array, and their number by unit."""
+        flat, sizes = [], []
+        part, held = [], 0
+        for u in [*units, None]:
+            if part and (u is None or held + len(u) > 1 << 16):
+                ids, size = self._segment(part)
+                flat.append(ids)
+                sizes.append(size)
+                part, held = [], 0
+            if u is not None:
+                part.append(u)
+                held += len(u)
+        return (np.concatenate(flat), np.concatenate(sizes)) if flat else (np.empty(0, np.int32), np.empty(0, np.int64))
+
+    def _segment(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        code, start, length = _codes(units)
+        room = np.repeat(start + length, length) - np.arange(len(code))
+        score, ids = self.edges(code, room)
+        # fold from left to right, all units in step; a node stands before each character and at each end
+        node = start + np.arange(len(units))
+        best = np.full(len(code) + len(units), -np.inf)
+        best[node] = 0
+        back = np.zeros(len(best), np.int16)
+        order = np.argsort(-length, kind="stable")
+        live = np.searchsorted(-length[order], -np.arange(length.max(initial=0) + 1), "right")
+        for t in range(1, len(live)):
+            who = order[: live[t]]
+            top, by = np.full(len(who), -np.inf), np.zeros(len(who), np.int16)
+            for size in range(min(t, self.longest), 0, -1):
+                value = best[node[who] + t - size] + score[size, start[who] + t - size]
+                better = value > top
+                top[better], by[better] = value[better], size
+            best[node[who] + t], back[node[who] + t] = top, by
+        # walk back, marking where the pieces of the best path start
+        used = np.zeros(len(code), np.int16)
+        who, at = np.arange(len(units)), length.copy()
+        while len(who):
+            size = back[node[who] + at[who]]
+            at[who] -= size
+            used[start[who] + at[who]] = size
+            who = who[at[who] > 0]
+        place = np.flatnonzero(used)
+        unit = np.repeat(np.arange(len(units)), length)[place]
+        own = ids[used[place], place]
+        lone = np.flatnonzero(own < 0)
+        if not len(lone):
+            return own, np.bincount(unit, minlength=len(units))
+        spelled = [np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8) for c in code[place[lone]].tolist()]
+        width = np.ones(len(own), np.int64)
+        width[lone] = [len(b) for b in spelled]
+        out = np.repeat(own, width)
+        out[np.repeat(own < 0, width)] = self.bytes[np.concatenate(spelled)]
+        return out, np.bincount(unit, width, len(units)).astype(np.int64)
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return code, np.cumsum(size) - size, size
 
 
 def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``ids``, the piece ids of the text.
-
-    Raises the session's limit of groups that an object hash aggregate holds
-    before it sorts (a task has about ``UNIT_BYTES`` of text's units)."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "1000000")
+    """``docs`` (or its columns ``keep``) with ``ids``, the piece ids of the text."""
     kept = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
     rows = docs.select(F.col(f"`{text_col}`").alias("_t"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)])
     cutter = pieces.cutter()
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    text = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    buckets = max(1, int(text // UNIT_CHARS) + 1)
 
     def units_of(batches):
         for name, parts in _blocks(batches):
-            units = _distinct(parts, cutter)
-            for at in range(0, len(units), 50_000):
-                part = units[at: at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(part), pa.int64()), pa.array(np.arange(at, at + len(part), dtype=np.int32)),
-                     pa.array(part, pa.string())], names=["block", "place", "unit"])
+            units = _distinct(parts, cutter, buckets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * buckets, pa.int64()), pa.array(range(buckets), pa.int32()),
+                 pa.array(units, pa.list_(pa.string()))], names=["block", "bucket", "units"])
+
+    def segmented(group: pa.Table) -> pa.Table:
+        place: dict[str, int] = {}
+        index = [place.setdefault(u, len(place)) for u in group["units"].combine_chunks().flatten().to_pylist()]
+        ids, size = Lattice(shared.value).segment(list(place))
+        begin = np.cumsum(size) - size
+        index, out = np.array(index, np.int64), []
+        stop = np.cumsum(pa.compute.list_value_length(group["units"]).to_numpy())
+        for a, b in zip(np.concatenate(([0], stop[:-1])).tolist(), stop.tolist(), strict=True):
+            own = size[index[a:b]]
+            at = np.repeat(begin[index[a:b]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            out.append((own.astype(np.int16).tobytes(), ids[at].astype(np.int32).tobytes()))
+        return pa.table({"block": group["block"], "bucket": group["bucket"], "size": pa.array([x for x, _ in out], pa.binary()),
+                         "ids": pa.array([x for _, x in out], pa.binary())})
 
     def payload(batches):
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        codec = pa.Codec("zstd", compression_level=3)
         for name, parts in _blocks(batches):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, parts[0].schema, options=options) as out:
+            with pa.ipc.new_stream(sink, parts[0].schema) as out:
                 for p in parts:
                     out.write_batch(p)
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()],
-                                                                                    pa.binary())], names=["block", "blob"])
+            raw = sink.getvalue()
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([raw.size], pa.int64()),
+                                              pa.array([codec.compress(raw, asbytes=True)], pa.binary())],
+                                             names=["block", "size", "blob"])
 
-    text = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    tasks = max(1, int(text // UNIT_BYTES) + 1)
-    salts = max(1, int(text // BLOCK_CHARS) // BLOCKS_AT_ONCE + 1)
-    pairs = mapped(rows.select("_t"), units_of, "block long, place int, unit string")
-    pairs = pairs.withColumn("salt", F.pmod("block", F.lit(salts)).cast("int")).repartition(tasks, "unit", "salt")
-    distinct = pairs.groupBy("unit", "salt").agg(F.collect_list(F.struct("block", "place")).alias("at"))
-    done = (segment(distinct, pieces, "unit", ["at", "salt"]).select(F.explode("at").alias("x"), "ids")
-            .select("x.block", "x.place", "ids"))
+    done = (mapped(rows.select("_t"), units_of, "block long, bucket int, units array<string>").groupBy("bucket")
+            .applyInArrow(segmented, "block long, bucket int, size binary, ids binary"))
     fields = [f"_c{i}" for i in range(len(kept))]
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        place = right["place"].to_numpy()
-        coded = right["ids"].combine_chunks()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.chunk(0) if coded.num_chunks else pa.array([], pa.list_(pa.int32()))
-        offset, flat = coded.offsets.to_numpy(), coded.values.to_numpy().astype(np.int32)
-        raw = flat.tobytes()
-        code: dict[str, bytes] | None = None
+        found = {b: (np.frombuffer(s, np.int16).tolist(), i) for b, s, i in zip(
+            right["bucket"].to_pylist(), right["size"].to_pylist(), right["ids"].to_pylist(), strict=True)}
+        code: dict[str, bytes] = {}
         out = []
-        for blob in left["blob"]:
-            parts = list(pa.ipc.open_stream(pa.py_buffer(blob.as_buffer())))
-            if code is None:
-                units = _distinct([p.column(0) for p in parts], cutter)
-                found = dict(zip(place.tolist(), zip((4 * offset[:-1]).tolist(), (4 * offset[1:]).tolist(), strict=True),
-                                 strict=True))
-                code = {u: raw[slice(*found[i])] for i, u in enumerate(units)}  # a missing unit is an error
+        for size, blob in zip(left["size"].to_pylist(), left["blob"], strict=True):
+            parts = list(pa.ipc.open_stream(pa.Codec("zstd").decompress(blob.as_buffer(), size)))
+            if not code:
+                for bucket, units in enumerate(_distinct(parts, cutter, buckets)):
+                    sizes, ids = found[bucket]
+                    at = 0
+                    for u, n in zip(units, sizes, strict=True):  # a missing unit is an error
+                        code[u] = ids[at: at + 4 * n]
+                        at += 4 * n
             for p in parts:
-                ids, size = [], []
-                for t in p.column(0):
-                    t = t.as_py()
-                    b = b"".join(map(code.__getitem__, cutter.units(t))) if t else b""
-                    ids.append(b)
-                    size.append(-1 if t is None else len(b) // 4)
-                size = np.array(size)
+                ids = [None if t is None else b"".join(map(code.__getitem__, cutter.units(t))) if t else b""
+                       for t in p.column(0).to_pylist()]
+                size = np.array([0 if b is None else len(b) // 4 for b in ids], np.int64)
                 offsets = np.zeros(len(size) + 1, np.int32)
-                np.cumsum(np.maximum(size, 0), out=offsets[1:])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)),
-                                                 mask=pa.array(size < 0))
+                np.cumsum(size, out=offsets[1:])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(
+                    b"".join(b or b"" for b in ids), np.int32)), mask=pa.array([b is None for b in ids], pa.bool_()))
                 out.append(pa.Table.from_arrays([*p.columns[1:], lists], names=[*fields, "ids"]))
         return pa.concat_tables(out)
 
     schema = ", ".join([f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)] + ["ids array<int>"])
-    full = (mapped(rows, payload, "block long, blob binary").groupBy("block")
+    full = (mapped(rows, payload, "block long, size long, blob binary").groupBy("block")
             .cogroup(done.groupBy("block")).applyInArrow(assemble, schema))
     return full.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)], "ids")
 
@@ -279,7 +340,10 @@ def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", out: str = "deco
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [None if x is None else decode_ids(x, shared.value) for x in part.column(0).to_pylist()]
+                ids, at = part.column(0), part.column(0).offsets.to_numpy().tolist()
+                flat = ids.values.to_numpy()
+                texts = [decode_ids(flat[a:b].tolist(), shared.value) if ok else None
+                         for a, b, ok in zip(at[:-1], at[1:], ids.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())],
                                                  names=[f"_c{i}" for i in range(len(kept))] + [out])
 

@@ -9,10 +9,9 @@ from cofilter.llm import pieces as P
 from cofilter.llm import warc as W
 
 
-def viterbi(text, table):
+def viterbi(text, table, score):
     """Plain Viterbi over a text of one unit: scores to every position."""
     best = [(0.0, [])] + [None] * len(text)
-    score = dict(zip(table.text, zip(table.ids, table.score, strict=True), strict=True))
     for end in range(1, len(text) + 1):
         for start in range(end):
             p = text[start:end]
@@ -42,13 +41,14 @@ def test_pieces(spark):
     out = P.decode(P.encode(df, model), model).collect()
     assert len(out) == len(rows)
     cutter = model.cutter()
+    score = dict(zip(model.text, zip(model.ids, model.score, strict=True), strict=True))
     for r in out:
         assert r.decoded == r.text
         if r.text is None:
             assert r.ids is None
         else:
             assert "".join(cutter.units(r.text)) == " " + r.text
-            want = [i for u in cutter.units(r.text) for i in viterbi(u, model)] if r.text else []
+            want = [i for u in cutter.units(r.text) for i in viterbi(u, model, score)] if r.text else []
             assert list(r.ids) == want
     assert P.encode(df.where("doc_id < 0"), model).count() == 0
 
