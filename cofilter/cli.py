@@ -34,12 +34,15 @@ def ordered_triples(spark: SparkSession, path: str, head: int | None = None) ->
     """Triples with their 0-based line position (row_no) in file order."""
     raw = files.read_triples(spark, path).select(
         U, I, F.col(V).cast("double").alias(V),
+        F.length("_metadata.file_path").alias("_n"),
         F.col("_metadata.file_path").alias("_f"),
         F.col("_metadata.file_block_start").alias("_b"),
         F.monotonically_increasing_id().alias("_m"))
-    numbered, _ = ordering.with_row_number(raw, ["_f", "_b", "_m"], "row_no")
-    out = numbered.drop("_f", "_b", "_m")
-    return out.filter(F.col("row_no") < head) if head is not None else out
+    order = ["_n", "_f", "_b", "_m"]
+    if head is not None:  # the first lines only, before anything is sorted in full
+        raw = raw.orderBy(*order).limit(head)
+    numbered, _ = ordering.with_row_number(raw, order, "row_no")
+    return numbered.drop(*order)
 
 
 def training_set(spark: SparkSession, paths: list[str], heads: list[int] | None) -> DataFrame:
@@ -155,7 +158,10 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
 
 def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("cofilter").getOrCreate()
-    run(spark, sys.argv[1:] if argv is None else argv).show(1000, truncate=False)
+    out = run(spark, sys.argv[1:] if argv is None else argv)
+    print(*out.columns, sep="\t")
+    for row in out.toLocalIterator():
+        print(*row, sep="\t")
 
 
 if __name__ == "__main__":

@@ -5,7 +5,8 @@ from one global ordering on (user, value) rather than a per-user window, so
 a user holding a large share of the rows is spread over many range
 partitions instead of one task; positions and tie counts are then grouped
 aggregates (combined map-side). Pearson is written by moments with an
-explicit zero-variance rule, because ``corr`` throws DIVIDE_BY_ZERO under
+explicit zero-variance rule (smallest = largest, which rounding of large
+sums cannot hide), because ``corr`` throws DIVIDE_BY_ZERO under
 ANSI mode on a constant group."""
 
 from __future__ import annotations
@@ -93,11 +94,12 @@ def pearson_by_group(df: DataFrame, group, x: str, y: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.sum(x).alias("sx"), F.sum(y).alias("sy"),
         F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(y) * F.col(y)).alias("syy"),
-        F.sum(F.col(x) * F.col(y)).alias("sxy"))
+        F.sum(F.col(x) * F.col(y)).alias("sxy"),
+        (F.min(x) == F.max(x)).alias("cx"), (F.min(y) == F.max(y)).alias("cy"))
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     cxy = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    rho = F.when((F.col("n") < 2) | (vx <= 0) | (vy <= 0), F.lit(None).cast("double")) \
+    rho = F.when((F.col("n") < 2) | F.col("cx") | F.col("cy"), F.lit(None).cast("double")) \
         .otherwise(cxy / F.sqrt(vx * vy))
     return m.select(*group, "n", rho.alias("rho"))
 

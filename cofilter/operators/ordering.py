@@ -47,16 +47,16 @@ def with_row_number(df: DataFrame, order, name: str = "row_no",
     counts = {r["pid"]: r["n"] for r in
               tagged.groupBy(pid.alias("pid")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = int(sum(counts.values()))
-    n_slots = (max(counts) + 1) if counts else 1
     offsets, run = [], 0
-    for p in range(n_slots):
-        offsets.append(run)
-        run += counts.get(p, 0)
-    offset_arr = F.array(*[F.lit(o).cast("bigint") for o in offsets])
+    for p in sorted(counts):
+        offsets.append((p, run))
+        run += counts[p]
+    # one row per partition: the same bound
+    starts = F.broadcast(spark.createDataFrame(offsets, "_rn_pid bigint, _rn_start bigint"))
     local = F.col("_rn_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    out = (tagged
-           .withColumn(name, F.element_at(offset_arr, (pid + 1).cast("int")) + local)
-           .drop("_rn_mid"))
+    out = (tagged.withColumn("_rn_pid", pid).join(starts, "_rn_pid")
+           .withColumn(name, F.col("_rn_start") + local)
+           .drop("_rn_mid", "_rn_pid", "_rn_start"))
     return out, total
 
 

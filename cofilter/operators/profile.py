@@ -15,8 +15,10 @@ def exact_quantiles(df: DataFrame, col: str, qs=QUANTILES) -> dict[float, float
     global positions: one range-partitioned sort, then only the (at most
     2 per quantile) rows at the wanted positions reach the driver.
     ``percentile`` would hold every distinct value in one task."""
-    vals = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    numbered, n = with_row_number(vals, ["_v"], "_pos")
+    # the second column only spreads a frequent value over several ranges
+    vals = (df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+            .withColumn("_spread", F.monotonically_increasing_id()))
+    numbered, n = with_row_number(vals, ["_v", "_spread"], "_pos")
     if n == 0:
         return {q: None for q in qs}
     want = {}

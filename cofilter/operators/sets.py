@@ -26,6 +26,12 @@ def universe(pieces: list[DataFrame], col: str) -> DataFrame:
     return out.distinct()
 
 
+def universes(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """(side, key): distinct keys of several columns of one type, in one scan."""
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(c).alias("key")) for n, c in cols.items()]))
+    return df.select(both.alias("x")).select("x.side", "x.key").distinct()
+
+
 def same_keys(a: DataFrame, b: DataFrame, col: str, order: str | None = None) -> DataFrame:
     """One row: (same_set, same_order, n_left, n_right).
 

@@ -73,22 +73,24 @@ def q_read_titles(spark, sf):
 
 
 def q_read_sources(spark, sf):
-    """Each event-type piece written as its own TSV file, read back as one
-    training set tagged by file position."""
-    paths = []
-    for name, piece in zip(inp.EVENT_PIECES, inp.event_pieces(spark, sf)):
-        path = scratch_path(spark, f"piece-{name}")
-        files.write_tsv(piece.select(U, I, F.col(V).cast("int").alias(V)), path)
-        paths.append(path)
+    """Each event-type piece written as a TSV source of its own (one write,
+    one folder per piece), read back as one training set tagged by position."""
+    path = scratch_path(spark, "pieces")
+    pieces = inp.event_pieces(spark, sf)
+    pieces.select("src_ord", U, I, F.col(V).cast("int").alias(V)).write.partitionBy("src_ord").csv(path, sep="\t", header=False)
+    n = pieces.agg(F.max("src_ord")).first()[0]
+    paths = [f"{path}/src_ord={j}" for j in range(0 if n is None else n + 1)]
     return files.read_sources(spark, paths).select("src_ord", U, I, V)
 
 
-def q_write_split_tsv(spark, sf):
-    train, _ = inp.events_split(spark, sf)
-    path = scratch_path(spark, "split")
-    files.write_tsv(train.select(U, I, V), path)
-    schema = "user_id bigint, item_id bigint, counts double"
-    return spark.read.csv(path, schema=schema, sep="\t", header=False, mode="FAILFAST")
+def _write_split_q(part):
+    def q(spark, sf):
+        rows = inp.events_split(spark, sf)[part]
+        path = scratch_path(spark, "split")
+        files.write_tsv(rows.select(U, I, V), path)
+        schema = "user_id bigint, item_id bigint, counts double"
+        return spark.read.csv(path, schema=schema, sep="\t", header=False, mode="FAILFAST")
+    return q
 
 
 # --- projections / predicates ---------------------------------------------------
@@ -105,11 +107,9 @@ def q_cold_start_filter(spark, sf):
 
 def q_cold_start_count(spark, sf):
     train, test = inp.events_split(spark, sf)
-    tu = train.select(U).distinct().withColumn("_ku", F.lit(1))
-    ti = train.select(I).distinct().withColumn("_ki", F.lit(1))
-    t = test.join(tu, U, "left").join(ti, I, "left")
-    known = F.when(F.col("_ku").isNotNull() & F.col("_ki").isNotNull(), F.lit(1))
-    return t.agg(F.count(F.lit(1)).alias("n_test"), F.count(known).alias("n_known"))
+    tagged = (test.select(F.lit(1).alias("t"), F.lit(0).alias("k"))
+              .unionAll(factor.cold_start_filter(test, train).select(F.lit(0), F.lit(1))))
+    return tagged.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n_test"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_known"))
 
 
 def q_degree_norms(spark, sf):
@@ -302,15 +302,11 @@ def q_topk_per_user(spark, sf):
 
 
 def q_union_train(spark, sf):
-    return sets.union_sources(inp.event_pieces(spark, sf)).select("src_ord", U, I, V)
+    return inp.event_pieces(spark, sf).select("src_ord", U, I, V)
 
 
 def q_universe(spark, sf):
-    pieces = inp.event_pieces(spark, sf)
-    u = sets.universe(pieces, U)
-    i = sets.universe(pieces, I)
-    return (u.select(F.lit("user").alias("side"), F.col(U).alias("key"))
-            .unionByName(i.select(F.lit("item").alias("side"), F.col(I).alias("key"))))
+    return sets.universes(event_rows(spark, sf), {"user": U, "item": I})
 
 
 def q_same_users_check(spark, sf):
@@ -321,7 +317,10 @@ def q_same_users_check(spark, sf):
 
 
 def q_matrix_pivot(spark, sf):
-    return matrix.pivot_matrix(inp.r_events(spark, sf))
+    """M2 over a named item list: the first N_CANDIDATES items in key order."""
+    R = inp.r_events(spark, sf)
+    items = [r[0] for r in inp.candidate_items(R).collect()]
+    return matrix.pivot_matrix(R, items=sorted(items))
 
 
 def q_item_similarity(spark, sf):
@@ -355,6 +354,26 @@ def q_svd_scores(spark, sf):
     return factor.svd_scores(R, m, inp.SVD_RANK).select(U, I, r6("score").alias("score"))
 
 
+def q_svd_reconstruction(spark, sf):
+    """M9 at full rank: the reconstruction's cells are R's."""
+    R = inp.r_events(spark, sf)
+    s = factor.svd_scores(R, factor.svd_fit(R), factor.DEFAULT_RANK)
+    return s.select(U, I, r6("score").alias(V)).where(F.col(V) != 0)
+
+
+def q_svd_moments(spark, sf):
+    """Σ s² = Σ r² and Σ s⁴ = Σ (RᵀR)²."""
+    s = factor.singular_values(spark, factor.svd_fit(inp.r_events(spark, sf)))
+    return s.agg(F.round(F.sum(F.pow("singular_value", F.lit(2.0))), 2).alias("s2"),
+                 F.round(F.sum(F.pow("singular_value", F.lit(4.0))), 1).alias("s4"))
+
+
+def q_svd_orders_energy(spark, sf):
+    """M8/A10 on the wide matrix: the energy of the first 16 singular values."""
+    m = factor.svd_fit(inp.r_orders(spark, sf), k=16, tolerance=1e-4)
+    return factor.singular_values(spark, m).select("k", r6("energy").alias("energy"))
+
+
 def q_svd_topk_titles(spark, sf):
     R = inp.r_events(spark, sf)
     m = factor.svd_fit(R)
@@ -369,6 +388,41 @@ def q_als_predictions(spark, sf):
     return res.test_pred.select(U, I, V, r6("prediction").alias("prediction"))
 
 
+def q_als_rows(spark, sf):
+    """The rows that get a prediction, of both parts (train predictions are
+    part of the reference's job)."""
+    train, test = inp.events_split(spark, sf)
+    res, _ = evaluation.als_evaluate(train, test)
+    both = (res.train_pred.withColumn("part", F.lit("train"))
+            .unionByName(res.test_pred.withColumn("part", F.lit("test"))))
+    return both.where(F.col("prediction").isNotNull() & ~F.isnan("prediction")).select("part", U, I, V)
+
+
+def q_als_counts(spark, sf):
+    """Rows per part after the cold-start rule, from the metrics."""
+    train, test = inp.events_split(spark, sf)
+    return evaluation.als_evaluate(train, test)[1].select("part", "n")
+
+
+def q_metrics_line(spark, sf):
+    """A metric row written as one line and read back."""
+    path = scratch_path(spark, "metrics")
+    files.write_metrics_line(q_cold_start_count(spark, sf), ["n_test", "n_known"], path)
+    parts = F.split("value", ",")
+    return spark.read.text(path).select(parts.getItem(0).cast("bigint").alias("n_test"),
+                                        parts.getItem(1).cast("bigint").alias("n_known"))
+
+
+def q_mse_rmse_known(spark, sf):
+    """A8 on a prediction that SQL can follow: the item model on rows that pass the
+    cold-start rule."""
+    train, test = inp.events_split(spark, sf)
+    R = matrix.build_matrix(train)
+    scored = neighbourhood.score_pairs(R, factor.cold_start_filter(test, train), "item")
+    m = factor.mse_rmse(scored.withColumnRenamed("pred", "prediction"), "test")
+    return m.select("part", "n", r6("mse").alias("mse"), r6("rmse").alias("rmse"))
+
+
 def _als_report_q(log_scale):
     def q(spark, sf):
         """E4 + S8: the one-line result file 'trainRMSE,testRMSE,testCount'
@@ -427,19 +481,43 @@ def q_size_study(spark, sf):
     return m.select("frac", "part", "metric", r6("value").alias("value"))
 
 
-def q_profile_and_split(spark, sf):
-    """E5: raw rows -> log target -> first-row ids -> exact split -> TSV."""
-    ev = event_rows(spark, sf)
-    uid = indexing.index_first_row(ev, U, "event_id", "user_idx")
-    iid = indexing.index_first_row(ev, I, "event_id", "item_idx")
-    rows = indexing.encode(ev.select("event_id", U, I, "value"), {U: uid, I: iid}) \
-        .withColumn("log_target", log_scale_col("value"))
-    train, _ = ordering.split_exact(rows, inp.SPLIT_FRAC, inp.SPLIT_SEED, ["event_id"])
-    path = scratch_path(spark, "export")
-    files.write_tsv(train.select("user_idx", "item_idx", "log_target"), path)
-    back = spark.read.csv(path, schema="user_idx bigint, item_idx bigint, log_target double",
-                          sep="\t", header=False, mode="FAILFAST")
-    return back.select("user_idx", "item_idx", r6("log_target").alias("log_target"))
+def _profile_and_split_q(part):
+    def q(spark, sf):
+        """E5: raw rows -> log target -> first-row ids -> exact split -> TSV, one half."""
+        ev = event_rows(spark, sf)
+        uid = indexing.index_first_row(ev, U, "event_id", "user_idx")
+        iid = indexing.index_first_row(ev, I, "event_id", "item_idx")
+        rows = indexing.encode(ev.select("event_id", U, I, "value"), {U: uid, I: iid}) \
+            .withColumn("log_target", log_scale_col("value"))
+        half = ordering.split_exact(rows, inp.SPLIT_FRAC, inp.SPLIT_SEED, ["event_id"])[part]
+        path = scratch_path(spark, "export")
+        files.write_tsv(half.select("user_idx", "item_idx", "log_target"), path)
+        back = spark.read.csv(path, schema="user_idx bigint, item_idx bigint, log_target double",
+                              sep="\t", header=False, mode="FAILFAST")
+        return back.select("user_idx", "item_idx", r6("log_target").alias("log_target"))
+    return q
+
+
+def q_profile_events(spark, sf):
+    """E5, first half: the profile of the raw rows (A1 with A2's counts)."""
+    ev = event_rows(spark, sf).select(U, I, F.col("value").alias(V))
+    d = profile.describe(ev, V)
+    return d.select("count", *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+
+
+def q_sample_scores(spark, sf):
+    """E5, first half: Γ_U and Γ_I on a small sample, the first SAMPLE_FRAC of the
+    split order (the feature: the reference looks at a sample first)."""
+    sample, _ = ordering.split_exact(inp.r_events(spark, sf), inp.SAMPLE_FRAC, inp.SPLIT_SEED, [U, I])
+    g = neighbourhood.neighbourhood_scores(matrix.build_matrix(sample))
+    return g.select(U, I, r6("score_user").alias("score_user"), r6("score_item").alias("score_item"))
+
+
+def q_eval_blend_pieces(spark, sf):
+    """E2 on several training pieces."""
+    train, test = inp.piece_train_test(spark, sf)
+    m = evaluation.metrics_long(evaluation.scored_parts(train, test, "blend", order=("src_ord",)))
+    return m.select("part", "metric", r6("value").alias("value"))
 
 
 def queries() -> dict[str, Query]:
@@ -449,7 +527,9 @@ def queries() -> dict[str, Query]:
         "read_dense_matrix": q_read_dense_matrix,
         "read_titles": q_read_titles,
         "read_sources": q_read_sources,
-        "write_split_tsv": q_write_split_tsv,
+        "write_split_tsv": _write_split_q(0),
+        "write_split_test_tsv": _write_split_q(1),
+        "metrics_line": q_metrics_line,
         "log_scale": q_log_scale,
         "cold_start_filter": q_cold_start_filter,
         "cold_start_count": q_cold_start_count,
@@ -506,5 +586,16 @@ def queries() -> dict[str, Query]:
         "als_report_pieces": q_als_report_pieces,
         "eval_item_orders": _eval_q("item", "orders"),
         "size_study": q_size_study,
-        "profile_and_split": q_profile_and_split,
+        "profile_and_split": _profile_and_split_q(0),
+        "profile_and_split_test": _profile_and_split_q(1),
+        "profile_events": q_profile_events,
+        "sample_scores": q_sample_scores,
+        "eval_blend_log": _eval_q("blend", log_scale=True),
+        "eval_blend_pieces": q_eval_blend_pieces,
+        "svd_reconstruction": q_svd_reconstruction,
+        "svd_moments": q_svd_moments,
+        "svd_orders_energy": q_svd_orders_energy,
+        "als_rows": q_als_rows,
+        "als_counts": q_als_counts,
+        "mse_rmse_known": q_mse_rmse_known,
     }

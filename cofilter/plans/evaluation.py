@@ -49,12 +49,10 @@ def metrics_long(scored: DataFrame, **skew) -> DataFrame:
     """(part, metric, value) with rmse, n, n_defined, mean_rho, n_users."""
     r = rmse(scored, V, "pred", by="part")
     s = spearman_summary(spearman_per_user(scored, by="part", materialize=False, **skew), by="part")
-    def long(df, name, col):
-        return df.select("part", F.lit(name).alias("metric"), F.col(col).cast("double").alias("value"))
-    return (long(r, "rmse", "rmse").unionByName(long(r, "n", "n"))
-            .unionByName(long(s, "n_defined", "n_defined"))
-            .unionByName(long(s, "mean_rho", "mean_rho"))
-            .unionByName(long(s, "n_users", "n_users")))
+    # one row per part, then turned long: each aggregate runs once
+    names = ["rmse", "n", "n_defined", "mean_rho", "n_users"]
+    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])
+    return r.join(s, "part").select("part", F.explode(cells).alias("m")).select("part", "m.metric", "m.value")
 
 
 def evaluate(train: DataFrame, test: DataFrame, model: str = "item", **kw) -> DataFrame:

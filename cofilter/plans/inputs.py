@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cofilter.operators.matrix import row_sums
+from cofilter.operators.indexing import index_dense
+from cofilter.operators.matrix import materialize, row_sums
 from cofilter.operators.ordering import split_exact
 from cofilter.sources.tables import event_rows, events_triples, orders_triples
 
@@ -23,11 +24,7 @@ TOP_K = 10
 N_CANDIDATES = 100
 SVD_RANK = 10
 HEAD_N = 2000
-
-# Fixed piece list: the event types present in the driver's events table,
-# each one standing in for one triple file of a multi-file training set.
-EVENT_PIECES = ["click", "error", "purchase", "signup", "view"]
-
+SAMPLE_FRAC = 0.05
 
 def r_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_triples(spark, sf_dir)
@@ -45,12 +42,16 @@ def events_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return split(r_events(spark, sf_dir))
 
 
-def event_pieces(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """One (user_id, item_id, counts) piece per event type, in EVENT_PIECES order."""
-    ev = event_rows(spark, sf_dir)
-    by_type = ev.groupBy("event_type", "user_id", "item_id").agg(
+def event_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src_ord, event_type, user_id, item_id, counts): one piece per event type that
+    occurs, each standing in for one triple file, numbered in the order of the
+    types. One scan of the events; the types are numbered from the counted rows."""
+    by_type = event_rows(spark, sf_dir).groupBy("event_type", "user_id", "item_id").agg(
         F.count(F.lit(1)).cast("double").alias("counts"))
-    return [by_type.filter(F.col("event_type") == t).drop("event_type") for t in EVENT_PIECES]
+    by_type = materialize(by_type, ("event_type", "user_id", "item_id", "counts"))
+    order = index_dense(by_type, "event_type", "src_ord")
+    return (by_type.join(order, "event_type")
+            .select(F.col("src_ord").cast("int").alias("src_ord"), "event_type", "user_id", "item_id", "counts"))
 
 
 def target_user(R: DataFrame) -> int:
@@ -69,16 +70,10 @@ def candidate_items(R: DataFrame, n: int = N_CANDIDATES) -> DataFrame:
 HELD_OUT_PIECE = "view"
 
 
-def piece_train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def piece_train_test(spark: SparkSession, sf_dir: str, held_out: str = HELD_OUT_PIECE) -> tuple[DataFrame, DataFrame]:
     """(train rows tagged src_ord, held-out rows): the reference's layout of
     several training files plus one evaluation file. Train rows keep their
     duplicates across pieces."""
     pieces = event_pieces(spark, sf_dir)
-    train, test = None, None
-    for ord_, (name, p) in enumerate(zip(EVENT_PIECES, pieces)):
-        if name == HELD_OUT_PIECE:
-            test = p
-            continue
-        t = p.withColumn("src_ord", F.lit(ord_).cast("int"))
-        train = t if train is None else train.unionByName(t)
-    return train, test
+    train = pieces.where(F.col("event_type") != held_out).select("user_id", "item_id", "counts", "src_ord")
+    return train, pieces.where(F.col("event_type") == held_out).select("user_id", "item_id", "counts")

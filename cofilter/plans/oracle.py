@@ -2,9 +2,10 @@
 
 The views ``events``, ``orders``, ``lineitem``, ``part``, ``customer`` are
 the driver's parquet tables. Column names equal the Spark outputs; floats
-are rounded to 6 digits on both sides. Queries whose result depends on an
-iterative fit (ALS) or an eigen-solver (SVD) have no entry: they are
-checked by row counts here and against numpy in the unit tests."""
+are rounded to 6 digits on both sides. Results that depend on an iterative fit
+(ALS) or on singular vectors have no entry: what SQL can say of them is in
+als_rows, als_counts, svd_reconstruction and svd_moments, the rest is checked
+against numpy in the unit tests."""
 
 from __future__ import annotations
 
@@ -136,14 +137,12 @@ UNION ALL SELECT part, 'n_users', CAST(n_users AS DOUBLE) FROM ss"""
 
 
 def _eval_pieces(model: str = "item") -> str:
-    held = inp.EVENT_PIECES.index(inp.HELD_OUT_PIECE)
-    cases = " ".join(f"WHEN '{t}' THEN {j}" for j, t in enumerate(inp.EVENT_PIECES))
     return f"""WITH {EVENT_ROWS},
-pieces AS (SELECT CAST(CASE event_type {cases} END AS INTEGER) AS src_ord, user_id, item_id,
+pieces AS (SELECT event_type, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS src_ord, user_id, item_id,
                   CAST(count(*) AS DOUBLE) AS counts
            FROM ev GROUP BY event_type, user_id, item_id),
-train AS (SELECT * FROM pieces WHERE src_ord <> {held}),
-test AS (SELECT user_id, item_id, counts FROM pieces WHERE src_ord = {held}),
+train AS (SELECT * FROM pieces WHERE event_type <> '{inp.HELD_OUT_PIECE}'),
+test AS (SELECT user_id, item_id, counts FROM pieces WHERE event_type = '{inp.HELD_OUT_PIECE}'),
 rmat AS (SELECT user_id, item_id, arg_max(counts, src_ord) AS counts FROM train GROUP BY 1, 2),
 rows_ AS (SELECT user_id, item_id, counts, 'test' AS part FROM test
           UNION ALL SELECT user_id, item_id, counts, 'train' AS part FROM train),
@@ -226,11 +225,12 @@ SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS row_idx,
         "read_titles": """
 SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS item_idx, p_name AS title FROM part""",
         "read_sources": f"""WITH {EVENT_ROWS}
-SELECT CAST(CASE event_type {' '.join(f"WHEN '{t}' THEN {j}" for j, t in enumerate(inp.EVENT_PIECES))} END AS INTEGER) AS src_ord,
+SELECT CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS src_ord,
        CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, CAST(count(*) AS INTEGER) AS counts
-FROM ev WHERE event_type IN ({', '.join(f"'{t}'" for t in inp.EVENT_PIECES)})
+FROM ev
 GROUP BY event_type, user_id, item_id""",
         "write_split_tsv": f"{ws}\nSELECT user_id, item_id, counts FROM train",
+        "write_split_test_tsv": f"{ws}\nSELECT user_id, item_id, counts FROM test",
         "log_scale": f"{w}\nSELECT user_id, item_id, counts, round(ln(1 + counts), 6) AS rating FROM r",
         "cold_start_filter": f"""{ws}
 SELECT user_id, item_id, counts FROM test
@@ -239,6 +239,11 @@ WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM
 SELECT count(*) AS n_test,
        count(CASE WHEN user_id IN (SELECT user_id FROM train)
                    AND item_id IN (SELECT item_id FROM train) THEN 1 END) AS n_known
+FROM test""",
+        "metrics_line": f"""{ws}
+SELECT count(*) AS n_test,
+       count(CASE WHEN user_id IN (SELECT user_id FROM train)
+                   AND item_id IN (SELECT item_id FROM train) THEN 1 END) AS n_known
 FROM test""",
         "degree_norms": f"""{w}
 SELECT 'user' AS side, user_id AS key, sum(counts) AS total,
@@ -323,6 +328,32 @@ SELECT user_id, n, round(rho, 6) AS rho FROM sp""",
 {_spearman('sc')}
 SELECT count(rho) AS n_defined, round(avg(rho), 6) AS mean_rho, count(*) AS n_users FROM sp""",
         "frobenius_energy": f"{w}\nSELECT sum(counts * counts) AS sum_sq, count(*) AS n_cells FROM r",
+        "svd_reconstruction": f"{w}\nSELECT user_id, item_id, counts FROM r",
+        "svd_moments": f"""{w},
+k AS (SELECT sum(x.counts * y.counts) AS c FROM r x JOIN r y ON x.user_id = y.user_id GROUP BY x.item_id, y.item_id)
+SELECT round((SELECT sum(counts * counts) FROM r), 2) AS s2, round((SELECT sum(c * c) FROM k), 1) AS s4""",
+        "als_rows": f"""{ws}
+SELECT 'train' AS part, user_id, item_id, counts FROM train
+UNION ALL SELECT 'test', user_id, item_id, counts FROM test
+WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)""",
+        "als_counts": f"""{ws}
+SELECT 'train' AS part, count(*) AS n FROM train
+UNION ALL SELECT 'test', count(*) FROM test
+WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)""",
+        "mse_rmse_known": f"""{ws},
+known AS (SELECT user_id, item_id, counts FROM test
+          WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)),
+{_scored_rows('item', 'known')}
+SELECT 'test' AS part, count(*) AS n, round(avg((counts - pred) * (counts - pred)), 6) AS mse,
+       round(sqrt(avg((counts - pred) * (counts - pred))), 6) AS rmse FROM sc""",
+        "sample_scores": f"""WITH {R_EVENTS},
+{_split(frac=inp.SAMPLE_FRAC)},
+{_scores_full('train')}
+SELECT user_id, item_id, round(score_user, 6) AS score_user, round(score_item, 6) AS score_item FROM g""",
+        "profile_events": f"""WITH {EVENT_ROWS}
+SELECT count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+       round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
+       round(quantile_cont(value, 0.75), 6) AS p75, round(max(value), 6) AS max FROM ev""",
         "average_rank": f"""{ws}
 SELECT user_id, counts, item_id,
        rank() OVER (PARTITION BY user_id ORDER BY counts)
@@ -337,12 +368,12 @@ t AS (SELECT user_id, item_id, score_item AS score,
       FROM g)
 SELECT user_id, rank, item_id, round(score, 6) AS score FROM t WHERE rank <= {inp.TOP_K}""",
         "union_train": f"""WITH {EVENT_ROWS}
-SELECT CAST(CASE event_type {' '.join(f"WHEN '{t}' THEN {j}" for j, t in enumerate(inp.EVENT_PIECES))} END AS INTEGER) AS src_ord,
+SELECT CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS src_ord,
        user_id, item_id, CAST(count(*) AS DOUBLE) AS counts
-FROM ev WHERE event_type IN ({', '.join(f"'{t}'" for t in inp.EVENT_PIECES)})
+FROM ev
 GROUP BY event_type, user_id, item_id""",
         "universe": f"""WITH {EVENT_ROWS},
-e AS (SELECT * FROM ev WHERE event_type IN ({', '.join(f"'{t}'" for t in inp.EVENT_PIECES)}))
+e AS (SELECT * FROM ev)
 SELECT DISTINCT 'user' AS side, user_id AS key FROM e
 UNION ALL SELECT DISTINCT 'item', item_id FROM e""",
         "same_users_check": """
@@ -377,6 +408,8 @@ SELECT user_id, item_id, round({_model(m)}, 6) AS score FROM g""" for m in ("ite
         "eval_user": _eval("user"),
         "eval_blend": _eval("blend"),
         "eval_item_log": _eval("item", R_EVENTS_LOG),
+        "eval_blend_log": _eval("blend", R_EVENTS_LOG),
+        "eval_blend_pieces": _eval_pieces("blend"),
         "eval_item_pieces": _eval_pieces("item"),
         "eval_item_orders": _eval("item", R_ORDERS),
         "size_study": _size_study(),
@@ -390,4 +423,14 @@ numbered AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(event
                     count(*) OVER () AS n FROM rows_)
 SELECT user_idx, item_idx, round(log_target, 6) AS log_target FROM numbered
 WHERE rn < floor({inp.SPLIT_FRAC} * n)""",
+        "profile_and_split_test": f"""WITH {EVENT_ROWS},
+pos AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM ev),
+uid AS (SELECT user_id, min(rn) AS user_idx FROM pos GROUP BY 1),
+iid AS (SELECT item_id, min(rn) AS item_idx FROM pos GROUP BY 1),
+rows_ AS (SELECT ev.event_id, uid.user_idx, iid.item_idx, ln(1 + ev.value) AS log_target
+          FROM ev JOIN uid USING (user_id) JOIN iid USING (item_id)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(event_id AS VARCHAR), '{inp.SPLIT_SEED}')), event_id) - 1 AS rn,
+                    count(*) OVER () AS n FROM rows_)
+SELECT user_idx, item_idx, round(log_target, 6) AS log_target FROM numbered
+WHERE rn >= floor({inp.SPLIT_FRAC} * n)""",
     }

@@ -6,6 +6,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -63,3 +65,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex}")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors once per application, as ``--py-files``
+    would, for the functions that run in Python there."""
+    sc = spark.sparkContext
+    name = "cofilter-package.zip"
+    if any(str(f).endswith(name) for f in sc.listFiles):
+        return
+    top = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="cofilter-"), name)
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(top.rglob("*.py")):
+            out.write(f, f.relative_to(top.parent))
+    sc.addPyFile(path)

@@ -4,8 +4,8 @@ Headerless text formats are read with an explicit schema (no inference);
 the default mode FAILFAST keeps the fail-loud behaviour on a malformed
 line, DROPMALFORMED and PERMISSIVE are options. Positions of lines (row
 number in a dense matrix file, title index) come from the file order:
-(file path, split start, position inside the split), numbered globally
-with ``with_row_number``."""
+(length and text of the file path, so that part-100000 follows part-99999;
+split start; position inside the split), numbered globally with ``with_row_number``."""
 
 from __future__ import annotations
 
@@ -54,13 +54,14 @@ def read_sources(spark: SparkSession, paths: list[str], tag: str = "src_ord", **
 
 def numbered_lines(spark: SparkSession, path, name: str = "line_no") -> DataFrame:
     """(line_no, value): text lines with their 0-based position in file order."""
-    numbered, _ = with_row_number(_file_order(spark, path), ["_f", "_b", "_m"], name)
+    numbered, _ = with_row_number(_file_order(spark, path), ["_n", "_f", "_b", "_m"], name)
     return numbered.select(name, "value")
 
 
 def _file_order(spark: SparkSession, path):
     return spark.read.text(path).select(
         "value",
+        F.length("_metadata.file_path").alias("_n"),
         F.col("_metadata.file_path").alias("_f"),
         F.col("_metadata.file_block_start").alias("_b"),
         F.monotonically_increasing_id().alias("_m"))
@@ -69,7 +70,7 @@ def _file_order(spark: SparkSession, path):
 def head_lines(spark: SparkSession, path, n: int) -> DataFrame:
     """First n lines of a text source in file order (L1 on files): ORDER BY
     (file, split start, position) + LIMIT is a TakeOrdered, no full sort."""
-    return _file_order(spark, path).orderBy("_f", "_b", "_m").limit(n).select("value")
+    return _file_order(spark, path).orderBy("_n", "_f", "_b", "_m").limit(n).select("value")
 
 
 def head_triples(spark: SparkSession, path, n: int, sep: str = "\t") -> DataFrame:
