@@ -20,7 +20,8 @@ from cofilter.session import build_session  # noqa: E402
 
 HEADLINE = ["score_item", "score_user", "score_blend", "eval_item", "eval_blend",
             "eval_item_pieces", "topk_per_user", "item_similarity", "user_similarity",
-            "als_report", "svd_singular_values", "eval_item_orders"]
+            "als_report", "svd_singular_values", "eval_item_orders", "score_pairs_item",
+            "svd_orders_energy"]
 
 
 def main() -> None:

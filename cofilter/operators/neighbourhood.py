@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cofilter.functions.scalar import inv_sqrt
 from cofilter.operators.matrix import materialize, transpose
-from cofilter.operators.products import (cooccurrence, degree_stats, pair_partitions,
+from cofilter.operators.products import (HotKeys, cooccurrence, degree_stats, pair_partitions,
                                          salted_join, square_degree_cost)
 
 U, I, V = "user_id", "item_id", "counts"
@@ -38,7 +38,7 @@ def _norms(R: DataFrame, key: str, out: str) -> DataFrame:
     return R.groupBy(key).agg(F.sum(V).alias(out))
 
 
-def _with_norms(R: DataFrame, skew: dict, hot_u: list, hot_i: list) -> DataFrame:
+def _with_norms(R: DataFrame, skew: dict, hot_u: HotKeys, hot_i: HotKeys) -> DataFrame:
     """R rows with w = P_u^-1/2 and q = Q_i (column sum) attached. Row and
     column sums are grouped aggregates; joining them onto R (hot keys split)
     is cheaper than joining them onto the pair kernel, which is much larger."""
@@ -49,7 +49,7 @@ def _with_norms(R: DataFrame, skew: dict, hot_u: list, hot_i: list) -> DataFrame
         .withColumn("_w", inv_sqrt("_p")).drop("_p")
 
 
-def _kernels(rn: DataFrame, items: DataFrame | None, skew: dict, hot_u: list,
+def _kernels(rn: DataFrame, items: DataFrame | None, skew: dict, hot_u: HotKeys,
              parts: int) -> DataFrame:
     """M(a, b, m_item, m_user): m_item = S_I(a,b), m_user = Σ_u r_ua r_ub P_u^-1/2."""
     k = cooccurrence(rn, by=U, col=I, val=V, weight="_w", right_keys=items, norm="_q",
@@ -58,9 +58,8 @@ def _kernels(rn: DataFrame, items: DataFrame | None, skew: dict, hot_u: list,
                     F.col("cw").alias("m_user"))
 
 
-def _stats(R: DataFrame, key: str, skew: dict) -> tuple[float, list]:
-    params = {k: v for k, v in skew.items() if k in ("task_rows", "max_hot", "max_salt")}
-    return degree_stats(R, key, **params)
+def _stats(R: DataFrame, key: str, skew: dict) -> tuple[float, HotKeys]:
+    return degree_stats(R, key, **skew)
 
 
 def _engine(R: DataFrame, pairs: DataFrame | None, skew: dict,
@@ -73,14 +72,16 @@ def _engine(R: DataFrame, pairs: DataFrame | None, skew: dict,
     (pair_count, hot_u), (_, hot_i) = stats_u, stats_i
     parts = pair_partitions(R.sparkSession, pair_count)
     rn = _with_norms(R, skew, hot_u, hot_i)
-    items = pairs.select(I) if pairs is not None else None
-    m = _kernels(rn, items, skew, hot_u, parts)
     rows = rn.select(U, F.col(I).alias("a"), F.col(V).alias("v"), "_w")
     if pairs is None:
-        x = salted_join(rows, m, "a", U, hot=hot_i, partitions=parts, **skew)
+        m = _kernels(rn, None, skew, hot_u, parts)
+        x = salted_join(rows, m, "a", U, hot=hot_i.on("a"), partitions=parts, split_right="b", **skew)
     else:
         e = pairs.select(U, F.col(I).alias("b")).distinct()
-        x = salted_join(e, rows, U, "b", partitions=parts, **skew).join(m, ["a", "b"], "inner")
+        m = _kernels(rn, e.select(F.col("b").alias(I)), skew, hot_u, parts)
+        x = salted_join(e, rows, U, "b", partitions=parts, split_right="a", **skew)
+        # adaptive execution may split this exchange where an item pair is popular
+        x = x.join(m, ["a", "b"], "inner")
     return (x.groupBy(U, F.col("b").alias(I))
             .agg(F.sum(F.col("v") * F.col("_w") * F.col("m_user")).alias("score_user"),
                  F.sum(F.col("v") * F.col("m_item")).alias("score_item")))
@@ -119,7 +120,7 @@ def neighbourhood_scores(R: DataFrame, pairs: DataFrame | None = None,
         return _engine(R, pairs, skew, su, si)
     rt = transpose(R)
     pt = transpose(pairs) if pairs is not None else None
-    g = _engine(rt, pt, skew, si, su)
+    g = _engine(rt, pt, skew, (si[0], si[1].on(U)), (su[0], su[1].on(I)))
     return g.select(F.col(I).alias(U), F.col(U).alias(I),
                     F.col("score_item").alias("score_user"),
                     F.col("score_user").alias("score_item"))

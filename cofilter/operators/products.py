@@ -2,33 +2,38 @@
 
 A product over a shared index k joins the two sides on k and sums the
 products per output cell. Catalyst pipelines join -> partial aggregate in
-one stage, so the per-key products are combined before any shuffle; only
-partial sums per output cell cross the network.
+one stage, so the products of a task are combined before any shuffle; how much
+that saves depends on how often a task meets the same output cell.
 
 A hot key (one user holding a large share of all rows) would put its whole
-group into one task. Keys above a row threshold are split: the left side's
-rows of that key are spread over ``nsalt`` buckets by a hash of another
-column, and the right side's rows of that key are replicated to each bucket.
-At most ``max_hot`` keys are split, which bounds the broadcast (key, nsalt)
-table by construction. No row is dropped or sampled: the result is exact.
+group into one task. Keys are split by their degree. In a lookup (the right side
+has a row for each key) the left rows of a key with more than ``TASK_ROWS`` rows are
+spread over buckets by a hash of another column and the right row is copied to
+each. In a pair-generating join a key with d rows is cut into
+g = ceil(d / ``PAIR_ROWS``) blocks on *both* sides, and block i of the left meets
+block j of the right in cell (i, j), which makes at most about
+``PAIRS_PER_TASK`` products; a symmetric product only makes the cells i <= j. The
+number of keys split is at most Σ d² / PAIRS_PER_TASK; their table is
+broadcast if it is small by count and joined by a shuffle if not. No row is
+dropped or sampled: the result is exact.
 
 Exactness has a price the data sets: a co-occurrence needs Σ deg² products
-(a user with d items contributes d² pairs). Salting spreads that work over
-tasks; the partial aggregate keeps it from ever being shuffled as pairs."""
+(a user with d items contributes d² pairs)."""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-DEFAULT_TASK_ROWS = 200_000
-DEFAULT_MAX_HOT = 1024
-DEFAULT_MAX_SALT = 4096
+from cofilter.session import scratch_path
+
+TASK_ROWS = 200_000
 PAIRS_PER_TASK = 20_000_000   # pair products one task sums in a few seconds
-MAX_PAIR_PARTITIONS = 200_000
+PAIR_ROWS = math.isqrt(PAIRS_PER_TASK)
+BROADCAST_KEYS = 100_000
 
 
 def _keys(key) -> list[str]:
@@ -45,82 +50,109 @@ def pair_partitions(spark, pair_count: float | None) -> int:
     cluster (``defaultParallelism``). The pair count is Σ deg² of the join
     key (one aggregate)."""
     base = max(1, spark.sparkContext.defaultParallelism)
-    if not pair_count:
-        return base
-    return int(min(MAX_PAIR_PARTITIONS, max(base, math.ceil(pair_count / PAIRS_PER_TASK))))
-
-
-def hot_keys(df: DataFrame, key, task_rows: int = DEFAULT_TASK_ROWS,
-             max_hot: int = DEFAULT_MAX_HOT, max_salt: int = DEFAULT_MAX_SALT) -> list[tuple]:
-    """[(key values, nsalt)]: the (at most ``max_hot``) largest keys holding
-    more than ``task_rows`` rows, from one grouped aggregate (combined
-    map-side) and a top-k. The list is bounded by construction; any key not
-    in it holds fewer rows than the max_hot-th largest, i.e. at most
-    n / max_hot. A hot key is split into ceil(rows / task_rows) buckets, at
-    most ``max_salt`` (buckets only spread work; results are exact)."""
+    return max(base, math.ceil((pair_count or 0) / PAIRS_PER_TASK))
+
+
+@dataclass
+class HotKeys:
+    """Keys with more rows than a threshold: a table (keys, _deg), their number
+    and the largest degree. No table where no key is above it."""
+
+    table: DataFrame | None
+    count: int
+    top: int
+
+    def on(self, *names: str) -> HotKeys:
+        """The same keys under other column names."""
+        return self if self.table is None else HotKeys(self.table.toDF(*names, "_deg"), self.count, self.top)
+
+    def blocks(self, limit: int) -> DataFrame | None:
+        """(keys, _g): the keys above ``limit`` rows, in blocks of at most that many."""
+        if self.table is None or self.top <= limit:
+            return None
+        g = self.table.where(F.col("_deg") > limit).withColumn("_g", F.ceil(F.col("_deg") / limit).cast("int")).drop("_deg")
+        return F.broadcast(g) if self.count <= BROADCAST_KEYS else g
+
+
+def _stored_hot(deg: DataFrame, keys: list[str], threshold: int) -> HotKeys:
+    hot = deg.where(F.col("_deg") > int(threshold)).select(*keys, "_deg")
+    size = hot.agg(F.count(F.lit(1)).alias("n"), F.max("_deg").alias("top")).first()
+    if not size["n"]:
+        return HotKeys(None, 0, 0)
+    path = scratch_path(deg.sparkSession, "hot")
+    hot.write.parquet(path)
+    return HotKeys(deg.sparkSession.read.schema(hot.schema).parquet(path), size["n"], size["top"])
+
+
+def hot_keys(df: DataFrame, key, task_rows: int = TASK_ROWS) -> HotKeys:
+    """The keys that hold more than ``task_rows`` rows, from one grouped aggregate."""
     keys = _keys(key)
-    rows = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_deg"))
-            .filter(F.col("_deg") > int(task_rows))
-            .orderBy(F.col("_deg").desc()).limit(max_hot).collect())
-    return [(tuple(r[k] for k in keys),
-             int(min(max_salt, math.ceil(r["_deg"] / max(int(task_rows), 1))))) for r in rows]
-
-
-def degree_stats(df: DataFrame, key: str, task_rows: int = DEFAULT_TASK_ROWS,
-                 max_hot: int = DEFAULT_MAX_HOT,
-                 max_salt: int = DEFAULT_MAX_SALT) -> tuple[float, list[tuple]]:
-    """(Σ deg², hot keys) of ``key`` from one pass over ``df``: the per-key
-    degrees are aggregated once and kept for the two small reads (the sum of
-    squares and the top-k), then released."""
+    return _stored_hot(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_deg")), keys, task_rows)
+
+
+def degree_stats(df: DataFrame, key: str, task_rows: int = TASK_ROWS) -> tuple[float, HotKeys]:
+    """(Σ deg², keys hot in a lookup or in a pair join) of ``key`` from one pass over
+    ``df``: the per-key degrees are aggregated once and kept for the small reads."""
     deg = df.groupBy(key).agg(F.count(F.lit(1)).alias("_deg")).persist()
     try:
         d = F.col("_deg").cast("double")
         cost = deg.agg(F.coalesce(F.sum(d * d), F.lit(0.0)).alias("c")).first()["c"]
-        rows = (deg.filter(F.col("_deg") > int(task_rows))
-                .orderBy(F.col("_deg").desc()).limit(max_hot).collect())
+        return float(cost), _stored_hot(deg, [key], min(task_rows, PAIR_ROWS))
     finally:
         deg.unpersist()
-    hot = [((r[key],), int(min(max_salt, math.ceil(r["_deg"] / max(int(task_rows), 1)))))
-           for r in rows]
-    return float(cost), hot
 
 
-def salted_join(left: DataFrame, right: DataFrame, key, split_col: str,
-                task_rows: int = DEFAULT_TASK_ROWS, max_hot: int = DEFAULT_MAX_HOT,
-                max_salt: int = DEFAULT_MAX_SALT, how: str = "inner", hot: list | None = None,
-                partitions: int | None = None) -> DataFrame:
-    """Equi-join on ``key`` (a column or list) where hot keys of ``left`` are
-    split by a hash of ``split_col`` and the matching ``right`` rows are
-    replicated to every bucket. ``how`` may be inner or left.
+def salted_join(left: DataFrame, right: DataFrame, key, split_col: str, task_rows: int = TASK_ROWS,
+                how: str = "inner", hot: HotKeys | None = None, partitions: int | None = None,
+                split_right: str | None = None, symmetric: bool = False) -> DataFrame:
+    """Equi-join on ``key`` (a column or list) where the rows of hot keys of ``left``
+    are spread over buckets by a hash of ``split_col``. ``how`` may be inner or left.
+
+    Without ``split_right`` the matching right rows are copied to every bucket. With
+    it the join makes pairs: the right rows of a hot key are spread by a hash of
+    ``split_right``, and every block of one side meets every block of the other;
+    ``symmetric`` makes each unordered pair of rows once, in any order, with its
+    ends compared by ``split_col`` and ``split_right``.
 
     ``partitions``: for joins whose output is much larger than their input
     (pair generation), both sides are hash-partitioned into this many
     partitions explicitly; otherwise AQE would coalesce the small input
     shuffle into a few tasks that then produce all the pairs."""
     keys = _keys(key)
+    pairs = split_right is not None
+    limit = min(task_rows, PAIR_ROWS) if pairs else task_rows
     if hot is None:
-        hot = hot_keys(left, keys, task_rows, max_hot, max_salt)
-    if not hot:
+        hot = hot_keys(left, keys, limit)
+    salts = hot.blocks(limit)
+    ordered = F.col(split_col) <= F.col(split_right) if symmetric else F.lit(True)
+    if salts is None:
         if partitions:
             left = left.repartition(partitions, *keys)
             right = right.repartition(partitions, *keys)
-        return left.join(right, keys, how)
-    spark = left.sparkSession
-    schema = T.StructType([left.schema[k] for k in keys] + [T.StructField("_nsalt", T.IntegerType())])
-    # bounded (<= max_hot rows, see hot_keys): a broadcast with a proven size
-    salts = F.broadcast(spark.createDataFrame([(*k, n) for k, n in hot], schema))
-    lft = (left.join(salts, keys, "left")
-           .withColumn("_salt", F.when(F.col("_nsalt").isNull(), F.lit(0))
-                       .otherwise(F.pmod(F.xxhash64(F.col(split_col)), F.col("_nsalt")).cast("int")))
-           .drop("_nsalt"))
-    rgt = (right.join(salts, keys, "left")
-           .withColumn("_salt", F.explode(F.sequence(F.lit(0),
-                                                     F.coalesce(F.col("_nsalt"), F.lit(1)) - 1)))
-           .drop("_nsalt"))
-    n_parts = partitions or default_partitions(spark)
-    lft = lft.repartition(n_parts, *keys, "_salt")
-    rgt = rgt.repartition(n_parts, *keys, "_salt")
-    return lft.join(rgt, [*keys, "_salt"], how).drop("_salt")
+        return left.join(right, keys, how).where(ordered)
+    last = F.coalesce(F.col("_g"), F.lit(1)) - 1
+
+    def bucket(c):
+        return F.when(F.col("_g").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(c)), F.col("_g")).cast("int"))
+
+    lft, rgt = left.join(salts, keys, "left"), right.join(salts, keys, "left")
+    cell = ["_i"]
+    if pairs:
+        cell.append("_j")
+        lft = lft.withColumn("_i", bucket(split_col))
+        lft = lft.withColumn("_j", F.explode(F.sequence(F.col("_i") if symmetric else F.lit(0), last)))
+        rgt = rgt.withColumn("_j", bucket(split_right))
+        rgt = rgt.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j") if symmetric else last)))
+    else:
+        lft = lft.withColumn("_i", bucket(split_col))
+        rgt = rgt.withColumn("_i", F.explode(F.sequence(F.lit(0), last)))
+    n_parts = partitions or default_partitions(left.sparkSession)
+    lft = lft.drop("_g").repartition(n_parts, *keys, *cell)
+    rgt = rgt.drop("_g").repartition(n_parts, *keys, *cell)
+    both = lft.join(rgt, [*keys, *cell], how)
+    if symmetric:  # off the diagonal every pair of rows meets once, in either order
+        both = both.where((F.col("_i") < F.col("_j")) | ordered)
+    return both.drop(*cell)
 
 
 def cooccurrence(R: DataFrame, by: str, col: str, val: str, weight: str | None = None,
@@ -150,10 +182,15 @@ def cooccurrence(R: DataFrame, by: str, col: str, val: str, weight: str | None =
     if "partitions" not in skew:
         cost = square_degree_cost(R, by).first()["cost"]
         skew["partitions"] = pair_partitions(R.sparkSession, cost)
-    pairs = salted_join(left, right, by, "a", **skew)
     symmetric = right_keys is None
-    if symmetric:
-        pairs = pairs.filter(F.col("a") <= F.col("b"))
+    pairs = salted_join(left, right, by, "a", split_right="b", symmetric=symmetric, **skew)
+    if symmetric:  # the smaller end first
+        turn = F.col("a") > F.col("b")
+        ends = {"a": F.least("a", "b"), "b": F.greatest("a", "b")}
+        if norm:
+            ends |= {"_na": F.when(turn, F.col("_nb")).otherwise(F.col("_na")),
+                     "_nb": F.when(turn, F.col("_na")).otherwise(F.col("_nb"))}
+        pairs = pairs.withColumns(ends)
     prod = F.col("va") * F.col("vb")
     aggs = [F.sum(prod).alias("c")]
     if weight:

@@ -75,7 +75,8 @@ def test_hot_user_with_third_of_rows_is_split_and_exact(spark):
     assert sum(1 for r in rows if r[0] == 0) * 3 >= len(rows) * 0.9
     R = spark.createDataFrame(rows, "user_id long, item_id long, counts double")
     hot = hot_keys(R, "user_id", task_rows=20)
-    assert hot and hot[0][0] == (0,) and hot[0][1] >= 3
+    assert [tuple(r) for r in hot.table.collect()] == [(0, 60)] and (hot.count, hot.top) == (1, 60)
+    assert [tuple(r) for r in hot.blocks(20).collect()] == [(0, 3)] and hot.blocks(60) is None
     q = np.where(dense.sum(0) == 0, 0.0, 1.0 / np.sqrt(np.maximum(dense.sum(0), 1e-300)))
     gi = dense @ np.diag(q) @ dense.T @ dense @ np.diag(q)
     got = neighbourhood.neighbourhood_scores(R, association="items", task_rows=20).collect()
@@ -84,14 +85,32 @@ def test_hot_user_with_third_of_rows_is_split_and_exact(spark):
         assert r.score_item == pytest.approx(gi[r.user_id, r.item_id], rel=1e-9)
 
 
-def test_hot_key_list_is_bounded(spark):
+def test_every_hot_key_is_split(spark):
     from cofilter.operators.products import hot_keys
 
-    df = spark.range(0, 2000).selectExpr("id % 10 AS k", "id AS v")
-    hot = hot_keys(df, "k", task_rows=5, max_hot=3)
-    assert len(hot) == 3 and all(n == 40 for _, n in hot)
-    assert len(hot_keys(df, "k", task_rows=5, max_hot=3, max_salt=7)) == 3
-    assert all(n == 7 for _, n in hot_keys(df, "k", task_rows=5, max_hot=3, max_salt=7))
+    df = spark.range(0, 20_000).selectExpr("id % 4000 AS k", "id AS v")
+    hot = hot_keys(df, "k", task_rows=4)
+    assert hot.count == 4000 and hot.blocks(4).where("_g = 2").count() == 4000
+
+
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_pair_cells_stay_under_their_limit(spark, symmetric, monkeypatch):
+    """A key of 300 rows with blocks of 40: no cell makes more than about 40 x 40
+    pairs, and every pair is made once."""
+    from pyspark.sql import functions as F
+
+    from cofilter.operators import products
+
+    monkeypatch.setattr(products, "PAIR_ROWS", 40)
+    rows = spark.range(300).selectExpr("0L AS k", "id AS a").unionByName(spark.range(5).selectExpr("1L AS k", "id AS a"))
+    joined = products.salted_join(rows, rows.withColumnRenamed("a", "b"), "k", "a", split_right="b", symmetric=symmetric,
+                                  partitions=64)
+    pairs = joined.withColumn("p", F.spark_partition_id())
+    got = sorted((r.k, *(sorted((r.a, r.b)) if symmetric else (r.a, r.b))) for r in pairs.collect())
+    want = sorted((k, a, b) for k, n in ((0, 300), (1, 5)) for a in range(n) for b in range(n) if not symmetric or a <= b)
+    assert got == want
+    # 8 x 8 blocks of the hot key: tasks hold a few cells each, none the whole key
+    assert pairs.groupBy("p").count().agg(F.max("count")).first()[0] < 0.2 * len(want)
 
 
 def test_salted_left_join_keeps_unmatched_rows(spark):
