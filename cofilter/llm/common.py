@@ -3,18 +3,13 @@ folder, Arrow plumbing, character and word arrays, connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cofilter.session import scratch_path
+from cofilter.session import scratch_path, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,17 +25,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors: the driver
-    hands it out once per application, as ``--py-files`` would."""
-    sc = df.sparkSession.sparkContext
-    name = "cofilter-package.zip"
-    if not any(str(f).endswith(name) for f in sc.listFiles):
-        top = Path(__file__).resolve().parents[1]
-        path = os.path.join(tempfile.mkdtemp(prefix="cofilter-"), name)
-        with zipfile.ZipFile(path, "w") as out:
-            for f in sorted(top.rglob("*.py")):
-                out.write(f, f.relative_to(top.parent))
-        sc.addPyFile(path)
+    """``mapInArrow`` with this package at hand on the executors."""
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
