@@ -33,7 +33,8 @@ SHINGLE = 5
 COORDS = 64
 MATCHES = 36
 SHORT = 32
-CELL_SHINGLES = 400_000
+CELL_SHINGLES = 1_200_000
+CELL_OVERHEAD = 600  # a document counts as so many shingles more, so a block has 2,000 at most
 PERCENT = 80
 #: width of a size class: sizes two classes apart differ by more than 1 / 0.8
 CLASS = float(np.log(1.25))
@@ -206,7 +207,7 @@ def _cell_links(posts: DataFrame, texts: DataFrame, width: int, percent: int) ->
     blocks of about ``CELL_SHINGLES`` shingles, and two blocks that meet in some list
     are one cell."""
     home = posts.groupBy("id").agg(F.max(F.struct("members", "key")).alias("h"), F.max("n").alias("n"))
-    weight = home.groupBy("h.key").agg(F.sum("n").alias("w"))
+    weight = home.groupBy("h.key").agg(F.sum(F.col("n") + CELL_OVERHEAD).alias("w"))
     slot = F.pmod(F.xxhash64("id"), F.ceil(F.col("w") / CELL_SHINGLES))
     doc = stored(home.select("id", "n", F.col("h.key").alias("key")).join(weight, "key")
                  .select("id", F.xxhash64("key", slot).alias("block")), "homes")
@@ -249,8 +250,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal sets are one class, its smallest id stands for it
     classes = member.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     sets = stored(sigs.join(classes.select(F.col("rep").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"])
-                  .select("id", "n", "sig").dropDuplicates(["id"]), "reps")
+                  .dropDuplicates(["id", "n", "f1", "f2"]).select("id", "n", "sig"), "reps")
     posts = stored(_postings(sets, coords, matches), "postings")
+    # few sets share enough with others to be posted; from here on 16 bits of each value do
+    sets = stored(sets.join(posts.select("id").distinct(), "id", "left_semi")
+                  .select("id", F.expr("transform(sig, v -> cast(v & 32767 AS SMALLINT))").alias("sig")), "posted")
     texts = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
              .where("id IS NOT NULL"))
     done = stored(_leader_pairs(posts, sets, matches), "pairs")

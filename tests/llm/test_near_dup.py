@@ -82,7 +82,7 @@ def test_cells_match_brute_force():
     assert set(zip(*got, strict=True)) == want([(a, b) for a in range(40) for b in range(a)])
 
 
-@pytest.mark.parametrize("short, cell", [(32, 400_000), (4, 1500)])
+@pytest.mark.parametrize("short, cell", [(32, 400_000), (4, 15_000)])
 def test_groups_and_chains(spark, monkeypatch, short, cell):
     monkeypatch.setattr(near_dup, "SHORT", short)
     monkeypatch.setattr(near_dup, "CELL_SHINGLES", cell)
