@@ -3,7 +3,7 @@
 Each page gives three records: a request, a response (or a revisit of an earlier
 response with the same payload) and metadata; request and metadata name the
 response's record id in WARC-Concurrent-To. Records are text, so Spark's text
-writer stores them on any file system, the record end as its line separator.
+writer stores them on any file system, gzipped, the record end as its line separator.
 Reading parses the files by Content-Length, keeps the three record types apart,
 and joins them through the concurrent-to ids into one nested row per capture;
 revisits find their payload's digest and length through WARC-Refers-To.
@@ -16,13 +16,14 @@ ignored. Files hold about ``FILE_BYTES``; a longer payload has a file of its own
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofilter.llm.common import mapped
+from cofilter.llm.common import mapped, stored
 from cofilter.session import scratch_path
 
 MIN_SHARED = 1000
@@ -49,25 +50,39 @@ def _record(kind, record_id, headers: list, block):
     return F.concat(F.concat_ws("\r\n", F.lit("WARC/1.1"), *lines), F.lit(END), block)
 
 
-def captures(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
-    """Pages with payload, its size and digest, and the page that holds an equal payload, if another does."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"),
+def _shape(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"),
                         F.translate(F.coalesce("url", F.lit("")), "\r\n", "").alias("url"),
                         F.coalesce("html", F.lit("")).alias("html")).where("page_id IS NOT NULL")
-    rows = rows.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.sha1("html"))
-    # one capture for an id
-    best = rows.groupBy("page_id").agg(F.max(F.struct("bytes", "digest", F.col("url").alias("u"))).alias("m"),
-                                       F.count(F.lit(1)).alias("n"))
-    again = best.where("n > 1").select("page_id", "m")
-    once = rows.join(again.select("page_id"), "page_id", "left_anti")
-    twice = rows.join(again, "page_id").where("bytes = m.bytes AND digest = m.digest AND url = m.u").drop("m")
-    rows = once.unionByName(twice.dropDuplicates(["page_id"]))
-    holder = (rows.where(F.col("bytes") >= min_shared).groupBy("digest", "bytes")
-              .agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    held = rows.join(holder, ["digest", "bytes"], "left")
+
+
+def decisions(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
+    """(page_id, bytes, digest, url, n, refers_to) of each capture, without payloads: n
+    rows share the page id; refers_to is the page that holds an equal payload."""
+    light = _shape(pages).select("page_id", F.octet_length("html").alias("bytes"), F.sha1("html").alias("digest"), "url")
+    best = light.groupBy("page_id").agg(F.max(F.struct("bytes", "digest", "url")).alias("m"),
+                                        F.count(F.lit(1)).alias("n")).select("page_id", "m.*", "n")
+    best = stored(best, "captures")
+    holder = (best.where(F.col("bytes") >= min_shared).groupBy("digest", "bytes")
+              .agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
+    held = best.join(holder, ["digest", "bytes"], "left")
     return held.withColumn("refers_to", F.when(F.col("holder") != F.col("page_id"), F.col("holder"))).drop("holder")
 
 
+def captures(pages: DataFrame, files: int, min_shared: int = MIN_SHARED) -> DataFrame:
+    """The captures with their payloads, dealt into ``files`` partitions: the only
+    time payloads are shuffled."""
+    found = stored(decisions(pages, min_shared), "decisions")
+    rows = _shape(pages).repartition(files, "page_id")
+    held = rows.join(found.drop("url").where("n = 1").repartition(files, "page_id"), "page_id").drop("n")
+    if found.where("n > 1").isEmpty():
+        return held
+    # rows that share a page id: one that equals the capture
+    again = rows.join(found.where("n > 1").withColumnRenamed("url", "u"), "page_id").where(
+        "url = u AND octet_length(html) = bytes AND sha1(html) = digest").drop("u", "n")
+    return held.unionByName(again.dropDuplicates(["page_id"]))
+
+
 def records(held: DataFrame) -> DataFrame:
     """(record): three WARC records for each capture."""
     response = _id(RESPONSE)
@@ -91,15 +106,14 @@ def records(held: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str, min_shared: int = MIN_SHARED, file_bytes: int = FILE_BYTES) -> None:
     """Write the archives of all pages under ``path``, records of about ``file_bytes`` in each file."""
-    held = captures(pages, min_shared)
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    held = held.repartition(max(1, int(total // file_bytes) + 1), "page_id")
-    records(held).write.option("lineSep", END).text(path)
+    held = captures(pages, max(1, int(total // file_bytes) + 1), min_shared)
+    records(held).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
-def parse(data: memoryview, with_payload: bool):
-    """The records of one archive: (type, id, concurrent-to, refers-to, url, digest, payload length, page id, payload)."""
-    at, raw = 0, data.obj if isinstance(data.obj, bytes) and len(data.obj) == len(data) else bytes(data)
+def parse(raw: bytes, with_payload: bool):
+    """The records of one unpacked archive: (type, id, concurrent-to, refers-to, url, digest, payload length, page id, payload)."""
+    at = 0
     while at < len(raw):
         stop = raw.index(b"\r\n\r\n", at)
         lines = raw[at:stop].decode().split("\r\n")
@@ -138,7 +152,7 @@ def read_records(spark, path: str, with_payload: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for r in parse(memoryview(content.as_buffer()), with_payload):
+                for r in parse(gzip.decompress(content.as_buffer()), with_payload):
                     rows.append(r)
                     held += len(r[8] or b"")
                     if held > 4 << 20 or len(rows) >= 4096:
@@ -179,4 +193,4 @@ def round_trip(pages: DataFrame, with_payload: bool = False) -> DataFrame:
     """Write the archives into the shared scratch folder, read them back, assemble."""
     path = scratch_path(pages.sparkSession, "warc")
     write(pages, path)
-    return transactions(read_records(pages.sparkSession, path, with_payload))
+    return transactions(stored(read_records(pages.sparkSession, path, with_payload), "records"))
