@@ -370,7 +370,7 @@ def q_svd_moments(spark, sf):
 
 def q_svd_orders_energy(spark, sf):
     """M8/A10 on the wide matrix: the energy of the first 16 singular values."""
-    m = factor.svd_fit(inp.r_orders(spark, sf), k=16, tolerance=1e-4)
+    m = factor.svd_fit(inp.r_orders(spark, sf), k=16)
     return factor.singular_values(spark, m).select("k", r6("energy").alias("energy"))
 
 
