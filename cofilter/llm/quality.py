@@ -8,7 +8,7 @@ through a logistic curve fitted to the document labels.
 
 The field is trained by gradient ascent on its conditional likelihood, each line
 labelled as its document, on a bounded sample: ``TRAIN_DOCS`` documents of each
-label, in the order of a hash of their id, the first ``TRAIN_LINES`` lines of
+label, in the order of a hash of their id, weighted to the mix of all labelled rows, the first ``TRAIN_LINES`` lines of
 each. Scoring reads whole texts. Texts without a visible character (null, empty,
 white space) score the share of good documents in training. Ties need no rule:
 equal texts score the same. Rows repeat as they come; null ids are scored too.
@@ -144,30 +144,35 @@ class Field:
         return self.calibrated(self.raw(*line_features(texts)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 50) -> tuple[float, float]:
     """Slope (not negative) and offset of a logistic curve, by damped Newton steps."""
+    weight = np.ones(len(y)) if weight is None else weight
     y = (y * len(y) + 1) / (len(y) + 2) if len(set(y)) == 1 else y * 0.998 + 0.001
     z = np.stack((x, np.ones_like(x)), 1)
     w = np.zeros(2)
     for _ in range(steps):
         p = _logistic(z @ w)
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * len(y) ** 0.5 * np.eye(2)
-        w += np.linalg.solve(h, z.T @ (y - p) - 1e-3 * len(y) ** 0.5 * w)
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-3 * len(y) ** 0.5 * np.eye(2)
+        w += np.linalg.solve(h, z.T @ (weight * (y - p)) - 1e-3 * len(y) ** 0.5 * w)
     return max(0.0, float(w[0])), float(w[1])
 
 
-def fit(features: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Field:
-    """Train on documents given as (line features, visible lengths) with their labels."""
+def fit(features: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight: np.ndarray | None = None) -> Field:
+    """Train on documents given as (line features, visible lengths) with their labels
+    and, where the sample's mix isn't that of all rows, weights."""
+    weight = np.ones(len(label)) if weight is None else weight / weight.mean()
     lines = np.array([len(f) for f, _ in features], np.int64)
     own = np.concatenate([f for f, _ in features])
     seen = np.concatenate([s for _, s in features])
     x = neighbours(own, lines)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    by_line = np.repeat(weight, lines)
+    mean = np.average(x, axis=0, weights=by_line)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=by_line)) + 1e-6
     mean[-1], scale[-1] = 0, 1
     x = (x - mean) / scale
     y = np.repeat(label, lines).astype(float)
-    # every document counts the same, so long ones don't drown the rest
-    share = np.repeat(1.0 / lines, lines)
+    # a document counts by its weight, not its length, so long ones don't drown the rest
+    share = np.repeat(weight / lines, lines)
     inner = np.ones(len(x), bool)
     inner[np.cumsum(lines) - 1] = False
     at = np.flatnonzero(inner)
@@ -188,19 +193,23 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> Fie
             moment[i] = 0.9 * moment[i] + 0.1 * g
             moment[i + 1] = 0.99 * moment[i + 1] + 0.01 * g * g
             v += 0.1 * (moment[i] / (1 - 0.9 ** step)) / (np.sqrt(moment[i + 1] / (1 - 0.99 ** step)) + 1e-8)
-    field = Field(mean, scale, w, t, prior=float(label.mean()))
+    field = Field(mean, scale, w, t, prior=float(np.average(label, weights=weight)))
     raw = field.raw(own, seen, lines)
     ok = ~np.isnan(raw)
     p = np.clip(raw[ok], 1e-6, 1 - 1e-6)
-    field.slope, field.offset = fit_logistic(np.log(p / (1 - p)), label[ok].astype(float))
+    field.slope, field.offset = fit_logistic(np.log(p / (1 - p)), label[ok].astype(float), weight[ok])
     return field
 
 
 def training_ids(labels: DataFrame, id_col: str, label_col: str, docs: int) -> DataFrame:
-    """At most ``docs`` labelled ids of each kind (0 and 1), the first by a hash of the id."""
+    """At most ``docs`` labelled ids of each kind (0 and 1), the first by a hash of the
+    id. ``weight`` is the number of labelled rows that a row of the sample stands for."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(
         "id IS NOT NULL AND y IN (0, 1)")
     parts = [known.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(docs) for k in (0, 1)]
+    total = {x["y"]: x["n"] for x in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [x.withColumn("weight", F.lit(total.get(k, 0) / max(1, min(total.get(k, 0), docs))))
+             for k, x in enumerate(parts)]
     return parts[0].union(parts[1])
 
 
@@ -210,20 +219,20 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            own, seen, lines = line_features(text_bytes(batch.column(1)))
+            own, seen, lines = line_features(text_bytes(batch.column(2)))
             begin = np.cumsum(lines) - lines
             cut = [slice(b, b + min(k, TRAIN_LINES)) for b, k in zip(begin, lines, strict=True)]
             size = np.array([c.stop - c.start for c in cut])
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), list_array(np.concatenate([own[c].ravel() for c in cut]), size * own.shape[1],
+                batch.column(0), batch.column(1), list_array(np.concatenate([own[c].ravel() for c in cut]), size * own.shape[1],
                                             pa.float64()),
-                list_array(np.concatenate([seen[c] for c in cut]), size, pa.float64())], names=["y", "own", "seen"])
+                list_array(np.concatenate([seen[c] for c in cut]), size, pa.float64())], names=["y", "weight", "own", "seen"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     # the sample is at most 2 * train_docs ids: broadcast
-    sample = rows.join(F.broadcast(ids), "id").select("y", "t")
-    got = mapped(sample, run, "y int, own array<double>, seen array<double>").toArrow()
-    label = got["y"].to_numpy() if got.num_rows else np.empty(0)
+    sample = rows.join(F.broadcast(ids), "id").select("y", "weight", "t")
+    got = mapped(sample, run, "y int, weight double, own array<double>, seen array<double>").toArrow()
+    label, weight = (got[c].to_numpy() if got.num_rows else np.empty(0) for c in ("y", "weight"))
     if len(set(label)) < 2:
         k = line_features([b""])[0].shape[1] * 3 + 3
         prior = float(label.mean()) if len(label) else 0.5
@@ -231,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                      float(np.log((prior + 1e-3) / (1 - prior + 1e-3))), prior)
     seen = [x.values.to_numpy() for x in got["seen"]]
     own = [x.values.to_numpy().reshape(len(s), -1) for x, s in zip(got["own"], seen, strict=True)]
-    return fit(list(zip(own, seen, strict=True)), label)
+    return fit(list(zip(own, seen, strict=True)), label, weight)
 
 
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

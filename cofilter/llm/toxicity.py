@@ -20,7 +20,7 @@ Null and empty texts, and texts without words, score as a sentence without
 words. Equal texts score the same; rows repeat as they come, null ids included.
 Without labelled rows of both kinds every score is the share of toxic rows.
 Training reads at most ``TRAIN_DOCS`` documents of each label, in hash order,
-and ``TRAIN_SENTENCES`` sentences of each; scoring reads whole texts."""
+weighted to the mix of all labelled rows, and ``TRAIN_SENTENCES`` sentences of each; scoring reads whole texts."""
 
 from __future__ import annotations
 
@@ -232,13 +232,13 @@ def document_features(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack((worst, above, np.log(np.diff(first)), np.ones(len(begin))), 1)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> np.ndarray:
     """Logistic regression by Newton steps with a little ridge."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = _logistic(x @ w)
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (y - p) - 0.1 * w)
+        h = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 0.1 * w)
         w += step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
     return w
 
@@ -265,9 +265,9 @@ def _gram(words: list[str]) -> np.ndarray:
     return (k + k.T) / 2
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, steps: int = 25) -> np.ndarray:
+def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 25) -> np.ndarray:
     """Squared-hinge linear SVM by Newton steps; the last column of ``x`` is a constant."""
-    share = np.full(len(y), 1 / len(y))
+    share = weight / weight.sum()
     w = np.zeros(x.shape[1])
     ridge = RIDGE * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
@@ -281,8 +281,10 @@ def train_svm(x: np.ndarray, y: np.ndarray, steps: int = 25) -> np.ndarray:
     return w
 
 
-def fit(kernel: Kernel, feats: np.ndarray, doc: np.ndarray, label: np.ndarray) -> Machine:
-    """Train on sentence features (sums over words) with their document and its label."""
+def fit(kernel: Kernel, feats: np.ndarray, doc: np.ndarray, label: np.ndarray, weight: np.ndarray) -> Machine:
+    """Train on sentence features (sums over words) with their document, its label
+    and its weight."""
+    weight = weight / weight.mean()
     value, vector = np.linalg.eigh(_gram(kernel.landmarks))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     x = np.concatenate((feats @ root, np.ones((len(feats), 1))), 1)
@@ -290,29 +292,31 @@ def fit(kernel: Kernel, feats: np.ndarray, doc: np.ndarray, label: np.ndarray) -
     picked = toxic.copy()
     for _ in range(PICKS):
         use = picked | ~toxic
-        w = train_svm(x[use], np.where(toxic[use], 1.0, -1.0))
+        w = train_svm(x[use], np.where(toxic[use], 1.0, -1.0), weight[doc[use]])
         f = x @ w
         best = np.full(len(label), -np.inf)
         np.maximum.at(best, doc, f)
         picked = toxic & ((f > 0) | (f == best[doc]))
     first = np.searchsorted(doc, np.arange(len(label) + 1))
-    curve = fit_curve(document_features(x @ w, first), label.astype(float))
-    return Machine(kernel, root @ w[:-1], float(w[-1]), curve, float(label.mean()))
+    curve = fit_curve(document_features(x @ w, first), label.astype(float), weight)
+    return Machine(kernel, root @ w[:-1], float(w[-1]), curve, float(np.average(label, weights=weight)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
           text_col: str = "text", train_docs: int = TRAIN_DOCS, landmarks: int = LANDMARKS) -> Machine:
     ids = training_ids(labels, id_col, label_col, train_docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    sample = rows.join(F.broadcast(ids), "id").select("y", "t")  # at most 2 * train_docs ids
+    sample = rows.join(F.broadcast(ids), "id").select("y", "weight", "t")  # at most 2 * train_docs ids
     total = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # with the weights: of all labelled rows
+    share = ids.agg((F.sum(F.col("y") * F.col("weight")) / F.sum("weight")).alias("p")).first().p
     if len(total) < 2:
         prior = float(next(iter(total), 0.5))
         return Machine(None, np.zeros(0), prior=prior)
 
     def words_of(batches):
         for batch in slices(batches, "t"):
-            w = Words.of(batch.column(1))
+            w = Words.of(batch.column(2))
             text = np.searchsorted(w.first, w.sentence, "right") - 1
             pair = np.unique(text * len(w.distinct) + w.code) if len(w.code) else np.empty(0, np.int64)
             text, code = (pair // len(w.distinct), pair % len(w.distinct)) if len(pair) else (pair, pair)
@@ -333,13 +337,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     typical = counts.withColumn("g", (p - q) * F.log(p / q)).where(p > 2 * q).orderBy(F.desc("g"), F.desc(F.length("w")), "w").limit(CANDIDATES)
     kernel_words = choose_landmarks([r["w"] for r in typical.select("w").collect()], landmarks)
     if not kernel_words:
-        return Machine(None, np.zeros(0), prior=total[1] / (total[0] + total[1]))
+        return Machine(None, np.zeros(0), prior=share)
     kernel = Kernel.build(kernel_words)
     shared = docs.sparkSession.sparkContext.broadcast(kernel)
 
     def features(batches):
         for batch in slices(batches, "t"):
-            w = Words.of(batch.column(1))
+            w = Words.of(batch.column(2))
             k = shared.value.against(w.distinct)
             f = np.zeros((w.first[-1], k.shape[1]))
             if len(w.code):
@@ -347,14 +351,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 f[w.sentence[begin]] = np.add.reduceat(k[w.code], begin, axis=0)
             size = np.minimum(np.diff(w.first), TRAIN_SENTENCES)
             cut = np.concatenate([f[a: a + n].ravel() for a, n in zip(w.first[:-1], size, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(cut, size * k.shape[1], pa.float32())],
-                                             names=["y", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(cut, size * k.shape[1], pa.float32())],
+                                             names=["y", "weight", "f"])
 
-    got = mapped(sample, features, "y int, f array<float>").toArrow()
+    got = mapped(sample, features, "y int, weight double, f array<float>").toArrow()
     label = got["y"].to_numpy()
     feats = [x.values.to_numpy().reshape(-1, len(kernel_words)) for x in got["f"]]
     doc = np.repeat(np.arange(len(label)), [len(f) for f in feats])
-    return fit(kernel, np.concatenate(feats), doc, label)
+    return fit(kernel, np.concatenate(feats), doc, label, got["weight"].to_numpy())
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

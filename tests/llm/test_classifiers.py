@@ -106,6 +106,19 @@ def test_toxicity_edges(spark):
     assert X.score(docs.where("doc_id < 0"), m).count() == 0
 
 
+@pytest.mark.parametrize("train, score", [(Q.train, Q.score), (X.train, X.score)])
+def test_scores_do_not_follow_the_sample_size(spark, train, score):
+    """A bounded sample has as many rows of each label; scores keep the mix of all rows:
+    30 rows of 300 are labelled 1, and of the 80 with the mark 20 are."""
+    rows = [(i, "you moron ### here." if i < 80 else "river stone light.", int(i < 20 or i >= 290)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    labels = docs.select("doc_id", "y")
+    got = [{r.text: r.score for r in score(docs, m).join(docs, "doc_id").collect()}
+           for m in (train(docs, labels, "y", train_docs=n) for n in (1000, 25))]
+    assert got[0]["you moron ### here."] == pytest.approx(0.25, abs=0.05)
+    assert all(got[1][t] == pytest.approx(got[0][t], abs=0.12) for t in got[0])
+
+
 @pytest.mark.parametrize("name, label, low", [("op1_quality", "quality", 0.95), ("op10_toxicity", "toxic", 0.85)])
 def test_held_out_accuracy(spark, name, label, low):
     from cofilter.llm.queries import queries
