@@ -8,8 +8,8 @@ through a logistic curve fitted to the document labels.
 
 The field is trained by gradient ascent on its conditional likelihood, each line
 labelled as its document, on a bounded sample: ``TRAIN_DOCS`` documents of each
-label, in the order of a hash of their id, weighted to the mix of all labelled rows, the first ``TRAIN_LINES`` lines of
-each. Scoring reads whole texts. Texts without a visible character (null, empty,
+label, in the order of a hash of their id, weighted to the mix of all labelled rows,
+with all their lines. Scoring reads whole texts. Texts without a visible character (null, empty,
 white space) score the share of good documents in training. Ties need no rule:
 equal texts score the same. Rows repeat as they come; null ids are scored too.
 Without labelled rows of both kinds every score is the share of good rows, 0.5
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from cofilter.llm.common import list_array, mapped, slices, text_bytes, word_hashes
 
 TRAIN_DOCS = 3_000
-TRAIN_LINES = 128
 STEPS = 80
 RIDGE = 1e-3
 
@@ -220,13 +219,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
             own, seen, lines = line_features(text_bytes(batch.column(2)))
-            begin = np.cumsum(lines) - lines
-            cut = [slice(b, b + min(k, TRAIN_LINES)) for b, k in zip(begin, lines, strict=True)]
-            size = np.array([c.stop - c.start for c in cut])
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), list_array(np.concatenate([own[c].ravel() for c in cut]), size * own.shape[1],
-                                            pa.float64()),
-                list_array(np.concatenate([seen[c] for c in cut]), size, pa.float64())], names=["y", "weight", "own", "seen"])
+                batch.column(0), batch.column(1), list_array(own.ravel(), lines * own.shape[1], pa.float64()),
+                list_array(seen, lines, pa.float64())], names=["y", "weight", "own", "seen"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     # the sample is at most 2 * train_docs ids: broadcast

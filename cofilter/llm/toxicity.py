@@ -20,7 +20,7 @@ Null and empty texts, and texts without words, score as a sentence without
 words. Equal texts score the same; rows repeat as they come, null ids included.
 Without labelled rows of both kinds every score is the share of toxic rows.
 Training reads at most ``TRAIN_DOCS`` documents of each label, in hash order,
-weighted to the mix of all labelled rows, and ``TRAIN_SENTENCES`` sentences of each; scoring reads whole texts."""
+weighted to the mix of all labelled rows, with all their sentences; scoring reads whole texts."""
 
 from __future__ import annotations
 
@@ -42,7 +42,6 @@ POWER = 4  # a power of two
 LANDMARKS = 48
 CANDIDATES = 600
 TRAIN_DOCS = 3_000
-TRAIN_SENTENCES = 256
 PICKS = 4
 RIDGE = 1e-5
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
@@ -349,9 +348,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             if len(w.code):
                 begin = np.flatnonzero(np.concatenate(([True], w.sentence[1:] != w.sentence[:-1])))
                 f[w.sentence[begin]] = np.add.reduceat(k[w.code], begin, axis=0)
-            size = np.minimum(np.diff(w.first), TRAIN_SENTENCES)
-            cut = np.concatenate([f[a: a + n].ravel() for a, n in zip(w.first[:-1], size, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(cut, size * k.shape[1], pa.float32())],
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1),
+                                              list_array(f.ravel(), np.diff(w.first) * k.shape[1], pa.float32())],
                                              names=["y", "weight", "f"])
 
     got = mapped(sample, features, "y int, weight double, f array<float>").toArrow()

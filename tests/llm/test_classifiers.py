@@ -119,6 +119,16 @@ def test_scores_do_not_follow_the_sample_size(spark, train, score):
     assert all(got[1][t] == pytest.approx(got[0][t], abs=0.12) for t in got[0])
 
 
+@pytest.mark.parametrize("train, score", [(Q.train, Q.score), (X.train, X.score)])
+def test_training_reads_whole_texts(spark, train, score):
+    """What tells the labels apart comes after 300 lines."""
+    text = "river stone light.\n" * 300
+    rows = [(i, text + ("you moron ### %% |\n" * 200 if i % 2 else ""), i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    got = {r.doc_id: r.score for r in score(docs, train(docs, docs.select("doc_id", "y"), "y")).collect()}
+    assert all(got[i] > 0.6 if i % 2 else got[i] < 0.4 for i in got)
+
+
 @pytest.mark.parametrize("name, label, low", [("op1_quality", "quality", 0.95), ("op10_toxicity", "toxic", 0.85)])
 def test_held_out_accuracy(spark, name, label, low):
     from cofilter.llm.queries import queries
