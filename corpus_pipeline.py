@@ -24,9 +24,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near duplicates, the one with the smallest id, null
+    ids last. Rows are told apart by a key of their own: ids can repeat or be null."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "rows")
+    groups = near_dup.near_duplicates(rows, "row").select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row")
+    kept = (groups.join(rows.select("row", order.alias("o")), "row")
+            .groupBy("component_id").agg(F.min("o").alias("o")).select("o.row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

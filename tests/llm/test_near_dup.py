@@ -112,3 +112,14 @@ def test_groups_and_chains(spark, monkeypatch, short, cell):
 def test_documents(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()]
     check(spark, rows)
+
+
+def test_pipeline_stage_keeps_rows_of_null_and_repeated_ids(spark):
+    from corpus_pipeline import COLUMNS, near_duplicates
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(40)) for w in ("river", "stone", "light", "paper"))
+    rows = [(None, one), (None, two), (None, two), (7, three), (7, four), (7, four), (9, four), (8, one), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = near_duplicates(spark, docs.select(*COLUMNS), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(
+        [(8, one), (None, two), (7, three), (7, four), (None, None)], key=str)
