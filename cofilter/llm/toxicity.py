@@ -272,8 +272,13 @@ def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 25)
     ridge[-1, -1] = 1e-6
     for _ in range(steps):
         inside = y * (x @ w) < 1
-        xi, s = x[inside], share[inside]
-        new = np.linalg.solve((xi * s[:, None]).T @ xi + ridge, xi.T @ (s * y[inside]))
+        left, right = ridge.copy(), np.zeros(x.shape[1])
+        for i in range(0, len(y), 65536):  # a copy of some rows at a time
+            part = inside[i: i + 65536]
+            xi, s = x[i: i + 65536][part], share[i: i + 65536][part]
+            left += (xi * s[:, None]).T @ xi
+            right += xi.T @ (s * y[i: i + 65536][part])
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -286,12 +291,13 @@ def fit(kernel: Kernel, feats: np.ndarray, doc: np.ndarray, label: np.ndarray, w
     weight = weight / weight.mean()
     value, vector = np.linalg.eigh(_gram(kernel.landmarks))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    x = np.concatenate((feats @ root, np.ones((len(feats), 1))), 1)
+    x = np.ones((len(feats), len(root) + 1))
+    for i in range(0, len(x), 65536):
+        x[i: i + 65536, :-1] = feats[i: i + 65536] @ root
     toxic = label[doc] == 1
     picked = toxic.copy()
     for _ in range(PICKS):
-        use = picked | ~toxic
-        w = train_svm(x[use], np.where(toxic[use], 1.0, -1.0), weight[doc[use]])
+        w = train_svm(x, np.where(toxic, 1.0, -1.0), np.where(picked | ~toxic, weight[doc], 0.0))
         f = x @ w
         best = np.full(len(label), -np.inf)
         np.maximum.at(best, doc, f)
@@ -356,7 +362,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     label = got["y"].to_numpy()
     feats = [x.values.to_numpy().reshape(-1, len(kernel_words)) for x in got["f"]]
     doc = np.repeat(np.arange(len(label)), [len(f) for f in feats])
-    return fit(kernel, np.concatenate(feats), doc, label, got["weight"].to_numpy())
+    weight, feats = got["weight"].to_numpy(), np.concatenate(feats)
+    del got
+    return fit(kernel, feats, doc, label, weight)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
