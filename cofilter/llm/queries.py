@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cofilter.llm import chat, decontaminate, language_id, near_dup, pieces, quality, secrets, topk, toxicity, warc
+from cofilter.llm import (chat, decontaminate, fim, hard_negatives, language_id, near_dup, pieces, quality, secrets,
+                          simhash, topk, toxicity, warc)
 from cofilter.llm.common import learn_split, table
 
 
@@ -84,9 +85,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "worst_sentence")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = fim.restore(fim.transform(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                         F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_quality, op2_language, op3_topk, op4_decontaminate, op5_near_dup, op6_pieces, op7_chat, op8_secrets,
-             op9_warc, op10_toxicity)
+             op9_warc, op10_toxicity, op11_fim, op12_simhash, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
@@ -121,5 +138,38 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM c GROUP BY conv_id"""
 
 
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+                  sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+     s AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b,
+                  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                         OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+                       WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+     p AS (SELECT *, substr(t, 1, least(a, b)) AS pre, substr(t, least(a, b) + 1, abs(a - b)) AS mid,
+                  substr(t, greatest(a, b) + 1) AS suf FROM s)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN abs(a - b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+           FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+     p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+     r AS (SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score,
+                  n.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id
+                                                                ORDER BY n.score DESC, n.vec_id) AS place
+           FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same
+                          AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score FROM r WHERE place <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op7_chat": OP7_SQL, "op9_warc": OP9_SQL}
+    return {"op3_topk": OP3_SQL, "op7_chat": OP7_SQL, "op9_warc": OP9_SQL, "op11_fim": OP11_SQL,
+            "op13_hard_negatives": OP13_SQL}

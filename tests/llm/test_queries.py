@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def test_matches_duckdb(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = queries()[name](spark, SF)
     res = con.execute(oracle_sql()[name])
