@@ -6,14 +6,19 @@ the start of a word is a letter of its own. An inserted or replaced letter is
 only a longer gap, and characters that aren't letters are skipped. The normalised kernel is raised to ``POWER`` (a product of
 kernels is a kernel), and the kernel of two sentences is the sum over their word
 pairs, so a sentence's decision is a sum over its words. Landmarks are words and
-word beginnings typical of the toxic training documents; the Nyström map is the inverse root of their kernel
+word beginnings typical of the toxic training documents, taken until each of those
+documents holds ``COVER`` of them or near copies of them (if it has that many), so a
+rare language gets its own; the Nyström map is the inverse root of their kernel
 matrix, and a squared-hinge SVM is trained on the mapped sentences. Sentence
 labels come from document labels: a clean document's sentences are clean, and of
 a toxic document's those that the machine itself picks, its best one at least,
-are toxic (a few rounds of training and picking).
+are toxic (a few rounds of training and picking). The features of the training
+sentences stay on the executors; each Newton step brings sums of their products.
 
 A document's score is a logistic curve, fitted to document labels, of its worst
-sentence's decision, the sum of the decisions above the margin, and its length. Runs of three or more one-letter words also count as one
+sentence's decision, the number of sentences above ``HARMLESS``, and its length. The
+curve never falls with the first two and never rises with the length, so harmless
+sentences can't raise a score. Runs of three or more one-letter words also count as one
 word, which catches spaced-out insults.
 
 Null and empty texts, and texts without words, score as a sentence without
@@ -31,26 +36,29 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cofilter.llm.common import list_array, mapped, slices
+from cofilter.llm.common import list_array, mapped, slices, stored
 from cofilter.llm.quality import _logistic, training_ids
 
 DECAY = 0.6
 SPAN = 5
 POWER = 4  # a power of two
-LANDMARKS = 48
-CANDIDATES = 600
+COVER = 8
+HARMLESS = -0.8  # the margin of clean sentences is at -1
+TYPICAL = 8  # words of a toxic training document that can become landmarks
 TRAIN_DOCS = 3_000
+CHUNK = 4096  # sentences of a stored row
 PICKS = 4
 RIDGE = 1e-5
 GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
-_SIZE = 64  # symbols: 0 a letter no landmark has, 1 the start of a word, from 2 on the landmarks' letters
+_TABLE = 1 << 21  # subsequences up to this number are looked up in a table, else by binary search
 
 
 @functools.cache
 def _letter_table() -> np.ndarray:
-    table = np.array([chr(c).isalpha() for c in range(0xFFFF)] + [True])
+    table = np.array([chr(c).isalpha() for c in range(0x110000)])
     table[10] = True  # the mark
     return table
 
@@ -114,63 +122,69 @@ class Words:
             self.code, self.sentence = self.code[order], self.sentence[order]
 
 
-def _norm_by_length() -> np.ndarray:
-    """Norm of a word with n letters: every triple it has, each a feature of its own."""
-    n = np.arange(1, 1026)
-    total = sum(np.maximum(n - j, 0) * DECAY ** (2 * j + 2) for _, j in GAPS)
+def _norm(letters: np.ndarray) -> np.ndarray:
+    """Norm of words with so many letters: every triple of letters and the mark before
+    them, each a feature of its own."""
+    total = sum(np.maximum(letters + 1.0 - j, 0) * DECAY ** (2 * j + 2) for _, j in GAPS)
     return np.sqrt(np.maximum(total, 1e-12)).astype(np.float32)
 
 
 @dataclass
 class Kernel:
-    letters: str
+    letters: str  # symbol 0 is a letter no landmark has, 1 the start of a word, from 2 on these
     landmarks: list[str]
-    index: np.ndarray  # subsequence -> row of ``weight``, the last one for the rest
+    keys: np.ndarray  # sorted subsequences; ``weight`` has a row for each, and a last one for the rest
+    index: np.ndarray | None  # subsequence -> row, where the table is small enough
     weight: np.ndarray  # subsequence x landmark
 
     @staticmethod
     def build(landmarks: list[str]) -> Kernel:
-        count: dict[str, int] = {}
-        for w in landmarks:
-            for c in w:
-                count[c] = count.get(c, 0) + 1
-        letters = "".join(sorted((c for c in count if c.isalpha()), key=lambda c: (-count[c], c))[: _SIZE - 2])
-        k = Kernel(letters, landmarks, np.zeros(_SIZE ** 3, np.int16), np.zeros((1, len(landmarks)), np.float32))
+        letters = "".join(sorted({c for w in landmarks for c in w if c.isalpha()}))
+        k = Kernel(letters, landmarks, np.empty(0, np.int64), None, np.zeros((1, len(landmarks)), np.float32))
         sym, word, norm = k._symbols(landmarks)
         parts = []
         for i, j in GAPS:
             key, same = k._subsequences(sym, word, i, j)
-            at = np.flatnonzero(same & (sym[: len(key)] > 0) & (sym[i: i + len(key)] > 0) & (sym[j:] > 0))
+            at = np.flatnonzero(same)
             parts.append((key[at], word[at], np.full(len(at), DECAY ** (j + 1))))
         key, own, value = (np.concatenate(x) for x in zip(*parts, strict=True))
         keys, row = np.unique(key, return_inverse=True)
         weight = np.zeros((len(keys) + 1, len(landmarks)))
         np.add.at(weight, (row, own), value)
-        k.index[:] = len(keys)
-        k.index[keys] = np.arange(len(keys))
+        k.keys = keys
+        if (len(letters) + 2) ** 3 <= _TABLE:
+            k.index = np.full((len(letters) + 2) ** 3, len(keys), np.int32)
+            k.index[keys] = np.arange(len(keys))
         k.weight = (weight / norm).astype(np.float32)
         return k
 
+    @functools.cached_property
+    def _symbol(self) -> np.ndarray:
+        out = np.zeros(0x110000, np.int32 if len(self.letters) < 1200 else np.int64)
+        out[[ord(c) for c in self.letters]] = np.arange(len(self.letters)) + 2
+        out[10] = 1
+        return out
+
     def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The letters of all words with a mark before each word, the word of
         every position, and the norm of every word."""
         code = np.frombuffer(("\n" + "\n".join(words)).encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = np.minimum(code, 0xFFFF)
         code = code[_letter_table()[code]]
-        known = np.zeros(0x10000, np.int32)
-        known[[ord(c) for c in self.letters if ord(c) < 0xFFFF]] = [
-            n + 2 for n, c in enumerate(self.letters) if ord(c) < 0xFFFF]
-        known[10] = 1
         mark = code == 10
         word = np.cumsum(mark, dtype=np.int32) - np.int32(1)
         size = np.bincount(word, minlength=len(words)) - 1
-        return known[code], word, _norm_by_length()[np.minimum(size, 1024)]
+        return self._symbol[code], word, _norm(size)
 
-    @staticmethod
-    def _subsequences(sym, word, i, j):
+    def _subsequences(self, sym, word, i, j):
         """Key of the letters at distances 0, i and j, and whether one word holds all three."""
-        n = max(0, len(sym) - j)
-        return (sym[:n] * _SIZE + sym[i: i + n]) * _SIZE + sym[j: j + n], word[:n] == word[j: j + n]
+        n, base = max(0, len(sym) - j), len(self.letters) + 2
+        return (sym[:n] * base + sym[i: i + n]) * base + sym[j: j + n], word[:n] == word[j: j + n]
+
+    def _rows(self, key):
+        if self.index is not None:
+            return self.index[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, len(self.keys))
 
     def against(self, words: list[str]) -> np.ndarray:
         """The kernel of every word with every landmark."""
@@ -182,7 +196,7 @@ class Kernel:
             sums = np.zeros((len(part), len(self.landmarks)), np.float32)
             for i, j in GAPS:
                 key, same = self._subsequences(sym, word, i, j)
-                row = self.index[key]
+                row = self._rows(key)
                 hit = np.flatnonzero((row != none) & same)
                 if len(hit):
                     own = word[hit]
@@ -219,16 +233,28 @@ class Machine:
         place[owner[at][::-1]] = (at - first[owner[at]])[::-1]
         if self.curve is None:
             return np.full(len(texts), self.prior), place
-        return _logistic(document_features(value, first) @ self.curve), place
+        above = np.bincount(owner, value > HARMLESS, len(texts))
+        return _logistic(document_features(worst, above, np.diff(first)) @ self.curve), place
+
+
+def document_features(worst: np.ndarray, above: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of texts by their largest sentence decision, their number of sentences that are
+    not harmless and of all: what the curve sees, a constant last. The second is scaled
+    so that the ridge leaves it more of the say: one such sentence tells most."""
+    return np.stack((np.clip(worst, -2, 2), 2 * np.log1p(above), np.log(n), np.ones(len(n))), 1)
 
 
-def document_features(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of a text's sentence decisions: the largest, how much lies above the margin
-    in all, the number of sentences (logarithms of both), and a constant."""
-    begin = first[:-1]
-    worst = np.clip(np.maximum.reduceat(value, begin), -2, 2)
-    above = np.log1p(np.add.reduceat(np.clip(value + 0.5, 0, 3), begin))
-    return np.stack((worst, above, np.log(np.diff(first)), np.ones(len(begin))), 1)
+def monotone_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The logistic curve of the document features that neither falls with the worst
+    sentence and the number above ``HARMLESS`` nor rises with the length: a feature that would is left out."""
+    use, sign = np.ones(4, bool), np.array([1, 1, -1, 0])
+    while True:
+        w = np.zeros(4)
+        w[use] = fit_curve(x[:, use], y, weight)
+        wrong = use & (w * sign < 0)
+        if not wrong.any():
+            return w
+        use &= ~wrong
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -247,16 +273,31 @@ def _within(size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
-def choose_landmarks(words: list[str], count: int) -> list[str]:
-    """The first ``count`` words, leaving out near copies of those taken."""
-    if not words:
-        return []
-    close = _gram(words)
-    taken: list[int] = []
-    for i in range(len(words)):
-        if len(taken) < count and (not taken or close[i, taken].max() < 0.7 ** POWER):
-            taken.append(i)
-    return [words[i] for i in taken]
+def choose_landmarks(words: list[str], holders: list[list[int]], cover: int = COVER, at_once: int = 512) -> list[str]:
+    """Of words in order of preference, with the documents that hold each: those that a
+    document still lacking ``cover`` landmarks holds. A near copy of a landmark is none
+    of its own, but counts for its documents."""
+    lack: dict[int, int] = {}
+    for docs in holders:
+        for d in docs:
+            lack[d] = cover
+    taken: list[str] = []
+    for start in range(0, len(words), at_once):
+        part = [n for n in range(start, min(start + at_once, len(words))) if any(lack[d] > 0 for d in holders[n])]
+        if not part:
+            continue
+        close = _gram(taken + [words[n] for n in part])
+        own = list(range(len(taken)))
+        for i, n in enumerate(part, len(taken)):
+            if not any(lack[d] > 0 for d in holders[n]):
+                continue
+            if not own or close[i, own].max() < 0.7 ** POWER:
+                own.append(i)
+            for d in holders[n]:
+                lack[d] -= 1
+        names = taken + [words[n] for n in part]
+        taken = [names[i] for i in own]
+    return taken
 
 
 def _gram(words: list[str]) -> np.ndarray:
@@ -264,54 +305,109 @@ def _gram(words: list[str]) -> np.ndarray:
     return (k + k.T) / 2
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 25) -> np.ndarray:
-    """Squared-hinge linear SVM by Newton steps; the last column of ``x`` is a constant."""
-    share = weight / weight.sum()
-    w = np.zeros(x.shape[1])
-    ridge = RIDGE * np.eye(x.shape[1])
+def hinge_sums(f: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """What a Newton step of the squared hinge needs of sentences ``f`` (a constant last):
+    products and sums of those within the margin of ``w``, and the weight of all."""
+    inside = y * (f @ w) < 1
+    x, s = f[inside], weight[inside]
+    return (x * s[:, None]).T @ x, x.T @ (s * y[inside]), float(weight.sum())
+
+
+def newton(sums, root: np.ndarray, w: np.ndarray, steps: int = 25) -> np.ndarray:
+    """The squared-hinge SVM on features mapped by ``root`` (the constant is not mapped);
+    ``sums(w)`` gives the sums for weights of the unmapped features."""
+    turn = np.zeros((len(root) + 1, len(root) + 1))
+    turn[:-1, :-1], turn[-1, -1] = root, 1
+    ridge = RIDGE * np.eye(len(turn))
     ridge[-1, -1] = 1e-6
     for _ in range(steps):
-        inside = y * (x @ w) < 1
-        left, right = ridge.copy(), np.zeros(x.shape[1])
-        for i in range(0, len(y), 65536):  # a copy of some rows at a time
-            part = inside[i: i + 65536]
-            xi, s = x[i: i + 65536][part], share[i: i + 65536][part]
-            left += (xi * s[:, None]).T @ xi
-            right += xi.T @ (s * y[i: i + 65536][part])
-        new = np.linalg.solve(left, right)
-        if np.allclose(new, w, atol=1e-8):
+        left, right, total = sums(turn @ w)
+        new = np.linalg.solve(ridge + turn.T @ left @ turn / total, turn.T @ right / total)
+        if np.allclose(new, w, rtol=1e-6, atol=1e-6):
             break
         w = new
-    return w
+    return turn @ w
+
+
+def _sentences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Features (a constant last) and row of the batch for every stored sentence."""
+    size = batch.column(3).to_numpy()
+    flat = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+    f = np.ones((size.sum(), len(flat) // max(1, size.sum()) + 1))
+    f[:, :-1] = flat.reshape(len(f), -1)
+    return f, np.repeat(np.arange(len(size)), size)
 
 
-def fit(kernel: Kernel, feats: np.ndarray, doc: np.ndarray, label: np.ndarray, weight: np.ndarray) -> Machine:
-    """Train on sentence features (sums over words) with their document, its label
-    and its weight."""
-    weight = weight / weight.mean()
+def fit(kernel: Kernel, stored_features: DataFrame, prior: float) -> Machine:
+    """Train on stored sentence features (doc, y, weight, n, f)."""
     value, vector = np.linalg.eigh(_gram(kernel.landmarks))
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    x = np.ones((len(feats), len(root) + 1))
-    for i in range(0, len(x), 65536):
-        x[i: i + 65536, :-1] = feats[i: i + 65536] @ root
-    toxic = label[doc] == 1
-    picked = toxic.copy()
-    for _ in range(PICKS):
-        w = train_svm(x, np.where(toxic, 1.0, -1.0), np.where(picked | ~toxic, weight[doc], 0.0))
-        f = x @ w
-        best = np.full(len(label), -np.inf)
-        np.maximum.at(best, doc, f)
-        picked = toxic & ((f > 0) | (f == best[doc]))
-    first = np.searchsorted(doc, np.arange(len(label) + 1))
-    curve = fit_curve(document_features(x @ w, first), label.astype(float), weight)
-    return Machine(kernel, root @ w[:-1], float(w[-1]), curve, float(np.average(label, weights=weight)))
+    size = len(root) + 1
+
+    def best_of(pick: np.ndarray) -> dict[int, float]:
+        """The largest decision of each toxic training document."""
+
+        def run(batches):
+            for batch in batches:
+                f, row = _sentences(batch)
+                best = np.full(batch.num_rows, -np.inf)
+                np.maximum.at(best, row, f @ pick)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], names=["doc", "best"])
+
+        got = mapped(stored_features.where("y = 1"), run, "doc long, best double").groupBy("doc").agg(F.max("best").alias("best"))
+        return {r["doc"]: r["best"] for r in got.collect()}
+
+    def summed(pick: np.ndarray | None, best: dict[int, float]):
+        def sums(w: np.ndarray):
+            def run(batches):
+                left, right, total = np.zeros((size, size)), np.zeros(size), 0.0
+                for batch in batches:
+                    f, row = _sentences(batch)
+                    toxic = batch.column(1).to_numpy()[row] == 1
+                    weight = batch.column(2).to_numpy()[row]
+                    if pick is not None:
+                        own = f @ pick
+                        top = np.array([best.get(d, np.inf) for d in batch.column(0).to_pylist()])[row]
+                        weight = np.where(toxic & (own <= 0) & (own < top), 0.0, weight)
+                    a, b, c = hinge_sums(f, np.where(toxic, 1.0, -1.0), weight, w)
+                    left, right, total = left + a, right + b, total + c
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((left.ravel(), right, [total]))])], names=["s"])
+
+            got = mapped(stored_features, run, "s array<double>").toArrow()["s"].combine_chunks()
+            total = got.flatten().to_numpy().reshape(len(got), -1).sum(axis=0)
+            return total[: size * size].reshape(size, size), total[size * size: -1], total[-1]
+
+        return sums
+
+    w = np.zeros(size)
+    for turn in range(PICKS):
+        pick, best = (w, best_of(w)) if turn else (None, {})
+        w = newton(summed(pick, best), root, np.zeros(size))
+
+    def decisions(batches):
+        for batch in batches:
+            f, row = _sentences(batch)
+            own = f @ w
+            worst = np.full(batch.num_rows, -np.inf)
+            np.maximum.at(worst, row, own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(worst), pa.array(
+                np.bincount(row, own > HARMLESS, batch.num_rows))], names=["doc", "y", "weight", "n", "worst", "above"])
+
+    docs = (mapped(stored_features, decisions, "doc long, y int, weight double, n long, worst double, above double")
+            .groupBy("doc", "y", "weight").agg(F.max("worst").alias("worst"), F.sum("above").alias("above"), F.sum("n").alias("n"))
+            .orderBy("doc").toArrow())  # a row for each training document
+    x = document_features(*(docs[c].to_numpy() for c in ("worst", "above", "n")))
+    weight = docs["weight"].to_numpy()
+    curve = monotone_curve(x, docs["y"].to_numpy().astype(float), weight / weight.mean())
+    return Machine(kernel, w[:-1], float(w[-1]), curve, prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
-          text_col: str = "text", train_docs: int = TRAIN_DOCS, landmarks: int = LANDMARKS) -> Machine:
+          text_col: str = "text", train_docs: int = TRAIN_DOCS, cover: int = COVER) -> Machine:
     ids = training_ids(labels, id_col, label_col, train_docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
-    sample = rows.join(F.broadcast(ids), "id").select("y", "weight", "t")  # at most 2 * train_docs ids
+    sample = stored(rows.join(F.broadcast(ids), "id")  # at most 2 * train_docs ids
+                    .select("y", "weight", "t", F.monotonically_increasing_id().alias("doc")), "sample")
     total = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     # with the weights: of all labelled rows
     share = ids.agg((F.sum(F.col("y") * F.col("weight")) / F.sum("weight")).alias("p")).first().p
@@ -326,21 +422,26 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             pair = np.unique(text * len(w.distinct) + w.code) if len(w.code) else np.empty(0, np.int64)
             text, code = (pair // len(w.distinct), pair % len(w.distinct)) if len(pair) else (pair, pair)
             clean = [x.strip(".,;:!?'\"()") for x in w.distinct]
-            starts = [list(dict.fromkeys([x[:n] for n in range(3, min(len(x), 9))] + [x[:24]])) for x in clean]
+            starts = [list(dict.fromkeys([x[:n] for n in range(3, min(len(x), 9))] + [x])) for x in clean]
             size = np.fromiter(map(len, starts), np.int64, len(starts))
             begin = np.cumsum(size) - size
             at = np.repeat(begin[code], size[code]) + _within(size[code])
             words = np.array([x for y in starts for x in y], object)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words[at], pa.string()), batch.column(0).take(pa.array(np.repeat(text, size[code]))),
-                 pa.array(np.repeat(text, size[code]))], names=["w", "y", "text"])
+            own = pa.array(np.repeat(text, size[code]))
+            yield pa.RecordBatch.from_arrays([pa.array(words[at], pa.string()), batch.column(0).take(own), batch.column(3).take(own)],
+                                             names=["w", "y", "doc"])
 
     # a beginning counts once for each text: several of its words can share it
-    counts = (mapped(sample, words_of, "w string, y int, text long").where("length(w) > 2")
-              .groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")))
+    held = mapped(sample, words_of, "w string, y int, doc long").where("length(w) > 2").distinct()
+    counts = held.groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     p, q = (F.col("p") + 0.5) / (total[1] + 1), (F.col("q") + 0.5) / (total[0] + 1)
-    typical = counts.withColumn("g", (p - q) * F.log(p / q)).where(p > 2 * q).orderBy(F.desc("g"), F.desc(F.length("w")), "w").limit(CANDIDATES)
-    kernel_words = choose_landmarks([r["w"] for r in typical.select("w").collect()], landmarks)
+    typical = stored(counts.withColumn("g", (p - q) * F.log(p / q)).where(p > 2 * q).select("w", "g"), "typical")
+    order = (F.desc("g"), F.desc(F.length("w")), "w")
+    first = W.partitionBy("doc").orderBy(*order)
+    best = (held.where("y = 1").join(typical, "w").withColumn("r", F.row_number().over(first)).where(F.col("r") <= TYPICAL)
+            .groupBy("w").agg(F.max("g").alias("g"), F.collect_list("doc").alias("docs")).orderBy(*order))
+    found = best.collect()  # TYPICAL words of each toxic training document
+    kernel_words = choose_landmarks([r["w"] for r in found], [r["docs"] for r in found], cover)
     if not kernel_words:
         return Machine(None, np.zeros(0), prior=share)
     kernel = Kernel.build(kernel_words)
@@ -350,21 +451,22 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         for batch in slices(batches, "t"):
             w = Words.of(batch.column(2))
             k = shared.value.against(w.distinct)
-            f = np.zeros((w.first[-1], k.shape[1]))
-            if len(w.code):
-                begin = np.flatnonzero(np.concatenate(([True], w.sentence[1:] != w.sentence[:-1])))
-                f[w.sentence[begin]] = np.add.reduceat(k[w.code], begin, axis=0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1),
-                                              list_array(f.ravel(), np.diff(w.first) * k.shape[1], pa.float32())],
-                                             names=["y", "weight", "f"])
-
-    got = mapped(sample, features, "y int, weight double, f array<float>").toArrow()
-    label = got["y"].to_numpy()
-    feats = [x.values.to_numpy().reshape(-1, len(kernel_words)) for x in got["f"]]
-    doc = np.repeat(np.arange(len(label)), [len(f) for f in feats])
-    weight, feats = got["weight"].to_numpy(), np.concatenate(feats)
-    del got
-    return fit(kernel, feats, doc, label, weight)
+            begin = np.flatnonzero(np.diff(w.sentence, prepend=-1))
+            for i in range(batch.num_rows):
+                for a in range(w.first[i], w.first[i + 1], CHUNK):
+                    b = min(a + CHUNK, w.first[i + 1])
+                    f = np.zeros((b - a, k.shape[1]), np.float32)
+                    here = begin[np.searchsorted(w.sentence[begin], a): np.searchsorted(w.sentence[begin], b)]
+                    if len(here):
+                        stop = np.searchsorted(w.sentence, b)
+                        f[w.sentence[here] - a] = np.add.reduceat(k[w.code[here[0]: stop]], here - here[0], axis=0)
+                    one = batch.slice(i, 1)
+                    yield pa.RecordBatch.from_arrays([one.column(3), one.column(0), one.column(1), pa.array([b - a]),
+                                                      list_array(f.ravel(), np.array([f.size]), pa.float32())],
+                                                     names=["doc", "y", "weight", "n", "f"])
+
+    kept = stored(mapped(sample, features, "doc long, y int, weight double, n long, f array<float>"), "features")
+    return fit(kernel, kept, share)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
