@@ -374,6 +374,20 @@ def q_svd_orders_energy(spark, sf):
     return factor.singular_values(spark, m).select("k", r6("energy").alias("energy"))
 
 
+def q_svd_orders_residual(spark, sf):
+    """M8 on the wide matrix, held against its definition: RᵀR v = s² v by joins."""
+    R = matrix.materialize(inp.r_orders(spark, sf))
+    res = factor.svd_residuals(R, factor.svd_fit(R, k=16))
+    return res.select("k", r6("residual").alias("residual"))
+
+
+def q_svd_orders_top(spark, sf):
+    """M8 on the wide matrix: the first singular value and its share of the energy."""
+    m = factor.svd_fit(inp.r_orders(spark, sf), k=4)
+    return factor.singular_values(spark, m, 1).select("k", F.round("singular_value", 4).alias("singular_value"),
+                                                      r6("energy").alias("energy"))
+
+
 def q_svd_topk_titles(spark, sf):
     R = inp.r_events(spark, sf)
     m = factor.svd_fit(R)
@@ -595,6 +609,8 @@ def queries() -> dict[str, Query]:
         "svd_reconstruction": q_svd_reconstruction,
         "svd_moments": q_svd_moments,
         "svd_orders_energy": q_svd_orders_energy,
+        "svd_orders_residual": q_svd_orders_residual,
+        "svd_orders_top": q_svd_orders_top,
         "als_rows": q_als_rows,
         "als_counts": q_als_counts,
         "mse_rmse_known": q_mse_rmse_known,

@@ -209,6 +209,19 @@ SELECT user_id,
 FROM r GROUP BY user_id"""
 
 
+def _power_iteration(steps: int = 18) -> str:
+    """The first singular value of R_ORDERS: power iteration on RᵀR, step by step
+    scaled to length 1. All cells are positive, so the first value stands apart."""
+    steps_sql = "".join(f""",
+y{j} AS MATERIALIZED (SELECT r.user_id, sum(r.counts * v{j}.x) AS y FROM r JOIN v{j} USING (item_id) GROUP BY 1),
+z{j} AS MATERIALIZED (SELECT r.item_id, sum(r.counts * y{j}.y) AS z FROM r JOIN y{j} USING (user_id) GROUP BY 1),
+v{j + 1} AS MATERIALIZED (SELECT item_id, z / (SELECT sqrt(sum(z * z)) FROM z{j}) AS x FROM z{j})""" for j in range(steps))
+    return f"""WITH {R_ORDERS.replace("r AS (", "r AS MATERIALIZED (", 1)},
+v0 AS (SELECT item_id, 1.0 / sqrt(count(*) OVER ()) AS x FROM (SELECT DISTINCT item_id FROM r)){steps_sql}
+SELECT CAST(1 AS INTEGER) AS k, round(sqrt((SELECT sqrt(sum(z * z)) FROM z{steps - 1})), 4) AS singular_value,
+       round((SELECT sqrt(sum(z * z)) FROM z{steps - 1}) / (SELECT sum(counts * counts) FROM r), 6) AS energy"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = f"WITH {R_EVENTS}"
     ws = f"WITH {R_EVENTS},\n{_split()}"
@@ -329,6 +342,8 @@ SELECT user_id, n, round(rho, 6) AS rho FROM sp""",
 SELECT count(rho) AS n_defined, round(avg(rho), 6) AS mean_rho, count(*) AS n_users FROM sp""",
         "frobenius_energy": f"{w}\nSELECT sum(counts * counts) AS sum_sq, count(*) AS n_cells FROM r",
         "svd_reconstruction": f"{w}\nSELECT user_id, item_id, counts FROM r",
+        "svd_orders_top": _power_iteration(),
+        "svd_orders_residual": "SELECT CAST(k AS INTEGER) AS k, CAST(0 AS DOUBLE) AS residual FROM range(1, 17) t(k)",
         "svd_moments": f"""{w},
 k AS (SELECT sum(x.counts * y.counts) AS c FROM r x JOIN r y ON x.user_id = y.user_id GROUP BY x.item_id, y.item_id)
 SELECT round((SELECT sum(counts * counts) FROM r), 2) AS s2, round((SELECT sum(c * c) FROM k), 1) AS s4""",
