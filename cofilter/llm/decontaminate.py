@@ -153,3 +153,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         found = found.union(p)
     return (found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "end_char")).alias("x"))
             .select("doc_id", "item_id", "x.*"))
+
+
+def without_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                    item_text_col: str = "text", rate: float = RATE, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no item within its edits, whatever their
+    ids: null and repeated ids are kept or dropped by their texts, null and empty texts
+    stay. Each row is searched where it is; nothing is joined back."""
+    sc = docs.sparkSession.sparkContext
+    at = docs.columns.index(text_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for items in _chunks(benchmark, item_col, item_text_col, chunk_chars):
+        shared = sc.broadcast([t for t, _ in items])
+
+        def run(batches, shared=shared):
+            matcher = Matcher(shared.value, rate)
+            for batch in slices(batches, text_col):
+                clean = [not t or not matcher.find(normalise(t)) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = mapped(docs, run, schema)
+    return docs

@@ -133,18 +133,20 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     with a ``mark`` also ``redacted``, the text with the spans replaced (null stays null)."""
     new = ["spans"] + (["redacted"] if mark is not None else [])
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    rows = docs.select(F.col(f"`{text_col}`").alias("_t"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)])
+    sent = kept if text_col in kept else [*kept, text_col]  # the text goes out once
+    at = sent.index(text_col)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(sent)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         rules = [re.compile(a) for a in allow]
-        for batch in slices(batches, "_t"):
-            texts = batch.column(0).to_pylist()
+        for batch in slices(batches, f"_c{at}"):
+            texts = batch.column(at).to_pylist()
             found = [find_spans(t, rules) if t else [] for t in texts]
             out = [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found], kind)]
             if mark is not None:
                 out.append(pa.array([redact(t, s, mark) if s else t for t, s in zip(texts, found, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *out], names=[f"_c{i}" for i in range(len(kept))] + new)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *out], names=[f"_c{i}" for i in range(len(kept))] + new)
 
     schema = ", ".join([f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)]
                        + ["spans array<struct<kind: string, start: bigint, end: bigint>>"]
