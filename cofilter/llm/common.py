@@ -102,19 +102,35 @@ def slices(batches, column: str, limit: int = 4 << 20):
         yield batch.slice(start)
 
 
+HUB_ROWS = 512       # edges of a node before its join is split
+MOST_HUBS = 50_000   # nodes split at once: their table is broadcast
+
+
+def _with_lowest(edges: DataFrame, limit: int) -> DataFrame:
+    """Directed edges (u, v) with m, the smallest v of each u. The edges of a node with
+    over ``limit`` of them are dealt over several tasks, and its m is copied to each."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    shares = F.ceil(F.col("n") / limit).cast("int")
+    hubs = F.broadcast(low.where(F.col("n") > limit).select("u", shares.alias("g")))  # MOST_HUBS rows at most
+    dealt = edges.join(hubs, "u", "left").withColumn(
+        "s", F.when(F.col("g").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), "g")).cast("int"))
+    copied = low.select("u", "m", F.explode(F.sequence(F.lit(0), shares - 1)).alias("s"))
+    return dealt.join(copied, ["u", "s"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list by alternating large-star
     and small-star steps; returns (node, root), root the smallest node reachable.
 
     Each step is a shuffle of the edges; after a few steps every component is a
-    star around its smallest node. Nothing is collected but whether that's so."""
+    star around its smallest node, whose edges are dealt over several tasks.
+    Nothing is collected but counts and whether that's so."""
     e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"), "cc")
     for _ in range(rounds):
+        limit = max(HUB_ROWS, -(-2 * e.count() // MOST_HUBS))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
+        large = _with_lowest(both, limit).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = _with_lowest(large, limit).select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = stored(small.select("x.u", "x.v").where("u <> v").distinct(), "cc")
         # stars: no node hangs on two others, and none on a node that hangs itself

@@ -108,6 +108,18 @@ def test_groups_and_chains(spark, monkeypatch, short, cell):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("hub", [2, 512])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    """Stars, chains and rings, with the edges of large nodes dealt over several tasks."""
+    from cofilter.llm import common
+    monkeypatch.setattr(common, "HUB_ROWS", hub)
+    edges = [(5, i) for i in range(100, 160)] + [(i, i + 1) for i in range(200, 230)] + [(300 + i, 300 + (i + 1) % 9) for i in range(9)]
+    edges += [(160, 159), (7, 7), (400, 3), (3, 400)]
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 5 for i in range(100, 161)} | {i: 200 for i in range(201, 231)} | {i: 300 for i in range(301, 309)} | {400: 3}
+    assert got == want
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_documents(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()]
