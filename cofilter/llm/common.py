@@ -24,9 +24,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
+    """``mapInArrow`` with this package at hand on the executors, and rows sent there in
+    batches of ``BATCH_BYTES`` (a session that sets a size of its own keeps it)."""
     ship_package(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH, "1b") == "1b":  # unset
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
