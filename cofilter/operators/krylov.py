@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cofilter.operators.ordering import with_row_number
-from cofilter.session import scratch_path, ship_package
+from cofilter.session import ship_package, written
 
 COLUMNS = 32              # of a block of the Krylov space
 BASIS = 640               # columns of the basis, more where many values are asked for
@@ -33,10 +33,8 @@ SLOTS = 8                 # partial sums are added up in so many parts
 ROUNDING = 1e-13          # residuals below this share of the first squared value are rounding errors
 
 
-def kept(df: DataFrame, name: str = "svd") -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def kept(df: DataFrame) -> DataFrame:
+    return written(df, "svd")
 
 
 def array(blob, width: int) -> np.ndarray:

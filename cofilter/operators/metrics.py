@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cofilter.functions.scalar import TIE_DIGITS, squared_error
 from cofilter.operators.ordering import with_row_number
-from cofilter.operators.products import salted_join
+from cofilter.operators.products import TASK_ROWS, HotKeys, salted_join
 from cofilter.session import checkpoint_dir
 
 
@@ -34,11 +34,13 @@ def rmse(df: DataFrame, actual: str = "counts", pred: str = "pred", by=None) ->
     return g.withColumn("rmse", F.sqrt("mse"))
 
 
-def rank_table(df: DataFrame, group, col: str, out: str, tiebreak: str | None = None) -> DataFrame:
+def rank_table(df: DataFrame, group, col: str, out: str, tiebreak: str | None = None, ties: bool = False) -> DataFrame:
     """(group..., col, out): 1-based average-tie rank of each distinct value
     of ``col`` within ``group`` (scipy's 'average' method), i.e. rank() over
     (partition by group order by col) + (ties - 1) / 2.
 
+    ``ties`` adds _ties, the number of rows of the value.
+
     ``tiebreak``: any other column; it only spreads a heavily tied value over
     several range partitions (positions inside a tie do not matter)."""
     group = _list(group)
@@ -50,7 +52,7 @@ def rank_table(df: DataFrame, group, col: str, out: str, tiebreak: str | None =
     return (per_value.join(per_group, group)
             .select(*group, col,
                     (F.col("_first") - F.col("_gfirst") + F.lit(1)
-                     + (F.col("_ties") - F.lit(1)) / F.lit(2.0)).alias(out)))
+                     + (F.col("_ties") - F.lit(1)) / F.lit(2.0)).alias(out), *(["_ties"] if ties else [])))
 
 
 def average_rank(df: DataFrame, group, col: str, out: str, **skew) -> DataFrame:
@@ -80,7 +82,11 @@ def spearman_per_user(df: DataFrame, user: str = "user_id", actual: str = "count
         base = base.checkpoint(eager=True)
     sides = (base.select(*group, item, F.lit(0).alias("_side"), F.col("_x").alias("_v"))
              .unionByName(base.select(*group, item, F.lit(1).alias("_side"), F.col("_y").alias("_v"))))
-    ranks = rank_table(sides, [*group, "_side"], "_v", "_r", tiebreak=item)
+    checkpoint_dir(df.sparkSession)
+    ranks = rank_table(sides, [*group, "_side"], "_v", "_r", tiebreak=item, ties=True).checkpoint(eager=True)
+    # a value's ties are its rows in the joins below: one small read instead of a probe for each
+    if "hot" not in skew and (ranks.agg(F.max("_ties")).first()[0] or 0) <= skew.get("task_rows", TASK_ROWS):
+        skew = skew | {"hot": HotKeys(None, 0, 0)}
     rx = ranks.filter(F.col("_side") == 0).select(*group, F.col("_v").alias("_x"), F.col("_r").alias("rx"))
     ry = ranks.filter(F.col("_side") == 1).select(*group, F.col("_v").alias("_y"), F.col("_r").alias("ry"))
     both = salted_join(base, rx, [*group, "_x"], item, **skew)

@@ -17,6 +17,10 @@ Association (which pairs to build) is chosen by cost: item pairs cost
 Σ_u deg(u)², user pairs Σ_i deg(i)². The user-pair route is the same code on
 Rᵀ, because Γ_I(R) = Γ_U(Rᵀ)ᵀ and Γ_U(R) = Γ_I(Rᵀ)ᵀ.
 
+While R is small by count, scores come from compressed rows and columns in tasks
+(``compressed``) and no pair becomes a row; ``association`` items or users, or a skew
+argument, asks for the joins.
+
 With ``pairs`` only the wanted (user, item) cells are scored: pairs join R
 on the user before the scoring join, and the co-occurrence is restricted to
 the pairs' items (the aggregate would otherwise block that pushdown)."""
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cofilter.functions.scalar import inv_sqrt
+from cofilter.operators import compressed
 from cofilter.operators.matrix import materialize, transpose
 from cofilter.operators.products import (HotKeys, cooccurrence, degree_stats, pair_partitions,
                                          salted_join, square_degree_cost)
@@ -112,6 +117,9 @@ def neighbourhood_scores(R: DataFrame, pairs: DataFrame | None = None,
         R = materialize(R)
     if association not in ("auto", "items", "users"):
         raise ValueError(f"association must be auto, items or users, not {association!r}")
+    if association == "auto" and not skew and compressed.fits(R):
+        g = compressed.scores_walk(R)
+        return g if pairs is None else g.join(pairs.select(U, I).distinct(), [U, I], "left_semi")
     # one pass per side gives both the association costs and the hot keys
     su, si = _stats(R, U, skew), _stats(R, I, skew)
     if association == "auto":
@@ -167,6 +175,14 @@ def score_pairs(R: DataFrame, rows: DataFrame, model: str = "item",
                 materialized: bool = False, **skew) -> DataFrame:
     """Evaluation rows with ``pred`` = model score, 0 where no path exists
     (the matrix rule: such rows stay and count in the error) (J2)."""
+    if association == "auto" and not skew:
+        if not materialized:
+            R, materialized = materialize(R), True
+        if compressed.fits(R):
+            if model not in ("user", "item", "blend"):
+                raise ValueError(f"model must be user, item or blend, not {model!r}")
+            weights = {"blend": {"user": blend_weight, "item": 1.0 - blend_weight}}.get(model, {model: 1.0})
+            return compressed.score_rows_walk(R, rows, weights)
     pairs = rows.select(U, I).distinct()
     s = scores(R, model, pairs, association, blend_weight, materialized, **skew)
     return (rows.join(s, [U, I], "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cofilter.functions.scalar import OUT_DIGITS, log_scale_col
 from cofilter.operators import factor, indexing, matrix, metrics, neighbourhood, ordering
-from cofilter.operators import profile, ranking, sets
+from cofilter.operators import profile, pruned, ranking, sets
 from cofilter.plans import evaluation
 from cofilter.plans import inputs as inp
 from cofilter.session import scratch_path
@@ -296,11 +296,22 @@ def q_last_write_matrix(spark, sf):
 
 
 def q_topk_per_user(spark, sf):
-    s = neighbourhood.scores(inp.r_events(spark, sf), "item")
-    top = ranking.top_k(s, inp.TOP_K)
+    top = pruned.top_k_scores(inp.r_events(spark, sf), inp.TOP_K)
     return top.select(U, "rank", I, r6("score").alias("score"))
 
 
+def q_topk_per_user_orders(spark, sf):
+    """T3 on the wide matrix, without its users x items scores."""
+    top = pruned.top_k_scores(inp.r_orders(spark, sf), inp.TOP_K)
+    return top.select(U, "rank", I, r6("score").alias("score"))
+
+
+def q_similar_items(spark, sf):
+    """M3 on the wide matrix, pairs at or above a similarity."""
+    s = pruned.similar_pairs(inp.r_orders(spark, sf), inp.SIMILAR)
+    return s.select("item_i", "item_j", r6("sim").alias("sim"))
+
+
 def q_union_train(spark, sf):
     return inp.event_pieces(spark, sf).select("src_ord", U, I, V)
 
@@ -577,6 +588,8 @@ def queries() -> dict[str, Query]:
         "average_rank": q_average_rank,
         "last_write_matrix": q_last_write_matrix,
         "topk_per_user": q_topk_per_user,
+        "topk_per_user_orders": q_topk_per_user_orders,
+        "similar_items": q_similar_items,
         "union_train": q_union_train,
         "universe": q_universe,
         "same_users_check": q_same_users_check,

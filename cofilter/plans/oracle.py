@@ -382,6 +382,15 @@ t AS (SELECT user_id, item_id, score_item AS score,
              row_number() OVER (PARTITION BY user_id ORDER BY round(score_item, 9) DESC, item_id) AS rank
       FROM g)
 SELECT user_id, rank, item_id, round(score, 6) AS score FROM t WHERE rank <= {inp.TOP_K}""",
+        "topk_per_user_orders": f"""WITH {R_ORDERS},
+{_scores_full('r')},
+t AS (SELECT user_id, item_id, score_item AS score,
+             row_number() OVER (PARTITION BY user_id ORDER BY round(score_item, 9) DESC, item_id) AS rank
+      FROM g)
+SELECT user_id, rank, item_id, round(score, 6) AS score FROM t WHERE rank <= {inp.TOP_K}""",
+        "similar_items": f"""WITH {R_ORDERS},
+{_kernels('r')}
+SELECT a AS item_i, b AS item_j, round(m_item, 6) AS sim FROM m WHERE a <> b AND m_item >= {inp.SIMILAR}""",
         "union_train": f"""WITH {EVENT_ROWS}
 SELECT CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS src_ord,
        user_id, item_id, CAST(count(*) AS DOUBLE) AS counts

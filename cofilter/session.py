@@ -67,6 +67,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex}")
 
 
+def written(df, name: str):
+    """``df`` written to a fresh scratch folder and read back: cuts the lineage and
+    survives the loss of executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Hand this package to the executors once per application, as ``--py-files``
     would, for the functions that run in Python there."""

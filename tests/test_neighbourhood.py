@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from cofilter.operators import matrix, metrics, neighbourhood
+from cofilter.operators import compressed, matrix, metrics, neighbourhood
 
 TRIPLES = [("A", "x", 1.0), ("A", "y", 3.0), ("B", "y", 2.0), ("C", "x", 1.0), ("C", "z", 4.0)]
 EVAL = [("A", "z", 2.0), ("B", "x", 1.0), ("C", "y", 3.0), ("D", "x", 5.0)]
@@ -25,6 +25,13 @@ PREDS = {"user": [0.894427, 2.121320, 0.670820, 0.0], "item": [1.414214, 1.89736
          "blend": [1.154320, 2.009343, 0.809752, 0.0]}
 
 
+@pytest.fixture(params=["tasks", "joins"], autouse=True)
+def where(request, monkeypatch):
+    """Every test with compressed rows in tasks and with the joins of a larger R."""
+    if request.param == "joins":
+        monkeypatch.setattr(compressed, "LOCAL_CELLS", 0)
+
+
 @pytest.fixture(scope="module")
 def R(spark):
     return spark.createDataFrame(TRIPLES, SCHEMA)

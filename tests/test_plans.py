@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from cofilter.operators import neighbourhood, ordering, ranking
+from cofilter.operators import compressed, neighbourhood, ordering, ranking
 from cofilter.plans import inputs as inp
 from cofilter.sources.tables import event_rows
 
@@ -26,6 +26,12 @@ def test_scan_reads_only_needed_columns(spark):
     assert "ReadSchema: struct<user_id:bigint,props:string>" in txt
 
 
+@pytest.fixture(autouse=True)
+def joins(monkeypatch):
+    """The plans of an R too large for compressed rows in tasks."""
+    monkeypatch.setattr(compressed, "LOCAL_CELLS", 0)
+
+
 def test_top_k_limits_before_shuffle(spark):
     s = neighbourhood.scores(inp.r_events(spark, SF), "item")
     txt = _explain(ranking.top_k(s, 10))
