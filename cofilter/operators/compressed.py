@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ class Compressed:
 
         def coded(name: str) -> tuple[pa.Array, np.ndarray]:
             keys = pa.array(sorted(cells[name].unique().to_pylist()), cells[name].type)
-            return keys, pa.compute.index_in(cells[name].combine_chunks(), keys).to_numpy(zero_copy_only=False)
+            return keys, pc.index_in(cells[name].combine_chunks(), keys).to_numpy(zero_copy_only=False)
 
         (users, u), (items, i) = coded(U), coded(I)
         value = cells[V].to_numpy()
@@ -203,7 +204,7 @@ def score_rows_walk(R: DataFrame, rows: DataFrame, weights: dict[str, float]) ->
         walkers = [(Walker(c, m), x) for m, x in weights.items()]
         last, known = None, None
         for batch in batches:
-            u, i = (pa.compute.index_in(batch.column(at), keys).fill_null(-1).to_numpy(zero_copy_only=False)
+            u, i = (pc.index_in(batch.column(at), keys).fill_null(-1).to_numpy(zero_copy_only=False)
                     for at, keys in ((user_at, c.users), (item_at, c.items)))
             pred = np.zeros(len(u))
             edge = np.flatnonzero(np.diff(u, prepend=-2, append=-2))
