@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cofilter.operators.ordering import with_row_number
-from cofilter.operators.products import salted_join
+from cofilter.operators.products import TASK_ROWS, HotKeys, hot_keys, salted_join
 
 
 def index_dense(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -43,10 +43,11 @@ def encode(df: DataFrame, maps: dict[str, DataFrame], drop_keys: bool = True) ->
     from its map drops the row (inner join), as the ALS path needs. Hot keys
     are split inside the join."""
     out = df
+    # one count says whether any key can be hot; only then each key is probed, on df itself
+    small = df.count() <= TASK_ROWS
     for key, m in maps.items():
-        idx = [c for c in m.columns if c != key][0]
         other = next((c for c in out.columns if c != key), key)
-        out = salted_join(out, m, key, other)
+        out = salted_join(out, m, key, other, hot=HotKeys(None, 0, 0) if small else hot_keys(df, key))
         if drop_keys:
             out = out.drop(key)
     return out

@@ -11,6 +11,8 @@ ANSI mode on a constant group."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,3 +117,43 @@ def spearman_summary(per_user: DataFrame, by=None) -> DataFrame:
     aggs = [F.count("rho").alias("n_defined"), F.avg("rho").alias("mean_rho"),
             F.count(F.lit(1)).alias("n_users")]
     return per_user.groupBy(*_list(by)).agg(*aggs) if by else per_user.agg(*aggs)
+
+
+def ranking_quality(df: DataFrame, user: str = "user_id", actual: str = "counts", pred: str = "pred", item: str = "item_id",
+                    relevant: float = 1.0, k: int = 10, by=None) -> DataFrame:
+    """(by..., user, n, n_relevant, ap, ndcg): average precision of the ranking by
+    ``pred``, with rows of at least ``relevant`` as the relevant ones, and NDCG at k with
+    ``actual`` as the gain. Ties count as one step (precision after all of them; their
+    places share their mean gain). ap is null without a relevant row, ndcg without a gain.
+
+    Positions come from one global order of (group, value) rows, as in Spearman: a user
+    with a large share of the rows is spread over many tasks."""
+    group = [*_list(by), user]
+    checkpoint_dir(df.sparkSession)
+    base = df.select(*group, item, F.col(actual).cast("double").alias("_g"), F.round(F.col(pred), TIE_DIGITS).alias("_p")).checkpoint(eager=True)
+
+    def side(rows: DataFrame, no: int, column: str) -> DataFrame:
+        return rows.select(*group, item, F.lit(no).alias("_side"), (-F.col(column)).alias("_v"))
+
+    rows = side(base, 0, "_p").unionByName(side(base.where(F.col("_g") >= relevant), 1, "_p")).unionByName(side(base, 2, "_g"))
+    ranks = rank_table(rows, [*group, "_side"], "_v", "_r", tiebreak=item, ties=True)
+    half = (F.col("_ties") - 1) / 2.0
+    ranks = ranks.select(*group, "_side", "_v", "_ties", (F.col("_r") - half).alias("_a"), (F.col("_r") + half).alias("_z"))
+    discount = [0.0]
+    for place in range(1, k + 1):
+        discount.append(discount[-1] + 1 / math.log2(place + 1))
+    table = F.array(*[F.lit(x) for x in discount])
+
+    def share(a: str, z: str):  # discounts of the places from a to z, up to k
+        return F.when(F.col(a) > k, 0.0).otherwise(F.get(table, F.least(F.col(z), F.lit(k)).cast("int")) - F.get(table, (F.col(a) - 1).cast("int")))
+
+    gains = base.groupBy(*group, (-F.col("_p")).alias("_v")).agg(F.sum("_g").alias("_sum"))
+    whole = ranks.where("_side = 0").join(gains, [*group, "_v"])
+    good = ranks.where("_side = 1").select(*group, "_v", F.col("_ties").alias("_rel"), F.col("_z").alias("_relz"))
+    steps = whole.join(good, [*group, "_v"], "left").withColumn("_d", share("_a", "_z") * F.col("_sum") / F.col("_ties"))
+    out = steps.groupBy(*group).agg(F.sum("_ties").alias("n"), F.coalesce(F.sum("_rel"), F.lit(0)).alias("n_relevant"),
+                                    F.sum(F.col("_rel") * F.col("_relz") / F.col("_z")).alias("_ap"), F.sum("_d").alias("_dcg"))
+    ideal = (ranks.where("_side = 2").withColumn("_i", -F.col("_v") * share("_a", "_z")).groupBy(*group).agg(F.sum("_i").alias("_idcg")))
+    return out.join(ideal, group).select(
+        *group, "n", "n_relevant", (F.col("_ap") / F.when(F.col("n_relevant") > 0, F.col("n_relevant"))).alias("ap"),
+        (F.col("_dcg") / F.when(F.col("_idcg") > 0, F.col("_idcg"))).alias("ndcg"))

@@ -429,6 +429,48 @@ def q_als_counts(spark, sf):
     return evaluation.als_evaluate(train, test)[1].select("part", "n")
 
 
+def q_als_residual(spark, sf):
+    """M11 against its normal equations: the users' side, the last half-step of the fit."""
+    train, test = inp.events_split(spark, sf)
+    res, _ = evaluation.als_evaluate(train, test)
+    gap = factor.als_residual(res.model, res.ratings)
+    return gap.agg(F.count(F.lit(1)).alias("n_users"), F.sum("n").alias("n_ratings"), F.round(F.max("residual"), 4).alias("residual"))
+
+
+def q_als_saved(spark, sf):
+    """M12 from a saved model: the rows predicted by the fit, and those that the model
+    read back predicts otherwise."""
+    train, test = inp.events_split(spark, sf)
+    res, _ = evaluation.als_evaluate(train, test)
+    path = scratch_path(spark, "als-model")
+    factor.save_als(res.model, path)
+    again = factor.als_predict(factor.load_als(spark, path), test).select(U, I, F.col("prediction").alias("again"))
+    both = res.test_pred.join(again, [U, I], "left")
+    same = F.abs(F.col("prediction") - F.col("again")) <= 1e-4 * (1 + F.abs("again"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((~F.coalesce(same, F.lit(False))).cast("long")), F.lit(0)).alias("differ"))
+
+
+def q_als_topk_users(spark, sf):
+    """M12 for all users: the best items by products of factors."""
+    train, test = inp.events_split(spark, sf)
+    res, _ = evaluation.als_evaluate(train, test)
+    top = factor.top_k_products(res.model.users, res.model.items, inp.TOP_K)
+    return top.select(U, "rank", I, r6("score").alias("score"))
+
+
+def q_svd_topk_users(spark, sf):
+    """M9 for all users at full rank: the reconstruction is R, its best items R's."""
+    R = inp.r_events(spark, sf)
+    top = factor.svd_top_k(R, factor.svd_fit(R), factor.DEFAULT_RANK, inp.TOP_K)
+    return top.select(U, "rank", I, F.round("score", 5).alias("score"))
+
+
+def q_map_per_user(spark, sf):
+    """Average precision and NDCG of the item model's test scores."""
+    m = metrics.ranking_quality(_scored_test(spark, sf, "item"), relevant=inp.RELEVANT, k=inp.TOP_K)
+    return m.select(U, "n", "n_relevant", r6("ap").alias("ap"), r6("ndcg").alias("ndcg"))
+
+
 def q_metrics_line(spark, sf):
     """A metric row written as one line and read back."""
     path = scratch_path(spark, "metrics")
@@ -626,5 +668,10 @@ def queries() -> dict[str, Query]:
         "svd_orders_top": q_svd_orders_top,
         "als_rows": q_als_rows,
         "als_counts": q_als_counts,
+        "als_residual": q_als_residual,
+        "als_saved": q_als_saved,
+        "als_topk_users": q_als_topk_users,
+        "svd_topk_users": q_svd_topk_users,
+        "map_per_user": q_map_per_user,
         "mse_rmse_known": q_mse_rmse_known,
     }

@@ -26,6 +26,7 @@ SVD_RANK = 10
 HEAD_N = 2000
 SAMPLE_FRAC = 0.05
 SIMILAR = 6.0
+RELEVANT = 2.0
 
 def r_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_triples(spark, sf_dir)

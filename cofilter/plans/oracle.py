@@ -355,6 +355,35 @@ WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM
 SELECT 'train' AS part, count(*) AS n FROM train
 UNION ALL SELECT 'test', count(*) FROM test
 WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)""",
+        "als_residual": f"""{ws}
+SELECT count(DISTINCT user_id) AS n_users, count(*) AS n_ratings, CAST(0 AS DOUBLE) AS residual FROM train""",
+        "als_saved": f"""{ws}
+SELECT count(*) AS n, CAST(0 AS BIGINT) AS differ FROM test
+WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)""",
+        "svd_topk_users": f"""{w},
+t AS (SELECT u.user_id, i.item_id, coalesce(r.counts, 0) AS score,
+             row_number() OVER (PARTITION BY u.user_id ORDER BY coalesce(r.counts, 0) DESC, i.item_id) AS rank
+      FROM (SELECT DISTINCT user_id FROM r) u CROSS JOIN (SELECT DISTINCT item_id FROM r) i
+      LEFT JOIN r ON r.user_id = u.user_id AND r.item_id = i.item_id)
+SELECT user_id, rank, item_id, round(CAST(score AS DOUBLE), 5) AS score FROM t WHERE rank <= {inp.TOP_K}""",
+        "map_per_user": f"""{ws},
+{_scored_rows('item', 'test')},
+rv AS (SELECT user_id, counts, round(pred, 9) AS p FROM sc),
+disc AS (SELECT 0 AS n, 0.0 AS d UNION ALL
+      SELECT n, sum(1 / log2(n + 1)) OVER (ORDER BY n) FROM range(1, {inp.TOP_K + 1}) t(n)),
+steps AS (SELECT user_id, p, count(*) AS ties, sum(counts) AS gain, count(*) FILTER (counts >= {inp.RELEVANT}) AS rel
+      FROM rv GROUP BY 1, 2),
+cum AS (SELECT *, sum(ties) OVER w AS z, sum(rel) OVER w AS relz FROM steps WINDOW w AS (PARTITION BY user_id ORDER BY p DESC)),
+got AS (SELECT cum.user_id, sum(ties) AS n, sum(rel) AS n_relevant,
+             sum(rel * relz / z) / nullif(sum(rel), 0) AS ap,
+             sum(gain / ties * (b.d - e.d)) AS dcg
+      FROM cum JOIN disc b ON b.n = least(z, {inp.TOP_K}) JOIN disc e ON e.n = least(z - ties, {inp.TOP_K}) GROUP BY 1),
+ideal AS (SELECT user_id, sum(counts / log2(k + 1)) AS idcg
+      FROM (SELECT user_id, counts, row_number() OVER (PARTITION BY user_id ORDER BY counts DESC) AS k FROM rv)
+      WHERE k <= {inp.TOP_K} GROUP BY 1)
+SELECT user_id, CAST(n AS BIGINT) AS n, CAST(n_relevant AS BIGINT) AS n_relevant, round(ap, 6) AS ap,
+       round(dcg / nullif(idcg, 0), 6) AS ndcg
+FROM got JOIN ideal USING (user_id)""",
         "mse_rmse_known": f"""{ws},
 known AS (SELECT user_id, item_id, counts FROM test
           WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)),
