@@ -219,3 +219,27 @@ def score_rows_walk(R: DataFrame, rows: DataFrame, weights: dict[str, float]) ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred)], names=[*names, "pred"])
 
     return rows.repartition(U).sortWithinPartitions(U, I).mapInArrow(run, schema)
+
+
+def nearest_walk(R: DataFrame, k: int) -> DataFrame:
+    """(item_i, rank, item_j, sim): the k items most similar to each by S_I, for a small R.
+    S_I is the user model's kernel of Rᵀ, so a row of it is one user's weights there."""
+    spark = R.sparkSession
+    ship_package(spark)
+    c = Compressed.of(R.select(F.col(I).alias(U), F.col(U).alias(I), V))
+    shared, kind = spark.sparkContext.broadcast(c), dict(R.dtypes)[I]
+
+    def run(batches):
+        walker = Walker(shared.value, "user")
+        for batch in batches:
+            for u in batch.column(0).to_pylist():
+                w = walker.weights(u)
+                w[u] = 0
+                found = np.flatnonzero(w)
+                found = found[np.lexsort((found, -np.round(w[found], 9)))[:k]]
+                yield pa.RecordBatch.from_arrays(
+                    [walker.c.users.take(pa.array(np.full(len(found), u))), pa.array(np.arange(1, len(found) + 1), pa.int32()),
+                     walker.c.users.take(pa.array(found)), pa.array(w[found])], names=["item_i", "rank", "item_j", "sim"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, -(-len(c.users) // USERS_A_TASK) // 8)
+    return spark.range(0, len(c.users), 1, tasks).mapInArrow(run, f"item_i {kind}, rank int, item_j {kind}, sim double")

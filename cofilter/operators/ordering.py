@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cofilter.functions.scalar import md5_order_key
+from cofilter.operators.selection import first_by_key
 from cofilter.session import checkpoint_dir
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | position
@@ -78,17 +79,18 @@ def exact_floor(frac, n: int) -> int:
     return int(math.floor(Fraction(str(frac)) * n))
 
 
-def split_exact(df: DataFrame, frac, seed, keys: list[str],
-                row_col: str = "_split_row") -> tuple[DataFrame, DataFrame]:
+def split_exact(df: DataFrame, frac, seed, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Exact-size seeded split (L3): rows ordered by md5(keys|seed); the first
     floor(frac * n) form the first part, the rest the second. Deterministic
-    across engines and partition counts; row choice is not sklearn's."""
-    keyed = df.withColumn("_split_key", md5_order_key(keys, seed))
-    numbered, n = with_row_number(keyed, ["_split_key", *keys], row_col)
-    cut = exact_floor(frac, n)
-    first = numbered.filter(F.col(row_col) < cut).drop("_split_key", row_col)
-    second = numbered.filter(F.col(row_col) >= cut).drop("_split_key", row_col)
-    return first, second
+    across engines and partition counts; row choice is not sklearn's. The row at the
+    cut is found by counting (``selection``), so nothing is sorted globally."""
+    checkpoint_dir(df.sparkSession)
+    # the rows in place once: which of several equal ones comes first is fixed by that
+    keyed = df.withColumn("_split_key", md5_order_key(keys, seed)).checkpoint(eager=True).withColumn("_split_at", F.monotonically_increasing_id())
+    cut = exact_floor(frac, keyed.count())
+    before = first_by_key(keyed, "_split_key", [*keys, "_split_at"], cut)
+    inside = F.lit(True) if before is None else before
+    return tuple(keyed.where(c).drop("_split_key", "_split_at") for c in (inside, ~inside))
 
 
 def random_split(df: DataFrame, frac: float, seed: int) -> tuple[DataFrame, DataFrame]:

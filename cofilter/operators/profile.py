@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofilter.operators.ordering import with_row_number
+from cofilter.operators.matrix import materialize
+from cofilter.operators.selection import kth_values
 
 QUANTILES = (0.25, 0.5, 0.75)
 
 
 def exact_quantiles(df: DataFrame, col: str, qs=QUANTILES) -> dict[float, float | None]:
-    """Linearly interpolated quantiles (pandas / quantile_cont rule) from
-    global positions: one range-partitioned sort, then only the (at most
-    2 per quantile) rows at the wanted positions reach the driver.
-    ``percentile`` would hold every distinct value in one task."""
-    # the second column only spreads a frequent value over several ranges
-    vals = (df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-            .withColumn("_spread", F.monotonically_increasing_id()))
-    numbered, n = with_row_number(vals, ["_v", "_spread"], "_pos")
+    """Linearly interpolated quantiles (pandas / quantile_cont rule) from the at
+    most two values per quantile at the wanted ranks, which are found by counting
+    (``selection``). ``percentile`` would hold every distinct value in one task."""
+    vals = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    n = vals.count()
     if n == 0:
         return {q: None for q in qs}
     want = {}
@@ -26,14 +24,13 @@ def exact_quantiles(df: DataFrame, col: str, qs=QUANTILES) -> dict[float, float
         h = q * (n - 1)
         lo = int(h // 1)
         want[q] = (h, lo, min(lo + 1, n - 1))
-    positions = sorted({p for _, lo, hi in want.values() for p in (lo, hi)})
-    got = {r["_pos"]: r["_v"] for r in
-           numbered.filter(F.col("_pos").isin(positions)).select("_pos", "_v").collect()}
-    return {q: got[lo] + (h - lo) * (got[hi] - got[lo]) for q, (h, lo, hi) in want.items()}
+    got = kth_values(vals, "_v", sorted({p for _, lo, hi in want.values() for p in (lo, hi)}))
+    return {q: got[lo] + (h - lo) * (got[hi] - got[lo]) if got[hi] != got[lo] else got[lo] for q, (h, lo, hi) in want.items()}
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """One row: count, mean, std (sample), min, p25, p50, p75, max (A1)."""
+    df = materialize(df, (col,))  # read by every pass
     qv = exact_quantiles(df, col)
     base = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"),
                   F.stddev_samp(col).alias("std"),

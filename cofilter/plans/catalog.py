@@ -306,6 +306,12 @@ def q_topk_per_user_orders(spark, sf):
     return top.select(U, "rank", I, r6("score").alias("score"))
 
 
+def q_item_neighbours(spark, sf):
+    """M3 on the wide matrix: the most similar items of each."""
+    s = pruned.nearest(inp.r_orders(spark, sf), inp.TOP_K)
+    return s.select("item_i", "rank", "item_j", r6("sim").alias("sim"))
+
+
 def q_similar_items(spark, sf):
     """M3 on the wide matrix, pairs at or above a similarity."""
     s = pruned.similar_pairs(inp.r_orders(spark, sf), inp.SIMILAR)
@@ -632,6 +638,7 @@ def queries() -> dict[str, Query]:
         "topk_per_user": q_topk_per_user,
         "topk_per_user_orders": q_topk_per_user_orders,
         "similar_items": q_similar_items,
+        "item_neighbours": q_item_neighbours,
         "union_train": q_union_train,
         "universe": q_universe,
         "same_users_check": q_same_users_check,

@@ -417,6 +417,11 @@ t AS (SELECT user_id, item_id, score_item AS score,
              row_number() OVER (PARTITION BY user_id ORDER BY round(score_item, 9) DESC, item_id) AS rank
       FROM g)
 SELECT user_id, rank, item_id, round(score, 6) AS score FROM t WHERE rank <= {inp.TOP_K}""",
+        "item_neighbours": f"""WITH {R_ORDERS},
+{_kernels('r')},
+n AS (SELECT a, b, m_item, row_number() OVER (PARTITION BY a ORDER BY round(m_item, 9) DESC, b) AS rank
+      FROM m WHERE a <> b AND m_item <> 0)
+SELECT a AS item_i, CAST(rank AS INTEGER) AS rank, b AS item_j, round(m_item, 6) AS sim FROM n WHERE rank <= {inp.TOP_K}""",
         "similar_items": f"""WITH {R_ORDERS},
 {_kernels('r')}
 SELECT a AS item_i, b AS item_j, round(m_item, 6) AS sim FROM m WHERE a <> b AND m_item >= {inp.SIMILAR}""",

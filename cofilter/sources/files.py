@@ -117,11 +117,18 @@ def write_dense_matrix(R: DataFrame, path: str, row_idx: str = "row_idx",
     width is the number of columns, fixed by the format."""
     if n_cols is None:
         n_cols = int(R.agg(F.max(col_idx)).first()[0]) + 1
-    per_row = R.groupBy(row_idx).agg(F.map_from_entries(
-        F.collect_list(F.struct(F.col(col_idx), F.col(value).cast("double")))).alias("_m"))
-    dense = per_row.select(row_idx, F.concat_ws(" ", F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(n_cols - 1).cast("bigint")),
-        lambda j: F.coalesce(F.col("_m")[j], F.lit(0.0)).cast("string"))).alias("line"))
+    cell = F.struct(F.col(col_idx).cast("bigint").alias("c"), F.col(value).cast("double").alias("v"))
+    per_row = R.groupBy(row_idx).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+
+    def gap(start, stop):
+        """Zeros for the columns from start to before stop."""
+        return F.array_repeat(F.lit("0.0"), (stop - start).cast("int"))
+
+    # a row's cells in order: each with the zeros between it and the one before
+    here = F.transform("_cells", lambda x, i: F.concat(
+        gap(F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get("_cells", i - 1)["c"] + 1), x["c"]), F.array(x["v"].cast("string"))))
+    last = F.element_at("_cells", -1)["c"] + 1
+    dense = per_row.select(row_idx, F.concat_ws(" ", F.concat(F.flatten(here), gap(last, F.lit(n_cols)))).alias("line"))
     write_lines_in_order(dense, "line", row_idx, path)
 
 
