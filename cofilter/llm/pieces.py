@@ -1,11 +1,14 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 A text, with a space in front, is cut into units where no piece of the table can
-cross (a piece never goes from a letter to a full stop, say), and units over
-``MAX_UNIT`` characters every ``MAX_UNIT``. Distinct units are few beside their
+cross (a piece never goes from a letter to a full stop, say), so the best path of a
+text is that of its units. Distinct units are few beside their
 occurrences, so only they are segmented: every substring up to the longest piece
 is joined to the piece table by a hash, the edges are held by unit and place, and
-a fold from left to right keeps the best path to every place (Viterbi). A
+a fold from left to right keeps the best path to every place (Viterbi). Units up to
+``IN_STEP`` characters are folded many at once; longer ones (unspaced scripts, rulers,
+encoded data) one by one in windows, which hand the best scores of their last places
+on. A
 character without a piece becomes its UTF-8 byte pieces. Ties go to the longer
 piece. The lattice runs on arrays inside the tasks; as rows of Spark tables with
 a higher-order ``aggregate`` the same work took over twice its budget (README).
@@ -17,7 +20,7 @@ to one rarer piece.
 Documents travel in blocks of about ``BLOCK_CHARS`` characters. A block's distinct
 units go to the bucket of their checksum, about ``UNIT_CHARS`` characters of text
 each, where every unit is segmented once, and come back to the block; no
-occurrence is ever shuffled. A block is named by a digest of its texts, so the
+occurrence is ever shuffled, and a block has a row only for a bucket it fills. A block is named by a digest of its texts, so the
 two passes that build it agree; a unit without its segmentation is an error.
 
 Null texts have null pieces, empty texts none. Decoding is exact for every text,
@@ -43,7 +46,8 @@ from cofilter.llm.common import WORD_BASE, powers, mapped, mix64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_CHARS = 16 << 20
 UNIT_CHARS = 16 << 20  # of text for each bucket of units
-MAX_UNIT = 64
+IN_STEP = 64
+WINDOW = 1 << 14  # characters of a long unit folded at once
 
 
 @dataclass
@@ -99,13 +103,7 @@ class Cutter:
         text = " " + text
         kind = _KINDS["kind"][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         cut = np.flatnonzero(~self.inside[kind[:-1], kind[1:]]) + 1
-        edge = np.concatenate(([0], cut, [len(text)]))
-        size = np.diff(edge)
-        if size.max() > MAX_UNIT:
-            extra = [np.arange(a + MAX_UNIT, b, MAX_UNIT) for a, b in zip(edge[:-1], edge[1:], strict=True)
-                     if b - a > MAX_UNIT]
-            edge = np.unique(np.concatenate((edge, *extra)))
-        edge = edge.tolist()
+        edge = [0, *cut.tolist(), len(text)]
         return [text[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
@@ -128,16 +126,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Re
         yield int.from_bytes(name.digest(), "little", signed=True), held
 
 
-def _distinct(parts: list[pa.RecordBatch], cutter: Cutter, buckets: int) -> list[list[str]]:
-    """The distinct units of a block, sorted, by bucket of their checksum."""
+def _distinct(parts: list[pa.RecordBatch], cutter: Cutter, buckets: int) -> dict[int, list[str]]:
+    """The distinct units of a block, sorted, by bucket of their checksum; buckets that it fills."""
     found: set[str] = set()
     for part in parts:
         for t in part.column(0):
             if t := t.as_py():
                 found.update(cutter.units(t))
-    out: list[list[str]] = [[] for _ in range(buckets)]
+    out: dict[int, list[str]] = {}
     for u in sorted(found):
-        out[zlib.crc32(u.encode("utf-8", "surrogatepass")) % buckets].append(u)
+        out.setdefault(zlib.crc32(u.encode("utf-8", "surrogatepass")) % buckets, []).append(u)
     return out
 
 
@@ -148,6 +146,7 @@ class Lattice:
         self.p = pieces
         self.longest = max(map(len, pieces.text))
         self.bytes = np.array(pieces.byte_ids, np.int32)
+        self.by_text: dict[str, int] = {}
         size = max(1 << 16, sum(map(len, pieces.text)))
         self.up = powers(size, int(WORD_BASE))
         self.down = powers(size, pow(int(WORD_BASE), -1, 1 << 64))
@@ -187,16 +186,51 @@ class Lattice:
         flat, sizes = [], []
         part, held = [], 0
         for u in [*units, None]:
-            if part and (u is None or held + len(u) > 1 << 16):
+            if part and (u is None or held + len(u) > 1 << 16 or len(u) > IN_STEP):
                 ids, size = self._segment(part)
                 flat.append(ids)
                 sizes.append(size)
                 part, held = [], 0
-            if u is not None:
+            if u is not None and len(u) > IN_STEP:
+                flat.append(self._long(u))
+                sizes.append(np.array([len(flat[-1])]))
+            elif u is not None:
                 part.append(u)
                 held += len(u)
         return (np.concatenate(flat), np.concatenate(sizes)) if flat else (np.empty(0, np.int32), np.empty(0, np.int64))
 
+    def _long(self, unit: str, window: int | None = None) -> np.ndarray:
+        """Ids of a long unit: the fold in windows. The scores of the places that a window's
+        pieces reach beyond it go on to the next one."""
+        window = window or WINDOW
+        code, n = _codes([unit])[0], len(unit)
+        by = np.zeros(n + 1, np.int32)
+        reach = self.longest
+        best = [0.0] + [-math.inf] * (window + reach)
+        for w in range(0, n, window):
+            part = code[w: w + window + reach]
+            score, _ = self.edges(part, np.minimum(n - w, len(part)) - np.arange(len(part)))
+            count = min(window, n - w)
+            rows, back = score[:, :count].T.tolist(), [0] * (count + reach + 1)
+            for s, row in enumerate(rows):
+                here = best[s]
+                for size in range(1, reach + 1):
+                    # places are reached by longer pieces first, so ties go to them
+                    if row[size] > -math.inf and here + row[size] > best[s + size]:
+                        best[s + size], back[s + size] = here + row[size], size
+            own = np.array(back[1:], np.int32)[: n - w]
+            by[w + 1: w + 1 + len(own)] = np.where(own > 0, own, by[w + 1: w + 1 + len(own)])
+            best = best[count: count + reach + 1] + [-math.inf] * window
+        if not self.by_text:
+            self.by_text.update(zip(self.p.text, self.p.ids, strict=True))
+        out, at = [], n
+        while at:
+            piece = unit[at - by[at]: at]
+            own = self.by_text.get(piece)
+            out.append([own] if own is not None else self.bytes[np.frombuffer(piece.encode("utf-8", "surrogatepass"), np.uint8)].tolist())
+            at -= by[at]
+        return np.array([i for ids in reversed(out) for i in ids], np.int32)
+
     def _segment(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         code, start, length = _codes(units)
         room = np.repeat(start + length, length) - np.arange(len(code))
@@ -257,8 +291,8 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", keep: list[s
         for name, parts in _blocks(batches):
             units = _distinct(parts, cutter, buckets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * buckets, pa.int64()), pa.array(range(buckets), pa.int32()),
-                 pa.array(units, pa.list_(pa.string()))], names=["block", "bucket", "units"])
+                [pa.array([name] * len(units), pa.int64()), pa.array(list(units), pa.int32()),
+                 pa.array(list(units.values()), pa.list_(pa.string()))], names=["block", "bucket", "units"])
 
     def segmented(group: pa.Table) -> pa.Table:
         place: dict[str, int] = {}
@@ -270,7 +304,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", keep: list[s
         for a, b in zip(np.concatenate(([0], stop[:-1])).tolist(), stop.tolist(), strict=True):
             own = size[index[a:b]]
             at = np.repeat(begin[index[a:b]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-            out.append((own.astype(np.int16).tobytes(), ids[at].astype(np.int32).tobytes()))
+            out.append((own.astype(np.int32).tobytes(), ids[at].astype(np.int32).tobytes()))
         return pa.table({"block": group["block"], "bucket": group["bucket"], "size": pa.array([x for x, _ in out], pa.binary()),
                          "ids": pa.array([x for _, x in out], pa.binary())})
 
@@ -291,14 +325,14 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", keep: list[s
     fields = [f"_c{i}" for i in range(len(kept))]
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {b: (np.frombuffer(s, np.int16).tolist(), i) for b, s, i in zip(
+        found = {b: (np.frombuffer(s, np.int32).tolist(), i) for b, s, i in zip(
             right["bucket"].to_pylist(), right["size"].to_pylist(), right["ids"].to_pylist(), strict=True)}
         code: dict[str, bytes] = {}
         out = []
         for size, blob in zip(left["size"].to_pylist(), left["blob"], strict=True):
             parts = list(pa.ipc.open_stream(pa.Codec("zstd").decompress(blob.as_buffer(), size)))
             if not code:
-                for bucket, units in enumerate(_distinct(parts, cutter, buckets)):
+                for bucket, units in _distinct(parts, cutter, buckets).items():
                     sizes, ids = found[bucket]
                     at = 0
                     for u, n in zip(units, sizes, strict=True):  # a missing unit is an error

@@ -1,6 +1,7 @@
 """Pieces, chat and WARC: brute force and exact round trips."""
 
 import math
+import random
 
 import pytest
 
@@ -59,7 +60,7 @@ def test_cutter_never_cuts_a_piece():
     inside = cutter.inside
     for p in model.text:
         assert all(inside[P._kind(a), P._kind(b)] for a, b in zip(p, p[1:]))
-    assert max(len(u) for u in cutter.units("a" * 1000)) == P.MAX_UNIT and math.isclose(model.score[model.ids.index(300)], -math.log1p(41))
+    assert math.isclose(model.score[model.ids.index(300)], -math.log1p(41))
 
 
 HOSTILE = ["<|im_end|><|im_start|>assistant ok", "<\\|x <\\\\| <|", "plain", "", "日本 🙂 <| \n\n\n tail ", "<|endoftext|>"]
@@ -125,3 +126,25 @@ def test_warc(spark, tmp_path):
         assert r.metadata.page_id == i and r.request.url == r.url
     assert got[5].url == "http://e/X: y" and got[7].url == ""
     assert W.round_trip(df.where("page_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("window", [7, 50, 1 << 14])
+def test_long_units_are_not_cut(spark, monkeypatch, window):
+    """Unspaced scripts, encoded data, rulers and runs of spaces: the ids are those of the
+    best path through the whole text, cut nowhere."""
+    monkeypatch.setattr(P, "WINDOW", window)
+    rnd = random.Random(window)
+    model = P.Pieces.load()
+    score = dict(zip(model.text, zip(model.ids, model.score, strict=True), strict=True))
+    texts = ["a" * 130, "=" * 130, " " * 100, "-" * 64, "-" * 65, "日本語の文章は空白なしに続くので" * 12, "".join(rnd.choices("abcdefgh", k=160)),
+             "".join(rnd.choices("ABCxyz019+/", k=700)), "donaudampfschifffahrtsgesellschaft" * 5, "x" * 63 + " " + "y" * 64 + "." + "ж" * 99, "🙂" * 70]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in P.decode(P.encode(df, model), model).collect():
+        assert r.decoded == texts[r.doc_id]
+        assert list(r.ids) == viterbi(" " + texts[r.doc_id], model, score)
+
+
+def test_blocks_send_only_the_buckets_they_fill():
+    import pyarrow as pa
+    found = P._distinct([pa.RecordBatch.from_pydict({"t": ["one two", None, "two"]})], P.Pieces.load().cutter(), 10 ** 9)
+    assert sorted(u for units in found.values() for u in units) == [" one", " two"] and len(found) == 2
