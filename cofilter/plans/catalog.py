@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cofilter.functions.scalar import OUT_DIGITS, log_scale_col
-from cofilter.operators import factor, indexing, matrix, metrics, neighbourhood, ordering
+from cofilter.operators import dictionary, factor, indexing, matrix, metrics, neighbourhood, ordering
 from cofilter.operators import profile, pruned, ranking, sets
 from cofilter.plans import evaluation
 from cofilter.plans import inputs as inp
 from cofilter.session import scratch_path
 from cofilter.sources import files
+from cofilter.streaming import matrix as stream
 from cofilter.sources.tables import event_rows, item_titles, table
 
 U, I, V = "user_id", "item_id", "counts"
@@ -318,6 +319,44 @@ def q_similar_items(spark, sf):
     return s.select("item_i", "item_j", r6("sim").alias("sim"))
 
 
+def _streamed(spark, sf):
+    """The events as three landings, with rows of earlier ones repeated and some held
+    back to come late, taken into a matrix after each landing."""
+    ev = event_rows(spark, sf).select("event_id", U, I, "value")
+    source, store = scratch_path(spark, "landing"), scratch_path(spark, "stream")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3)).cast("int")
+    again = F.pmod(F.xxhash64("event_id", F.lit(1)), F.lit(5)) == 0
+    for no in range(3):
+        ev.where((part == no) | ((part < no) & again)).write.mode("append").parquet(source)
+        stream.update_matrix(spark, source, ev.schema, store)
+    return store
+
+
+def q_stream_last_write(spark, sf):
+    """W2 by a stream in three batches: the batch query's rows."""
+    return stream.read_matrix(spark, _streamed(spark, sf))
+
+
+def q_stream_sums(spark, sf):
+    """A6 by the same stream: row and column sums of the last-write matrix."""
+    s = stream.read_sums(spark, _streamed(spark, sf))
+    return s.select("side", "key", F.round("total", 4).alias("total"))
+
+
+def q_index_incremental(spark, sf):
+    """I1 as a table that grows: the users and items of the first half of the events, then
+    of all; ids of the first half stay."""
+    ev = event_rows(spark, sf)
+    first = ev.where(F.col("event_id") <= F.lit(ev.agg(F.max("event_id")).first()[0]) / 2)
+    out = None
+    for side, key in (("user", U), ("item", I)):
+        path = scratch_path(spark, "ids")
+        dictionary.extend_dictionary(first, key, path)
+        ids = dictionary.extend_dictionary(ev, key, path).select(F.lit(side).alias("side"), "key", F.col("id").alias("idx"))
+        out = ids if out is None else out.unionByName(ids)
+    return out
+
+
 def q_union_train(spark, sf):
     return inp.event_pieces(spark, sf).select("src_ord", U, I, V)
 
@@ -639,6 +678,9 @@ def queries() -> dict[str, Query]:
         "topk_per_user_orders": q_topk_per_user_orders,
         "similar_items": q_similar_items,
         "item_neighbours": q_item_neighbours,
+        "stream_last_write": q_stream_last_write,
+        "stream_sums": q_stream_sums,
+        "index_incremental": q_index_incremental,
         "union_train": q_union_train,
         "universe": q_universe,
         "same_users_check": q_same_users_check,

@@ -425,6 +425,16 @@ SELECT a AS item_i, CAST(rank AS INTEGER) AS rank, b AS item_j, round(m_item, 6)
         "similar_items": f"""WITH {R_ORDERS},
 {_kernels('r')}
 SELECT a AS item_i, b AS item_j, round(m_item, 6) AS sim FROM m WHERE a <> b AND m_item >= {inp.SIMILAR}""",
+        "stream_last_write": f"""WITH {EVENT_ROWS}
+SELECT user_id, item_id, CAST(arg_max(value, event_id) AS DOUBLE) AS value FROM ev GROUP BY 1, 2""",
+        "stream_sums": f"""WITH {EVENT_ROWS},
+m AS (SELECT user_id, item_id, CAST(arg_max(value, event_id) AS DOUBLE) AS value FROM ev GROUP BY 1, 2)
+SELECT 'user' AS side, user_id AS key, round(sum(value), 4) AS total FROM m GROUP BY 2
+UNION ALL SELECT 'item', item_id, round(sum(value), 4) FROM m GROUP BY 2""",
+        "index_incremental": f"""WITH {EVENT_ROWS},
+k AS (SELECT 'user' AS side, user_id AS key, min(event_id) > (SELECT max(event_id) FROM ev) / 2 AS late FROM ev GROUP BY 2
+      UNION ALL SELECT 'item', item_id, min(event_id) > (SELECT max(event_id) FROM ev) / 2 FROM ev GROUP BY 2)
+SELECT side, key, row_number() OVER (PARTITION BY side ORDER BY late, key) - 1 AS idx FROM k WHERE key IS NOT NULL""",
         "union_train": f"""WITH {EVENT_ROWS}
 SELECT CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS src_ord,
        user_id, item_id, CAST(count(*) AS DOUBLE) AS counts
