@@ -48,6 +48,6 @@ def test_matches_duckdb(spark, con, name):
 
 def test_every_query_has_oracle_or_is_model_fit():
     rows_only = set(queries()) - set(oracle_sql())
-    assert rows_only == {"als_metrics", "als_predictions", "als_report", "als_report_log", "als_report_pieces",
+    assert rows_only == {"als_metrics", "als_predictions", "als_topk_users", "als_report", "als_report_log", "als_report_pieces",
                          "svd_energy",
                          "svd_singular_values", "svd_scores", "svd_topk_titles", "svd_orders_energy"}
