@@ -8,7 +8,7 @@ kernels is a kernel), and the kernel of two sentences is the sum over their word
 pairs, so a sentence's decision is a sum over its words. Landmarks are words and
 word beginnings typical of the toxic training documents, taken until each of those
 documents holds ``COVER`` of them or near copies of them (if it has that many), so a
-rare language gets its own; the Nyström map is the inverse root of their kernel
+rare language gets its own; a word that so many could show by chance is not typical; the Nyström map is the inverse root of their kernel
 matrix, and a squared-hinge SVM is trained on the mapped sentences. Sentence
 labels come from document labels: a clean document's sentences are clean, and of
 a toxic document's those that the machine itself picks, its best one at least,
@@ -46,7 +46,7 @@ DECAY = 0.6
 SPAN = 5
 POWER = 4  # a power of two
 COVER = 8
-HARMLESS = -0.8  # the margin of clean sentences is at -1
+HARMLESS = -0.7  # the margin of clean sentences is at -1
 TYPICAL = 8  # words of a toxic training document that can become landmarks
 TRAIN_DOCS = 3_000
 CHUNK = 4096  # sentences of a stored row
@@ -433,9 +433,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     # a beginning counts once for each text: several of its words can share it
     held = mapped(sample, words_of, "w string, y int, doc long").where("length(w) > 2").distinct()
-    counts = held.groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    counts = stored(held.groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")), "words")
     p, q = (F.col("p") + 0.5) / (total[1] + 1), (F.col("q") + 0.5) / (total[0] + 1)
-    typical = stored(counts.withColumn("g", (p - q) * F.log(p / q)).where(p > 2 * q).select("w", "g"), "typical")
+    # more of the toxic documents hold the word than chance gives the best of so many words
+    share_all = (F.col("p") + F.col("q")) / (total[0] + total[1])
+    spread = share_all * (1 - share_all) * (1 / total[0] + 1 / total[1])
+    beyond = F.pow(F.col("p") / total[1] - F.col("q") / total[0], F.lit(2.0)) > spread * 2 * float(np.log(max(2, counts.count())))
+    typical = stored(counts.withColumn("g", (p - q) * F.log(p / q)).where((p > 2 * q) & beyond).select("w", "g"), "typical")
     order = (F.desc("g"), F.desc(F.length("w")), "w")
     first = W.partitionBy("doc").orderBy(*order)
     best = (held.where("y = 1").join(typical, "w").withColumn("r", F.row_number().over(first)).where(F.col("r") <= TYPICAL)
