@@ -3,6 +3,8 @@ folder, Arrow plumbing, character and word arrays, connected components."""
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +26,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hand_back() -> None:
+    """Give free memory of a Python worker back: workers stay between tasks, and what
+    the allocators keep of one task's arrays counts against the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -32,9 +44,14 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors, and rows sent there in
     batches of ``BATCH_BYTES`` (a session that sets a size of its own keeps it)."""
     ship_package(df.sparkSession)
+
+    def tidy(batches):
+        yield from run(batches)
+        _hand_back()
+
     if df.sparkSession.conf.get(_BATCH, "1b") == "1b":  # unset
         df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy, schema)
 
 
 def learn_split(doc_id: str, mod: int, held: int):
