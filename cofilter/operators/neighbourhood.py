@@ -23,7 +23,7 @@ argument, asks for the joins.
 
 With ``pairs`` only the wanted (user, item) cells are scored: pairs join R
 on the user before the scoring join, and the co-occurrence is restricted to
-the pairs' items (the aggregate would otherwise block that pushdown)."""
+the pairs' items on one side and the items of the pairs' users on the other (the aggregate would otherwise block that pushdown)."""
 
 from __future__ import annotations
 
@@ -55,10 +55,10 @@ def _with_norms(R: DataFrame, skew: dict, hot_u: HotKeys, hot_i: HotKeys) -> Dat
 
 
 def _kernels(rn: DataFrame, items: DataFrame | None, skew: dict, hot_u: HotKeys,
-             parts: int) -> DataFrame:
+             parts: int, own: DataFrame | None = None) -> DataFrame:
     """M(a, b, m_item, m_user): m_item = S_I(a,b), m_user = Σ_u r_ua r_ub P_u^-1/2."""
     k = cooccurrence(rn, by=U, col=I, val=V, weight="_w", right_keys=items, norm="_q",
-                     hot=hot_u, partitions=parts, **skew)
+                     left_keys=own, hot=hot_u, partitions=parts, **skew)
     return k.select("a", "b", (F.col("c") * inv_sqrt(F.col("na") * F.col("nb"))).alias("m_item"),
                     F.col("cw").alias("m_user"))
 
@@ -83,7 +83,9 @@ def _engine(R: DataFrame, pairs: DataFrame | None, skew: dict,
         x = salted_join(rows, m, "a", U, hot=hot_i.on("a"), partitions=parts, split_right="b", **skew)
     else:
         e = pairs.select(U, F.col(I).alias("b")).distinct()
-        m = _kernels(rn, e.select(F.col("b").alias(I)), skew, hot_u, parts)
+        # only the items that the pairs' users hold meet the pairs' items
+        own = rn.join(e.select(U).distinct(), U, "left_semi").select(I)
+        m = _kernels(rn, e.select(F.col("b").alias(I)), skew, hot_u, parts, own)
         x = salted_join(e, rows, U, "b", partitions=parts, split_right="a", **skew)
         # adaptive execution may split this exchange where an item pair is popular
         x = x.join(m, ["a", "b"], "inner")

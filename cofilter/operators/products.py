@@ -157,7 +157,7 @@ def salted_join(left: DataFrame, right: DataFrame, key, split_col: str, task_row
 
 def cooccurrence(R: DataFrame, by: str, col: str, val: str, weight: str | None = None,
                  right_keys: DataFrame | None = None, norm: str | None = None,
-                 **skew) -> DataFrame:
+                 left_keys: DataFrame | None = None, **skew) -> DataFrame:
     """K(a, b) = sum over rows sharing ``by`` of v_a * v_b (and, with
     ``weight``, cw = sum of v_a * v_b * w). Self pairs are kept.
 
@@ -165,9 +165,9 @@ def cooccurrence(R: DataFrame, by: str, col: str, val: str, weight: str | None =
     of the item); it comes out as ``na``/``nb`` through the aggregate (one
     value per key), so no join of the much larger K with the norms is needed.
     ``right_keys`` (one column named like ``col``): only b in that set is
-    produced, which is all a pair-restricted score needs. Without it K is
-    symmetric: only a <= b is built and the rest mirrored, halving the
-    pair products."""
+    produced, which is all a pair-restricted score needs; ``left_keys`` then does the
+    same for a. Without ``right_keys`` K is symmetric: only a <= b is built and the
+    rest mirrored, halving the pair products."""
     lcols = [F.col(by), F.col(col).alias("a"), F.col(val).alias("va")]
     rcols = [F.col(by), F.col(col).alias("b"), F.col(val).alias("vb")]
     if weight:
@@ -179,6 +179,8 @@ def cooccurrence(R: DataFrame, by: str, col: str, val: str, weight: str | None =
     right = R.select(*rcols)
     if right_keys is not None:
         right = right.join(right_keys.select(F.col(col).alias("b")).distinct(), "b", "left_semi")
+        if left_keys is not None:
+            left = left.join(left_keys.select(F.col(col).alias("a")).distinct(), "a", "left_semi")
     if "partitions" not in skew:
         cost = square_degree_cost(R, by).first()["cost"]
         skew["partitions"] = pair_partitions(R.sparkSession, cost)

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cofilter.functions.scalar import OUT_DIGITS, log_scale_col
-from cofilter.operators import dictionary, factor, indexing, matrix, metrics, neighbourhood, ordering
-from cofilter.operators import profile, pruned, ranking, sets
+from cofilter.operators import asof, dictionary, factor, indexing, matrix, metrics, neighbourhood, ordering
+from cofilter.operators import products, profile, profile_pieces, pruned, ranking, sets
 from cofilter.plans import evaluation
 from cofilter.plans import inputs as inp
 from cofilter.session import scratch_path
 from cofilter.sources import files
 from cofilter.streaming import matrix as stream
-from cofilter.sources.tables import event_rows, item_titles, table
+from cofilter.sources.tables import event_item, event_rows, item_titles, table
 
 U, I, V = "user_id", "item_id", "counts"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -632,6 +632,63 @@ def q_eval_blend_pieces(spark, sf):
     return m.select("part", "metric", r6("value").alias("value"))
 
 
+def _timed_events(spark, sf):
+    """Events with ``at``, their time in microseconds."""
+    return table(spark, sf, "events").select("event_id", "event_type", U, "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+
+def q_last_before(spark, sf):
+    """For each event, its user's last purchase before it and how many there were."""
+    ev = _timed_events(spark, sf)
+    facts = ev.where(F.col("event_type") == inp.FACT)
+    out = asof.as_of(ev, facts, U, "at", {"last_id": "event_id", "last_value": "value"}, order="event_id", count="n_before")
+    return out.select("event_id", "last_id", "last_value", "n_before")
+
+
+def q_count_within(spark, sf):
+    """For each event, its user's purchases within the day before it."""
+    ev = _timed_events(spark, sf)
+    return asof.count_within(ev, ev.where(F.col("event_type") == inp.FACT), U, "at", inp.DAY_MICROS, "event_id", "n_day")
+
+
+def q_range_pairs(spark, sf):
+    """Purchases with the clicks of the same user within the hour before."""
+    ev = _timed_events(spark, sf)
+    clicks = ev.where(F.col("event_type") == inp.LEAD).withColumnRenamed("event_id", "lead_id")
+    return asof.range_pairs(ev.where(F.col("event_type") == inp.FACT), clicks, U, "at", inp.HOUR_MICROS, "event_id", "lead_id")
+
+
+def q_profile_cube(spark, sf):
+    """The cube over (type, day) from stored profiles of two batches, with the sketches
+    held against exact figures of the rows."""
+    by, ids, quantiles = ["event_type", "day"], [U, I], {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    ev = table(spark, sf, "events").select("event_id", "event_type", F.to_date("ts").cast("string").alias("day"), U,
+                                           event_item().alias(I), "value")
+    store = scratch_path(spark, "profiles")
+    later = F.col("event_type").eqNullSafe(inp.HELD_OUT_PIECE)
+    for batch, rows in (("first", ev.where(~later)), ("second", ev.where(later))):
+        profile_pieces.store_profiles(profile_pieces.profile_pieces(rows, by, "value", ids), store, batch)
+    merged = profile_pieces.merge_profiles(profile_pieces.read_profiles(spark, store), by, ids, tuple(quantiles.values()), cube=True)
+
+    def cell(level, *cols):
+        return F.to_json(F.struct(F.lit(level).cast("long").alias("level"), *cols))
+
+    rows = ev.select("event_id", U, I, "value", F.explode(F.array(
+        cell(0, "event_type", "day"), cell(1, "event_type"), cell(2, "day"), cell(3))).alias("cell"))
+    merged = merged.withColumn("cell", F.to_json(F.struct(F.col("level").cast("long").alias("level"), *by)))
+    near = products.salted_join(rows, merged.select("cell", *quantiles), "cell", "event_id")
+    ranks = near.groupBy("cell").agg(F.count("value").alias("n_exact"), *[F.countDistinct(c).alias(f"exact_{c}") for c in ids], *[
+        F.sum((F.col("value") < F.col(q)).cast("long")).alias(f"below_{q}") for q in quantiles], *[
+        F.sum((F.col("value") <= F.col(q)).cast("long")).alias(f"upto_{q}") for q in quantiles])
+    good = [(F.abs(F.col(f"n_{c}") - F.col(f"exact_{c}")) <= F.col(f"exact_{c}") * profile_pieces.DISTINCT_BOUND).alias(f"{c}_ok") for c in ids]
+    rank_ok = F.lit(True)
+    for q, share in quantiles.items():
+        rank_ok &= F.col(f"below_{q}") <= (share + profile_pieces.RANK_BOUND) * F.col("n_exact")
+        rank_ok &= F.col(f"upto_{q}") >= (share - profile_pieces.RANK_BOUND) * F.col("n_exact")
+    return merged.join(ranks, "cell").select(*by, F.col("level").cast("long").alias("level"), "n", r6("total").alias("total"),
+                                             "low", "high", *good, F.coalesce(rank_ok, F.lit(False)).alias("quantiles_ok"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "read_triples": q_read_triples,
@@ -723,4 +780,8 @@ def queries() -> dict[str, Query]:
         "svd_topk_users": q_svd_topk_users,
         "map_per_user": q_map_per_user,
         "mse_rmse_known": q_mse_rmse_known,
+        "last_before": q_last_before,
+        "count_within": q_count_within,
+        "range_pairs": q_range_pairs,
+        "profile_cube": q_profile_cube,
     }

@@ -27,6 +27,9 @@ HEAD_N = 2000
 SAMPLE_FRAC = 0.05
 SIMILAR = 6.0
 RELEVANT = 2.0
+FACT, LEAD = "purchase", "click"   # event types of the as-of and range joins
+HOUR_MICROS = 3_600_000_000
+DAY_MICROS = 24 * HOUR_MICROS
 
 def r_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_triples(spark, sf_dir)

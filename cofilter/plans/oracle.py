@@ -501,4 +501,25 @@ numbered AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', CAST(event
                     count(*) OVER () AS n FROM rows_)
 SELECT user_idx, item_idx, round(log_target, 6) AS log_target FROM numbered
 WHERE rn >= floor({inp.SPLIT_FRAC} * n)""",
+        "last_before": f"""WITH f AS (
+  SELECT user_id, ts, max(event_id) AS last_id, arg_max(value, event_id) AS last_value, count(*) AS c
+  FROM events WHERE event_type = '{inp.FACT}' GROUP BY 1, 2),
+g AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM f)
+SELECT e.event_id, g.last_id, g.last_value, CAST(COALESCE(g.n, 0) AS BIGINT) AS n_before
+FROM events e ASOF LEFT JOIN g ON e.user_id = g.user_id AND e.ts > g.ts""",
+        "count_within": f"""
+SELECT e.event_id, count(f.event_id) AS n_day
+FROM events e LEFT JOIN events f ON f.user_id = e.user_id AND f.event_type = '{inp.FACT}'
+     AND f.ts < e.ts AND f.ts >= e.ts - INTERVAL 1 DAY
+GROUP BY e.event_id""",
+        "range_pairs": f"""
+SELECT e.event_id, f.event_id AS lead_id
+FROM events e JOIN events f ON f.user_id = e.user_id AND f.ts < e.ts AND f.ts >= e.ts - INTERVAL 1 HOUR
+WHERE e.event_type = '{inp.FACT}' AND f.event_type = '{inp.LEAD}'""",
+        "profile_cube": """
+WITH e AS (SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, value FROM events)
+SELECT event_type, day, CAST(grouping(event_type, day) AS BIGINT) AS level, count(*) AS n,
+       round(sum(value), 6) AS total, min(value) AS low, max(value) AS high,
+       true AS user_id_ok, true AS item_id_ok, true AS quantiles_ok
+FROM e GROUP BY CUBE (event_type, day)""",
     }

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from cofilter.operators.products import cooccurrence
 from cofilter.operators import compressed, matrix, metrics, neighbourhood
 
 TRIPLES = [("A", "x", 1.0), ("A", "y", 3.0), ("B", "y", 2.0), ("C", "x", 1.0), ("C", "z", 4.0)]
@@ -116,3 +117,12 @@ def test_degree_norms_zero_guard(spark):
 def test_pivot_zero_filled(R):
     wide = {r.user_id: r for r in matrix.pivot_matrix(R).collect()}
     assert wide["A"]["x"] == 1.0 and wide["A"]["z"] == 0.0 and wide["C"]["z"] == 4.0
+
+
+def test_kernel_cut_on_both_sides(spark):
+    """Wanted pairs limit the co-occurrence to the items of their users and their own."""
+    R = spark.createDataFrame([(u, i, float(u + i)) for u in range(6) for i in range(5) if (u + i) % 3], "user_id int, item_id int, counts double")
+    a, b = spark.createDataFrame([(1,), (2,)], "item_id int"), spark.createDataFrame([(0,), (4,)], "item_id int")
+    whole = {(r.a, r.b): r.c for r in cooccurrence(R, "user_id", "item_id", "counts").collect()}
+    cut = {(r.a, r.b): r.c for r in cooccurrence(R, "user_id", "item_id", "counts", right_keys=b, left_keys=a).collect()}
+    assert cut == {k: c for k, c in whole.items() if k[0] in (1, 2) and k[1] in (0, 4)} and cut
