@@ -45,7 +45,7 @@ def read_profiles(spark: SparkSession, store: str) -> DataFrame:
 def merge_profiles(pieces: DataFrame, by: list[str], ids: list[str], quantiles=(0.25, 0.5, 0.75), cube: bool = False) -> DataFrame:
     """Profiles of the unions of pieces with equal ``by``, or of every cell of the cube over
     ``by`` (``level`` has a bit for each column that is summed over, the first column's
-    highest): n, n_values, total, low, high, users-style ``n_<id>`` and ``q<percent>`` columns."""
+    highest): n, n_values, total, low, high, ``n_<id>`` and ``q<percent>``."""
     groups = pieces.cube(*by) if cube else pieces.groupBy(*by)
     level = [F.grouping_id().alias("level")] if cube else []
     merged = groups.agg(*level, F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.sum("total").alias("total"),
