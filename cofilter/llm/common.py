@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cofilter.session import scratch_path, ship_package
+from cofilter.session import bounded_batches, scratch_path, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,6 @@ def _hand_back() -> None:
         pass
 
 
-BATCH_BYTES = 8 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors, and rows sent there in
     batches of ``BATCH_BYTES`` (a session that sets a size of its own keeps it)."""
@@ -49,8 +45,7 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
         yield from run(batches)
         _hand_back()
 
-    if df.sparkSession.conf.get(_BATCH, "1b") == "1b":  # unset
-        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(tidy, schema)
 
 
