@@ -28,6 +28,7 @@ calibration reads about ``CALIBRATION_ROWS`` documents, chosen by a hash of thei
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,10 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cofilter.llm.common import list_array, mapped, slices, stored
+from cofilter.operators.selection import kth_values
 
 ORDER = 4
 BROADCAST_GRAMS = 2_000_000
-CALIBRATION_ROWS = 20_000
 REJECT_RATE = 0.0005
 SLACK = 3.0
 UNKNOWN = "und"
@@ -281,7 +282,7 @@ def kneser_ney(langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]], or
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
-          broadcast_grams: int | None = None, id_col: str = "doc_id") -> Model | WideModel:
+          broadcast_grams: int | None = None) -> Model | WideModel:
     counted = stored(count_grams(docs, text_col, lang_col, order), "grams")
     size = counted.count()
     if not size:
@@ -294,7 +295,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
         place = pc.index_in(table["lang"].combine_chunks(), pa.array(langs)).to_numpy(zero_copy_only=False)
         gram, n = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()
         model = kneser_ney(langs, [(gram[place == j], n[place == j]) for j in range(len(langs))], order)
-    return calibrate(docs, model, text_col, lang_col, id_col)
+    return calibrate(docs, model, text_col, lang_col)
 
 
 @dataclass
@@ -397,16 +398,12 @@ def wide_model(counted: DataFrame, langs: list[str], order: int) -> WideModel:
     return WideModel(langs, order, grams, back, floor)
 
 
-def calibrate(docs: DataFrame, model: Model | WideModel, text_col: str, lang_col: str, id_col: str = "doc_id") -> Model | WideModel:
-    """Deviation of the cross-entropy by length, rejection limit and score temperature."""
-    chosen = F.xxhash64(id_col if id_col in docs.columns else text_col)
-    known = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("lang"), chosen.alias("h")).where(
-        "t IS NOT NULL AND lang IS NOT NULL")
-    share = min(1.0, CALIBRATION_ROWS / max(1, known.count()))
-    if share < 1:
-        known = known.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
+def calibrate(docs: DataFrame, model: Model | WideModel, text_col: str, lang_col: str) -> Model | WideModel:
+    """Deviation of the cross-entropy by length, rejection limit and score temperature,
+    from every labelled text; sums and order statistics reach the driver, no row does."""
+    known = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).where("t IS NOT NULL AND lang IS NOT NULL")
     if isinstance(model, WideModel):
-        known = stored(known.select("t", "lang", F.monotonically_increasing_id().alias("row")), "known")
+        known = stored(known.withColumn("row", F.monotonically_increasing_id()), "known")
         got = model.entropies(known, "row", "t").join(known.select("row", "lang"), "row")
         rows = got.select("ce", "size", "letters", "lang")
     else:
@@ -418,31 +415,67 @@ def calibrate(docs: DataFrame, model: Model | WideModel, text_col: str, lang_col
                 yield pa.RecordBatch.from_arrays([pa.array(list(ce)), pa.array(sizes), pa.array(letters), batch.column(1)],
                                                  names=["ce", "size", "letters", "lang"])
 
-        rows = mapped(known.select("t", "lang"), run, "ce array<double>, size long, letters long, lang string")
-    rows = rows.where("letters > 0").toArrow()  # numbers of about CALIBRATION_ROWS documents
-    if not rows.num_rows:
+        rows = mapped(known, run, "ce array<double>, size long, letters long, lang string")
+    rows = stored(rows.where("letters > 0").select("ce", "size", "lang"), "entropies")
+    langs, n = model.langs, len(model.langs)
+    grid = np.geomspace(0.25, 64, 25)
+
+    def numbers(batch):
+        ce = pc.list_flatten(batch.column(0)).to_numpy().reshape(-1, n)
+        return ce, batch.column(1).to_numpy().astype(float), ce.min(axis=1)
+
+    def first(batch):
+        ce, size, low = numbers(batch)
+        true, each = np.searchsorted(langs, batch.column(2).to_pylist()), np.arange(len(ce))
+        own = ce[each, true]
+        return [*np.bincount(true, minlength=n), *np.bincount(true, own, n), low.sum(),
+                *[_log_share(ce, size, g)[each, true].sum() for g in grid]]
+
+    total = _sums(rows, first, 2 * n + 1 + len(grid))
+    seen = total[:n]
+    if not seen.sum():
         return model
-    ce = np.array(rows["ce"].to_pylist())
-    size = rows["size"].to_numpy().astype(float)
-    true = np.searchsorted(model.langs, rows["lang"].to_pylist())
-    best = ce.argmin(axis=1)
-    low = ce[np.arange(len(ce)), best]
-    seen = np.bincount(true, minlength=len(model.langs))
-    model.mean = np.where(seen > 0, np.bincount(true, ce[np.arange(len(ce)), true], len(model.langs))
-                          / np.maximum(seen, 1), low.mean())
-    off = low - model.mean[best]
+    mean = np.where(seen > 0, total[n: 2 * n] / np.maximum(seen, 1), total[2 * n] / seen.sum())
+    model.heat = float(grid[int(np.argmax(total[2 * n + 1:]))])
+
     # deviation² = between documents + within documents / symbols, fitted by moments over long and short texts
-    x = np.stack((np.ones_like(size), 1 / size), 1)
-    model.spread = np.maximum(np.linalg.lstsq(x * size[:, None] ** 0.5, off ** 2 * size ** 0.5, rcond=None)[0],
-                              [1e-4, 0.25])
-    excess = off / np.sqrt(x @ model.spread)
-    model.limit = float(SLACK * max(1.0, np.quantile(excess, 1 - REJECT_RATE)))
-    grid = np.geomspace(0.25, 64, 25)
-    loss = [_log_share(ce, size, g)[np.arange(len(ce)), true].mean() for g in grid]
-    model.heat = float(grid[int(np.argmax(loss))])
+    def moments(batch):
+        ce, size, low = numbers(batch)
+        square = (low - mean[ce.argmin(axis=1)]) ** 2
+        return [size.sum(), len(size), (1 / size).sum(), (size * square).sum(), square.sum()]
+
+    m = _sums(rows, moments, 5)
+    spread = np.maximum(np.linalg.lstsq(np.array([[m[0], m[1]], [m[1], m[2]]]), m[3:], rcond=None)[0], [1e-4, 0.25])
+
+    def excess(batches):
+        for batch in batches:
+            ce, size, low = numbers(batch)
+            yield pa.RecordBatch.from_arrays([pa.array((low - mean[ce.argmin(axis=1)]) / np.sqrt(spread[0] + spread[1] / size))], names=["x"])
+
+    place = (seen.sum() - 1) * (1 - REJECT_RATE)
+    ranks = [math.floor(place), math.ceil(place)]
+    value = kth_values(stored(mapped(rows, excess, "x double"), "excess"), "x", ranks)
+    high = value[ranks[0]] + (place - ranks[0]) * (value[ranks[1]] - value[ranks[0]])
+    model.mean, model.spread, model.limit = mean, spread, float(SLACK * max(1.0, high))
     return model
 
 
+def _sums(rows: DataFrame, numbers, count: int) -> np.ndarray:
+    """Sums over all batches of the numbers that a function gives for one."""
+
+    def run(batches):
+        total = np.zeros(count)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.array(numbers(batch), float)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(count)), pa.array(total)], names=["at", "x"])
+
+    out = np.zeros(count)
+    for r in mapped(rows, run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        out[r["at"]] = r["x"]
+    return out
+
+
 def _log_share(ce: np.ndarray, size: np.ndarray, heat: float) -> np.ndarray:
     z = -heat * np.sqrt(size)[:, None] * (ce - ce.min(axis=1, keepdims=True))
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))

@@ -107,3 +107,23 @@ def test_no_gram_is_dropped_and_no_window(spark, capsys):
     assert len(model.grams[-1].hashes) - 1 == counted.select("gram").distinct().count()
     counted.explain()
     assert "Window" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("grams", [None, 0])
+def test_calibration_reads_every_row(spark, monkeypatch, grams):
+    monkeypatch.setattr(L, "CALIBRATION_ROWS", 5, raising=False)
+    rows = [(i % 7, " ".join([TEXTS["aa" if i % 3 else "bb"][i % 2]] * (1 + i % 5)) + "xyzab"[: i % 6], "aa" if i % 3 else "bb") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (None, "12", "aa"), (1, None, "bb"), (2, "abab", None)], "doc_id long, text string, lang string")
+    model, plain = L.train(docs, broadcast_grams=grams), L.train(docs)
+    ce, size, _ = plain.cross_entropy([t for _, t, _ in rows])
+    size = size.astype(float)
+    true = np.array([plain.langs.index(k) for *_, k in rows])
+    own = ce[np.arange(len(ce)), true]
+    assert model.mean == pytest.approx([own[true == j].mean() for j in range(2)])
+    off = ce.min(axis=1) - model.mean[ce.argmin(axis=1)]
+    x = np.stack((np.ones_like(size), 1 / size), 1)
+    spread = np.maximum(np.linalg.lstsq(x * size[:, None] ** 0.5, off ** 2 * size ** 0.5, rcond=None)[0], [1e-4, 0.25])
+    assert model.spread == pytest.approx(spread)
+    assert model.limit == pytest.approx(L.SLACK * max(1.0, np.quantile(off / np.sqrt(x @ spread), 1 - L.REJECT_RATE)))
+    loss = [L._log_share(ce, size, g)[np.arange(len(ce)), true].mean() for g in np.geomspace(0.25, 64, 25)]
+    assert model.heat == pytest.approx(np.geomspace(0.25, 64, 25)[int(np.argmax(loss))])
