@@ -32,7 +32,8 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,12 +134,39 @@ def _distinct(parts: list[pa.RecordBatch], cutter: Cutter, buckets: int) -> dict
         for t in part.column(0):
             if t := t.as_py():
                 found.update(cutter.units(t))
+    return _by_bucket(found, buckets)
+
+
+def _by_bucket(units: Iterable[str], buckets: int) -> dict[int, list[str]]:
     out: dict[int, list[str]] = {}
-    for u in sorted(found):
+    for u in sorted(units):
         out.setdefault(zlib.crc32(u.encode("utf-8", "surrogatepass")) % buckets, []).append(u)
     return out
 
 
+class _Places(dict):
+    """Numbers keys as they first come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _coded(parts: list[pa.RecordBatch], cutter: Cutter) -> tuple[dict[str, int], list[tuple[np.ndarray, np.ndarray]]]:
+    """The place of each distinct unit of a block, and for each part the places of all its
+    units and their number by text. Every text is cut once."""
+    place = _Places()
+    out = []
+    for part in parts:
+        codes, counts = array("i"), []
+        for t in part.column(0):
+            own = cutter.units(t) if (t := t.as_py()) else []
+            codes.extend(map(place.__getitem__, own))
+            counts.append(len(own))
+        out.append((np.frombuffer(codes, np.int32) if codes else np.empty(0, np.int32), np.array(counts, np.int64)))
+    return place, out
+
+
 class Lattice:
     """Best segmentations of many units at once."""
 
@@ -325,27 +353,30 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", keep: list[s
     fields = [f"_c{i}" for i in range(len(kept))]
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {b: (np.frombuffer(s, np.int32).tolist(), i) for b, s, i in zip(
+        found = {b: (np.frombuffer(s, np.int32), np.frombuffer(i, np.int32)) for b, s, i in zip(
             right["bucket"].to_pylist(), right["size"].to_pylist(), right["ids"].to_pylist(), strict=True)}
-        code: dict[str, bytes] = {}
-        out = []
-        for size, blob in zip(left["size"].to_pylist(), left["blob"], strict=True):
-            parts = list(pa.ipc.open_stream(pa.Codec("zstd").decompress(blob.as_buffer(), size)))
-            if not code:
-                for bucket, units in _distinct(parts, cutter, buckets).items():
+        size, out = None, []
+        for raw, blob in zip(left["size"].to_pylist(), left["blob"], strict=True):
+            parts = list(pa.ipc.open_stream(pa.Codec("zstd").decompress(blob.as_buffer(), raw)))
+            place, coded = _coded(parts, cutter)
+            if size is None:  # blocks of one name have the same texts, so the same places
+                size, own_ids = np.empty(len(place), np.int64), [np.empty(0, np.int32)]
+                begin, at = np.empty(len(place), np.int64), 0
+                for bucket, units in _by_bucket(place, buckets).items():
                     sizes, ids = found[bucket]
-                    at = 0
-                    for u, n in zip(units, sizes, strict=True):  # a missing unit is an error
-                        code[u] = ids[at: at + 4 * n]
-                        at += 4 * n
-            for p in parts:
-                ids = [None if t is None else b"".join(map(code.__getitem__, cutter.units(t))) if t else b""
-                       for t in p.column(0).to_pylist()]
-                size = np.array([0 if b is None else len(b) // 4 for b in ids], np.int64)
-                offsets = np.zeros(len(size) + 1, np.int32)
-                np.cumsum(size, out=offsets[1:])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(
-                    b"".join(b or b"" for b in ids), np.int32)), mask=pa.array([b is None for b in ids], pa.bool_()))
+                    if len(sizes) != len(units):
+                        raise ValueError("a unit without its segmentation")
+                    own = np.array([place[u] for u in units], np.int64)
+                    size[own], begin[own] = sizes, at + np.cumsum(sizes, dtype=np.int64) - sizes
+                    at += len(ids)
+                    own_ids.append(ids)
+                pool = np.concatenate(own_ids)
+            for p, (codes, counts) in zip(parts, coded, strict=True):
+                own = size[codes]
+                stop = np.concatenate(([0], np.cumsum(own)))
+                ids = pool[np.repeat(begin[codes] - stop[:-1], own) + np.arange(stop[-1])]
+                offsets = np.concatenate(([0], stop[np.cumsum(counts)])).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=p.column(0).is_null())
                 out.append(pa.Table.from_arrays([*p.columns[1:], lists], names=[*fields, "ids"]))
         return pa.concat_tables(out)
 
