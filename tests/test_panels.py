@@ -72,7 +72,22 @@ def test_score_rows(spark, R, sizes, monkeypatch, model, cheaper, request):
     assert cells("auto") == want and any(x[-1] > 0 for x in want)
 
 
+@pytest.mark.parametrize("late", [False, True])
+@pytest.mark.parametrize("model", ["user", "item"])
+def test_top_k_scores(R, sizes, monkeypatch, model, late, request):
+    want = ranking.top_k(neighbourhood.scores(R, model, association="items"), 4)
+    want = sorted((r.user_id, r["rank"], r.item_id, round(r.score, 6)) for r in want.where("score > 0 AND item_id IS NOT NULL").collect())
+    request.getfixturevalue("wide")
+    monkeypatch.setattr(panels, "WEIGHTS", 300)
+    if late:  # items that come before the users wait
+        met = panels.met
+        monkeypatch.setattr(panels, "met", lambda held, streamed, *a: met(held, streamed.orderBy(F.xxhash64("m")), *a))
+    out = pruned.top_k_scores(R, 4, model)
+    assert sorted((r.user_id, r["rank"], r.item_id, round(r.score, 6)) for r in out.collect()) == want and len(want) > 300
+
+
 def test_no_cell_with_both_keys(spark, wide):
     R = spark.createDataFrame([(None, 1, 2.0), (3, None, 1.0)], SCHEMA)
     out = neighbourhood.score_pairs(R, R, "item").collect()
     assert [r.pred for r in out] == [0.0, 0.0] and pruned.nearest(R, 3).count() == pruned.similar_pairs(R, 1.0).count() == 0
+    assert pruned.top_k_scores(R, 3).count() == 0
