@@ -26,9 +26,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _hand_back() -> None:
+def hand_back() -> None:
     """Give free memory of a Python worker back: workers stay between tasks, and what
-    the allocators keep of one task's arrays counts against the next stage's."""
+    the allocators keep of one task's arrays counts against the next stage's, as do the
+    powers kept for ``word_hashes``. Functions on groups call it when their arrays are gone."""
+    _POW.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -43,7 +45,7 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
 
     def tidy(batches):
         yield from run(batches)
-        _hand_back()
+        hand_back()
 
     bounded_batches(df.sparkSession)
     return df.mapInArrow(tidy, schema)
@@ -75,13 +77,14 @@ def powers(n: int, base: int) -> np.ndarray:
     return out
 
 
+POWER_STEP = 1 << 20  # powers are kept for whole steps of bytes
 _POW = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and 64-bit hash of every word of a byte array."""
     if len(data) + 1 > len(_POW["up"]):
-        n = 2 * len(data) + 2
+        n = (len(data) // POWER_STEP + 1) * POWER_STEP + 1
         _POW["up"], _POW["down"] = powers(n, int(WORD_BASE)), powers(n, pow(int(WORD_BASE), -1, 1 << 64))
     space = _SPACES[data]
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofilter.llm.common import WORD_BASE, components, list_array, mapped, mix64, slices, stored, text_bytes, word_hashes
+from cofilter.llm.common import WORD_BASE, components, hand_back, list_array, mapped, mix64, slices, stored, text_bytes, word_hashes
 
 SHINGLE = 5
 COORDS = 64
@@ -222,6 +222,7 @@ def _cell_links(posts: DataFrame, texts: DataFrame, width: int, percent: int) ->
     def run(cell: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell["s"]]
         a, b = linked_cells(cell["id"].to_numpy(), sets, cell["left"].to_numpy(), percent)
+        hand_back()
         return pa.table({"a": pa.array(b), "b": pa.array(a)})
 
     return left.union(right).groupBy("i", "j").applyInArrow(run, "a long, b long")

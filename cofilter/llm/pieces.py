@@ -42,13 +42,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofilter.llm.common import WORD_BASE, powers, mapped, mix64
+from cofilter.llm.common import WORD_BASE, hand_back, powers, mapped, mix64
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_CHARS = 16 << 20
 UNIT_CHARS = 16 << 20  # of text for each bucket of units
 IN_STEP = 64
 WINDOW = 1 << 14  # characters of a long unit folded at once
+IN_TURN = 1 << 17  # units of a block whose ids are put together at once
 
 
 @dataclass
@@ -167,6 +168,20 @@ def _coded(parts: list[pa.RecordBatch], cutter: Cutter) -> tuple[dict[str, int],
     return place, out
 
 
+def _joined(codes: np.ndarray, counts: np.ndarray, size: np.ndarray, begin: np.ndarray,
+            pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts of a part, from where those of each distinct unit begin in
+    ``pool``, and the offsets of the texts; ``IN_TURN`` units at a time."""
+    upto = np.zeros(len(codes) + 1, np.int32)
+    np.cumsum(size[codes], out=upto[1:])
+    ids = np.empty(upto[-1], np.int32)
+    for at in range(0, len(codes), IN_TURN):
+        some = codes[at: at + IN_TURN]
+        first, last = int(upto[at]), int(upto[at + len(some)])
+        ids[first:last] = pool[np.repeat(begin[some] - upto[at: at + len(some)], size[some]) + np.arange(first, last)]
+    return ids, upto[np.concatenate(([0], np.cumsum(counts)))]
+
+
 class Lattice:
     """Best segmentations of many units at once."""
 
@@ -323,11 +338,16 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", keep: list[s
                  pa.array(list(units.values()), pa.list_(pa.string()))], names=["block", "bucket", "units"])
 
     def segmented(group: pa.Table) -> pa.Table:
-        place: dict[str, int] = {}
-        index = [place.setdefault(u, len(place)) for u in group["units"].combine_chunks().flatten().to_pylist()]
-        ids, size = Lattice(shared.value).segment(list(place))
+        out = segment_all(group)
+        hand_back()
+        return out
+
+    def segment_all(group: pa.Table) -> pa.Table:
+        # blocks share units: only the distinct ones become strings
+        coded = group["units"].combine_chunks().flatten().dictionary_encode()
+        ids, size = Lattice(shared.value).segment(coded.dictionary.to_pylist())
         begin = np.cumsum(size) - size
-        index, out = np.array(index, np.int64), []
+        index, out = coded.indices.to_numpy(), []
         stop = np.cumsum(pa.compute.list_value_length(group["units"]).to_numpy())
         for a, b in zip(np.concatenate(([0], stop[:-1])).tolist(), stop.tolist(), strict=True):
             own = size[index[a:b]]
@@ -353,6 +373,11 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", keep: list[s
     fields = [f"_c{i}" for i in range(len(kept))]
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = put_together(left, right)
+        hand_back()
+        return out
+
+    def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         found = {b: (np.frombuffer(s, np.int32), np.frombuffer(i, np.int32)) for b, s, i in zip(
             right["bucket"].to_pylist(), right["size"].to_pylist(), right["ids"].to_pylist(), strict=True)}
         size, out = None, []
@@ -360,7 +385,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", keep: list[s
             parts = list(pa.ipc.open_stream(pa.Codec("zstd").decompress(blob.as_buffer(), raw)))
             place, coded = _coded(parts, cutter)
             if size is None:  # blocks of one name have the same texts, so the same places
-                size, own_ids = np.empty(len(place), np.int64), [np.empty(0, np.int32)]
+                size, own_ids = np.empty(len(place), np.int32), [np.empty(0, np.int32)]
                 begin, at = np.empty(len(place), np.int64), 0
                 for bucket, units in _by_bucket(place, buckets).items():
                     sizes, ids = found[bucket]
@@ -371,11 +396,10 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", keep: list[s
                     at += len(ids)
                     own_ids.append(ids)
                 pool = np.concatenate(own_ids)
+                del own_ids, found
+            del place
             for p, (codes, counts) in zip(parts, coded, strict=True):
-                own = size[codes]
-                stop = np.concatenate(([0], np.cumsum(own)))
-                ids = pool[np.repeat(begin[codes] - stop[:-1], own) + np.arange(stop[-1])]
-                offsets = np.concatenate(([0], stop[np.cumsum(counts)])).astype(np.int32)
+                ids, offsets = _joined(codes, counts, size, begin, pool)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=p.column(0).is_null())
                 out.append(pa.Table.from_arrays([*p.columns[1:], lists], names=[*fields, "ids"]))
         return pa.concat_tables(out)
