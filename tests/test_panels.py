@@ -1,6 +1,7 @@
 """A wide R by pieces: what the joins give, without a row for each pair of cells."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,33 @@ def test_no_cell_with_both_keys(spark, wide):
     out = neighbourhood.score_pairs(R, R, "item").collect()
     assert [r.pred for r in out] == [0.0, 0.0] and pruned.nearest(R, 3).count() == pruned.similar_pairs(R, 1.0).count() == 0
     assert pruned.top_k_scores(R, 3).count() == 0
+
+
+def test_a_held_piece_comes_once(spark):
+    """However many pieces pass, Python gets the held one with the first."""
+    def table(n, m):
+        return panels._kept(spark.range(n).selectExpr("CAST(id AS INT) AS no", f"CAST(concat('{m}', id) AS BINARY) AS m").repartition(n, "no"))
+
+    def run(batches):
+        for batch in batches:
+            came = [0 if m is None else 1 for m in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(came, pa.int32()), batch.column(2)], names=["no", "came", "ms"])
+
+    got = panels.met(table(3, "h"), table(5, "s"), run, "no int, came int, ms binary").collect()
+    assert len(got) == len({(r.no, bytes(r.ms)) for r in got}) == 15
+    assert sorted(r.no for r in got if r.came) == [0, 1, 2]
+
+
+def test_rows_to_score_count_in_a_held_piece(R, monkeypatch, request):
+    """A piece that a task holds is bounded by its cells and rows together."""
+    rows = R.where("user_id IS NOT NULL AND item_id IS NOT NULL")
+    cells = rows.count()
+    want = sorted((r.user_id, r.item_id, round(r.pred, 6)) for r in neighbourhood.score_pairs(R, rows, "item", association="items").collect())
+    request.getfixturevalue("wide")
+    monkeypatch.setattr(panels, "HELD_ROWS", 50)
+    seen, met = [], panels.met
+    monkeypatch.setattr(panels, "met", lambda held, streamed, *a: seen.append(held.count()) or met(held, streamed, *a))
+    got = sorted((r.user_id, r.item_id, round(r.pred, 6)) for r in neighbourhood.score_pairs(R, rows, "item").collect())
+    assert got == want and len(want) == cells
+    # some of so many partitions stay empty
+    assert sum(seen) > cells / 50
